@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import neardup
+from postloom.llm.sentences import split_sentences
 from postloom.sources.tables import read
 
 
@@ -19,5 +20,9 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("row_id", "evidence_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(read(spark, d, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
