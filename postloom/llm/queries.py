@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import neardup
+from postloom.llm import history, neardup
 from postloom.llm.sentences import split_sentences
 from postloom.sources.tables import read
 
 
+#: Batches are handed over in deliveries that end before these numbers.
+DELIVERIES = (13, 20)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.replay(spark, read(spark, d, "evidence"), DELIVERIES).select("kept_id", F.col("row_id").alias("evidence_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(read(spark, d, "evidence"), "evidence_id", "title", "content")
     return pairs.select(F.col("a").alias("evidence_id_a"), F.col("b").alias("evidence_id_b"))
@@ -24,5 +32,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(read(spark, d, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p3_found": p3_found, "p9_found": p9_found, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}

@@ -105,6 +105,8 @@ def _full_stop(text: str, stop: int, end: int, start: int) -> bool:
         return following not in ",;:)"
     if before.isalpha() and before.isupper() and alone and before.lower() != before and not (stop - 3 >= start and text[stop - 2].isspace() and text[stop - 3].isdigit()):
         return False  # an initial
+    if alone and before.isalpha() and word and len(word[0]) == 1 and text[k + 1 : k + 2] == "." and k + 1 < end:
+        return False  # initials in lower case
     if before.isdigit() and following.islower():
         return bool(_PROGRAM.match(text, k))
     if before.isdigit() and following.isupper():
