@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import history, neardup
+from postloom.llm.leakage import MIN_WORDS, leaked_passages
 from postloom.llm.sentences import split_sentences
+from postloom.llm.tokenize import encode
 from postloom.sources.tables import read
 
 
@@ -28,9 +30,26 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("row_id", "evidence_id")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(read(spark, d, "documents"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(read(spark, d, "documents"), read(spark, d, "golden_example"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_passages(spark, d).where(F.col("exact_words") >= MIN_WORDS).select("doc_id", "example_id").distinct()
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """How often each held-out item leaked."""
+    return p8_found(spark, d).groupBy("example_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(read(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p9_found": p9_found, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items, "p3_found": p3_found, "p9_found": p9_found, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
