@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import history, neardup
+from postloom.llm import history, neardup, toxicity
 from postloom.llm.leakage import MIN_WORDS, leaked_passages
 from postloom.llm.sentences import split_sentences
 from postloom.llm.tokenize import encode
@@ -20,6 +20,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return history.replay(spark, read(spark, d, "evidence"), DELIVERIES).select("kept_id", F.col("row_id").alias("evidence_id"))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    evidence = read(spark, d, "evidence")
+    model = toxicity.fit(evidence, "content", read(spark, d, "moderation_sample"))
+    return toxicity.score(evidence, model, "evidence_id", "content", "source_name")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("categories is not null").select("evidence_id", F.explode("categories").alias("category"))
+
+
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("evidence_id", "source_name", *toxicity.CATEGORIES, "categories", "passages")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(_scored(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(read(spark, d, "evidence"), "evidence_id", "title", "content")
     return pairs.select(F.col("a").alias("evidence_id_a"), F.col("b").alias("evidence_id_b"))
@@ -51,5 +69,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(read(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items, "p3_found": p3_found, "p9_found": p9_found, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items, "p3_found": p3_found, "p9_found": p9_found, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
