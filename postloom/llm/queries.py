@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import history, neardup, toxicity
+from postloom.llm import history, neardup, pii, toxicity
 from postloom.llm.leakage import MIN_WORDS, leaked_passages
 from postloom.llm.sentences import split_sentences
 from postloom.llm.tokenize import encode
 from postloom.sources.tables import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(read(spark, d, "evidence"), "evidence_id", "title", "content").select("evidence_id", "field_name", "kind", "start_pos")
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(read(spark, d, "evidence"), "evidence_id", "title", "content")
+
+
 #: Batches are handed over in deliveries that end before these numbers.
 DELIVERIES = (13, 20)
 
@@ -69,5 +77,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(read(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items, "p3_found": p3_found, "p9_found": p9_found, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p1_found": p1_found, "p1_masked": p1_masked, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items, "p3_found": p3_found, "p9_found": p9_found, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
