@@ -31,30 +31,32 @@ PASSES = 12
 MAX_RUNS = 4
 MIN_AGREE = 9
 RUN = "window bigint, cid bigint, sketch1 bigint, sketch2 bigint"
-SETTLED = "row_id string, ident string, cid bigint, kept_id string"
+SETTLED = "gid bigint, row_id string, i1 bigint, i2 bigint, cid bigint, kept_gid bigint"
+#: Rows of a lookup table that may be broadcast (at most 40 bytes each); a larger one is shuffled.
+BROADCAST_ROWS = 2_000_000
 
 
-def _sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        _, norms = S.normal_texts(b, ("content",))
-        norms = list(dict.fromkeys(norms))
-        if not norms:
-            continue
-        hashes, counts = S.shingle_hashes(pa.array(norms))
-        mins = S.min_hashes(hashes, counts, 2 * PASSES + S.SKETCH, seed=3)
-        keys = np.stack([S.mix(S.mix(mins[:, 2 * p] + np.uint64(p + 1)) ^ mins[:, 2 * p + 1]) for p in range(PASSES)], 1)
-        columns = [np.repeat(x, PASSES) for x in (S.text_classes(norms), *S.nibble_sketch(mins[:, 2 * PASSES :]))]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, columns)], ["window", "cid", "sketch1", "sketch2"])
-
-
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, sort keys and sketch of each row; null for rows of few words."""
     for b in batches:
         rows, norms = S.normal_texts(b, ("content",))
-        cid = np.zeros(b.num_rows, np.int64)
-        cid[rows] = S.text_classes(norms)
-        few = np.ones(b.num_rows, bool)
+        n = b.num_rows
+        few = np.ones(n, bool)
         few[rows] = False
-        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("ident"), b.column("dup"), pa.array(cid, mask=few)], ["row_id", "ident", "dup", "cid"])
+        cid, sketch = np.zeros(n, np.int64), np.zeros((2, n), np.int64)
+        keys, filled = np.empty((0, PASSES), np.int64), np.zeros(n, np.int64)
+        if norms:
+            hashes, counts = S.shingle_hashes(pa.array(norms))
+            mins = S.min_hashes(hashes, counts, 2 * PASSES + S.SKETCH, seed=3)
+            keys = np.stack([S.mix(S.mix(mins[:, 2 * p] + np.uint64(p + 1)) ^ mins[:, 2 * p + 1]) for p in range(PASSES)], 1).view(np.int64)
+            cid[rows] = S.text_classes(norms)
+            sketch[:, rows] = S.nibble_sketch(mins[:, 2 * PASSES :])
+            filled[rows] = PASSES
+        ends = np.concatenate([[0], np.cumsum(filled)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(c) for c in ("row_id", "i1", "i2", "dup")] + [pa.array(cid, mask=few), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), pa.array(sketch[0], mask=few), pa.array(sketch[1], mask=few)],
+            ["row_id", "i1", "i2", "dup", "cid", "keys", "sketch1", "sketch2"],
+        )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ class History:
 
     def compact(self) -> None:
         """Merge all runs into one, without the classes of which no row was accepted."""
-        accepted = self._settled().where("kept_id is null and cid is not null").select("cid").distinct()
+        accepted = self._settled().where("kept_gid is null and cid is not null").select("cid").distinct()
         merged = self.spark.table(self.runs[0][0])
         for name, _ in self.runs[1:]:
             merged = merged.union(self.spark.table(name))
@@ -120,103 +122,112 @@ class History:
         duplicate_of, by content the smallest. Null row ids are left out; a row delivered twice counts once; null,
         blank or empty keys and contents match nothing; a duplicate_of that is unknown or not smaller leads nowhere.
         """
-        base = delivery.where("row_id is not null").select("row_id", identifier("key").alias("ident"), F.when(F.col("dup") < F.col("row_id"), F.col("dup")).alias("dup"), "content")
-        base = materialize(base.mapInArrow(_base, "row_id string, ident string, dup string, cid bigint"), "p3-base")
-        self._write_run(delivery.select("content").mapInArrow(_sort_keys, RUN))
-        links = self._links(base)
-        fate = self._resolve(base, links)
+        ident = identifier("key")
+        wide = delivery.where("row_id is not null").select(
+            "row_id", F.when(ident.isNotNull(), F.xxhash64(ident)).alias("i1"), F.when(ident.isNotNull(), F.xxhash64(F.lit("second"), ident)).alias("i2"), F.when(F.col("dup") < F.col("row_id"), F.col("dup")).alias("dup"), "content"
+        )
+        wide = materialize(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, sketch1 bigint, sketch2 bigint"), "p3-base")
+        # numbers in the order of row_id, above those of earlier deliveries
+        ordered = wide.select("row_id", "i1", "i2", "dup", "cid").repartitionByRange(self.buckets, "row_id").sortWithinPartitions("row_id")
+        rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), "p3-rows")
+        self._write_run(wide.where("cid is not null").select(F.explode("keys").alias("window"), "cid", "sketch1", "sketch2"))
+        refused = self._resolve(rows, self._links(rows))
         path = scratch(self.spark, "p3-settled")
-        fate.select("row_id", "ident", "cid", "kept_id").write.parquet(path)
+        self._lookup(rows, refused, ["gid"]).select("gid", "row_id", "i1", "i2", "cid", "kept_gid").write.parquet(path)
         self.settled.append(path)
         if len(self.runs) > MAX_RUNS:
             self.compact()
-        return self.spark.read.schema(SETTLED).parquet(path).where("kept_id is not null").select("kept_id", "row_id").distinct()
-
-    def _links(self, base: DataFrame) -> DataFrame:
+        found = self.spark.read.schema(SETTLED).parquet(path).where("kept_gid is not null").select("row_id", F.col("kept_gid").alias("gid"))
+        heads = keep_matching(self._settled().select("gid", F.col("row_id").alias("kept_id")), materialize(found.select("gid").distinct(), "p3-heads"), "gid")
+        return found.join(heads, "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct()
+
+    def _lookup(self, df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+        """Left join with a table of one row per key; broadcast if it is small."""
+        table = materialize(table, "p3-lookup")
+        if table.count() <= BROADCAST_ROWS:
+            table = F.broadcast(table)
+        return df.join(table, on, "left")
+
+    def _links(self, rows: DataFrame) -> DataFrame:
         """Pairs of alike classes (both directions: cid, other), at least one of them new."""
         new = self.spark.table(self.runs[-1][0])
         pairs = None
         for name, _ in self.runs:
             old = self.spark.table(name)
             a, b = (x.select("window", F.col("cid").alias(f"cid_{n}"), *(F.col(f"sketch{k}").alias(f"{n}{k}") for k in "12")) for n, x in (("a", new), ("b", old)))
-            met = a.join(b.hint("merge"), "window").where("cid_a <> cid_b").where(S.sketch_agreement(*([F.col(f"{n}{k}") for k in "12"] for n in "ab")) >= MIN_AGREE)
+            met = a.join(b.hint("merge"), "window").where("cid_a < cid_b" if name == self.runs[-1][0] else "cid_a <> cid_b").where(S.sketch_agreement(*([F.col(f"{n}{k}") for k in "12"] for n in "ab")) >= MIN_AGREE)
             met = met.select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"))
             pairs = met if pairs is None else pairs.union(met)
         pairs = materialize(pairs.repartition("cid_a").dropDuplicates(["cid_a", "cid_b"]), "p3-candidates")
         cids = materialize(pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "p3-cids")
-        known = base.select("row_id", "cid")
+        known = rows.select("row_id", "cid")
         if self.settled:
             known = known.union(self._settled().select("row_id", "cid"))
         # the content of one row of each class that a window names
-        ids = materialize(keep_matching(known.where("cid is not null"), cids, "cid").groupBy("cid").agg(F.min("row_id").alias("row_id")).select(F.xxhash64("row_id").alias("rid")).distinct(), "p3-ids")
-        texts = keep_matching(self.rows.select(F.xxhash64("row_id").alias("rid"), "content"), ids, "rid").select("content").mapInArrow(_texts, "cid bigint, norm string")
+        ids = keep_matching(known.where("cid is not null").select("cid", F.xxhash64("row_id").alias("rid")), cids, "cid").groupBy("cid").agg(F.min("rid").alias("rid"))
+        texts = keep_matching(self.rows.select(F.xxhash64("row_id").alias("rid"), "content"), materialize(ids.select("rid").distinct(), "p3-ids"), "rid").select("content").mapInArrow(_texts, "cid bigint, norm string")
         texts = texts.groupBy("cid").agg(F.first("norm").alias("norm"))
         ta, tb = (texts.select(F.col("cid").alias(f"cid_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
         alike = pairs.join(ta, "cid_a").join(tb, "cid_b").where(S.jaccard(F.col("norm_a"), F.col("norm_b")) >= self.threshold)
         both = F.array(F.struct(F.col("cid_a").alias("cid"), F.col("cid_b").alias("other")), F.struct(F.col("cid_b").alias("cid"), F.col("cid_a").alias("other")))
         return materialize(alike.select(F.explode(both).alias("l")).select("l.*"), "p3-links")
 
-    def _against_history(self, base: DataFrame, links: DataFrame) -> DataFrame:
-        """``base`` with kept_id where an accepted row of an earlier delivery is repeated."""
+    def _against_history(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """gid, i1, i2, cid, dup_gid (the row of this delivery that duplicate_of names), and kept_gid where an accepted row of
+        an earlier delivery is repeated. Of the history only what the delivery asks for is shuffled."""
+        duplicates = rows.where("dup is not null").select("gid", "dup")
+        targets = rows.select("row_id", F.col("gid").alias("dup_gid"), F.lit(None).cast("bigint").alias("root"))
+        if self.settled:
+            targets = targets.union(self._settled().select("row_id", F.lit(None).cast("bigint"), F.coalesce("kept_gid", "gid")))
+        named = materialize(duplicates.select(F.xxhash64("dup").alias("h")).distinct(), "p3-named")
+        targets = keep_matching(targets.withColumn("h", F.xxhash64("row_id")), named, "h").select(F.col("row_id").alias("dup"), "dup_gid", "root")
+        by_dup = duplicates.join(targets, "dup").groupBy("gid").agg(F.min("dup_gid").alias("dup_gid"), F.min("root").alias("root"))
+        out = self._lookup(rows.select("gid", "i1", "i2", "cid"), by_dup, ["gid"])
         if not self.settled:
-            return base.withColumn("kept_id", F.lit(None).cast("string"))
-        old = self._settled()
-
-        def matching(df: DataFrame, on: str, wanted: DataFrame) -> DataFrame:
-            """Only what the delivery asks for is shuffled."""
-            hashed = materialize(wanted.select(F.xxhash64(wanted.columns[0]).alias("h")).distinct(), "p3-wanted")
-            return keep_matching(df.where(F.col(on).isNotNull()).withColumn("h", F.xxhash64(on)), hashed, "h").drop("h")
-
-        accepted = old.where("kept_id is null")
-        by_ident = matching(accepted, "ident", base.where("ident is not null").select("ident")).groupBy("ident").agg(F.min("row_id").alias("by_ident"))
-        by_dup = matching(old, "row_id", base.where("dup is not null").select("dup")).groupBy(F.col("row_id").alias("dup")).agg(F.min(F.coalesce("kept_id", "row_id")).alias("by_dup"))
-        around = base.where("cid is not null").select("cid").distinct()
-        reach = links.join(around, "cid", "left_semi").select("cid", "other").union(around.select("cid", F.col("cid").alias("other")))
-        class_heads = matching(accepted, "cid", reach.select("other")).groupBy(F.col("cid").alias("other")).agg(F.min("row_id").alias("head"))
-        by_text = reach.join(class_heads, "other").groupBy("cid").agg(F.min("head").alias("by_text"))
-        joined = base.join(by_ident, "ident", "left").join(by_dup, "dup", "left").join(by_text, "cid", "left")
-        return joined.select("row_id", "ident", "dup", "cid", F.coalesce("by_ident", "by_dup", "by_text").alias("kept_id"))
-
-    def _resolve(self, base: DataFrame, links: DataFrame) -> DataFrame:
-        """Decide every row of the delivery. In each round a row is refused if something accepted repeats in it, and accepted if
-        nothing undecided before it could; identifiers and classes are judged by their first row, so copies cost nothing."""
-        judged = materialize(self._against_history(base, links), "p3-judged")
-        refused = judged.where("kept_id is not null")
-        parts = [refused]
-        open_rows = judged.where("kept_id is null")
-        # rows that share nothing with another row of the delivery are accepted at once
-        decided = refused.select("row_id", "ident", "cid", "kept_id")
-        while True:
-            first_ident = open_rows.where("ident is not null").groupBy("ident").agg(F.min("row_id").alias("first_ident"))
-            heads = open_rows.where("cid is not null").groupBy("cid").agg(F.min("row_id").alias("first_class"))
-            near = links.join(heads.withColumnRenamed("cid", "other"), "other").groupBy("cid").agg(F.min("first_class").alias("first_near"))
-            accepted = decided.where("kept_id is null")
-            got_ident = accepted.where("ident is not null").groupBy("ident").agg(F.min("row_id").alias("got_ident"))
-            got_class = accepted.where("cid is not null").groupBy("cid").agg(F.min("row_id").alias("got_class"))
-            got_near = links.join(got_class.withColumnRenamed("cid", "other"), "other").groupBy("cid").agg(F.min("got_class").alias("got_near"))
-            by_class = heads.join(near, "cid", "left").join(got_class, "cid", "left").join(got_near, "cid", "left")
-            by_ident = first_ident.join(got_ident, "ident", "left")
-            waits = open_rows.select(F.col("row_id").alias("dup"), F.lit(True).alias("dup_open")).distinct()
-            leads = decided.select(F.col("row_id").alias("dup"), F.coalesce("kept_id", "row_id").alias("got_dup")).distinct()
-            with_dup = open_rows.where("dup is not null").select("row_id", "dup").join(waits, "dup", "left").join(leads, "dup", "left").drop("dup")
-            state = open_rows.join(by_ident, "ident", "left").join(by_class, "cid", "left").join(with_dup.dropDuplicates(["row_id"]), "row_id", "left")
-            refuse = F.coalesce("got_ident", "got_dup", F.least("got_class", "got_near"))
-            clear = (
-                (F.col("first_ident").isNull() | (F.col("first_ident") == F.col("row_id")))
-                & (F.col("first_class").isNull() | (F.col("first_class") == F.col("row_id")))
-                & (F.col("first_near").isNull() | (F.col("first_near") > F.col("row_id")))
-                & F.col("dup_open").isNull()
-            )
-            turn = materialize(state.select("row_id", "ident", "dup", "cid", refuse.alias("kept_id"), (refuse.isNotNull() | clear).alias("done")), "p3-round")
-            parts.append(turn.where("done"))
-            open_rows = turn.where("not done")
-            decided = decided.union(turn.where("done").select("row_id", "ident", "cid", "kept_id"))
-            if open_rows.isEmpty():
-                break
-        out = parts[0].select("row_id", "ident", "cid", "kept_id")
-        for p in parts[1:]:
-            out = out.union(p.select("row_id", "ident", "cid", "kept_id"))
-        return out
+            return out.select("gid", "i1", "i2", "cid", "dup_gid", F.lit(None).cast("bigint").alias("kept_gid"))
+        accepted = self._settled().where("kept_gid is null").select("gid", "i1", "i2", "cid")
+        idents = materialize(rows.where("i1 is not null").select("i1").distinct(), "p3-idents")
+        by_ident = keep_matching(accepted, idents, "i1").groupBy("i1", "i2").agg(F.min("gid").alias("by_ident"))
+        around = materialize(rows.where("cid is not null").select("cid").distinct(), "p3-around")
+        reach = keep_matching(links, around, "cid").union(around.select("cid", F.col("cid").alias("other")))
+        asked = materialize(reach.select(F.col("other").alias("cid")).distinct(), "p3-asked")
+        heads = keep_matching(accepted.where("cid is not null"), asked, "cid").groupBy(F.col("cid").alias("other")).agg(F.min("gid").alias("head"))
+        by_text = reach.join(heads, "other").groupBy("cid").agg(F.min("head").alias("by_text"))
+        out = self._lookup(self._lookup(out, by_ident, ["i1", "i2"]), by_text, ["cid"])
+        return out.select("gid", "i1", "i2", "cid", "dup_gid", F.coalesce("by_ident", "root", "by_text").alias("kept_gid"))
+
+    def _resolve(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """gid, kept_gid of the refused rows. Rows that share nothing with another open row of the delivery are accepted at
+        once. The others are decided in rounds: a row is refused if something accepted repeats in it, and accepted if nothing
+        undecided before it could; identifiers and classes are judged by their first row, so copies cost nothing."""
+        judged = materialize(self._against_history(rows, links), "p3-judged")
+        refused = judged.where("kept_gid is not null").select("gid", "kept_gid")
+        open_rows = judged.where("kept_gid is null").drop("kept_gid")
+        ident = open_rows.where("i1 is not null").groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i1", "i2", F.lit(True).alias("shared_ident"))
+        linked = links.select("cid").distinct()
+        text = open_rows.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid").union(linked).distinct().withColumn("shared_text", F.lit(True))
+        named = judged.where("dup_gid is not null").select(F.col("dup_gid").alias("gid")).distinct().withColumn("named", F.lit(True))
+        flagged = self._lookup(self._lookup(self._lookup(open_rows, ident, ["i1", "i2"]), text, ["cid"]), named, ["gid"])
+        open_rows = materialize(flagged.where(F.coalesce("shared_ident", "shared_text", "named", F.col("dup_gid").isNotNull())).select("gid", "i1", "i2", "cid", "dup_gid"), "p3-open")
+        decided = refused.join(named, "gid", "left_semi").select("gid", *[F.lit(None).cast("bigint").alias(c) for c in ("i1", "i2", "cid")], "kept_gid")
+        while not open_rows.isEmpty():
+            accepted = decided.where("kept_gid is null")
+            by_ident = open_rows.where("i1 is not null").groupBy("i1", "i2").agg(F.min("gid").alias("first_ident"))
+            got_ident = accepted.where("i1 is not null").groupBy("i1", "i2").agg(F.min("gid").alias("got_ident"))
+            heads = open_rows.where("cid is not null").groupBy("cid").agg(F.min("gid").alias("first"), F.lit(None).cast("bigint").alias("got"))
+            heads = heads.union(accepted.where("cid is not null").groupBy("cid").agg(F.lit(None).cast("bigint"), F.min("gid"))).groupBy("cid").agg(F.min("first").alias("first"), F.min("got").alias("got"))
+            near = links.join(heads.withColumnRenamed("cid", "other"), "other").groupBy("cid").agg(F.min("first").alias("first_near"), F.min("got").alias("got_near"))
+            fate_of = open_rows.select(F.col("gid").alias("dup_gid"), F.lit(True).alias("dup_open"), F.lit(None).cast("bigint").alias("got_dup")).union(decided.select("gid", F.lit(None).cast("boolean"), F.coalesce("kept_gid", "gid")))
+            state = open_rows.join(by_ident, ["i1", "i2"], "left").join(got_ident, ["i1", "i2"], "left").join(heads, "cid", "left").join(near, "cid", "left").join(fate_of, "dup_gid", "left")
+            refuse = F.coalesce("got_ident", "got_dup", F.least("got", "got_near"))
+            own = F.col("gid")
+            clear = F.coalesce(F.col("first_ident") == own, F.lit(True)) & F.coalesce(F.col("first") == own, F.lit(True)) & F.coalesce(F.col("first_near") > own, F.lit(True)) & F.col("dup_open").isNull()
+            turn = materialize(state.select("gid", "i1", "i2", "cid", "dup_gid", refuse.alias("kept_gid"), (refuse.isNotNull() | clear).alias("done")), "p3-round")
+            done = turn.where("done").select("gid", "i1", "i2", "cid", "kept_gid")
+            decided = decided.union(done)
+            refused = refused.union(done.where("kept_gid is not null").select("gid", "kept_gid"))
+            open_rows = turn.where("not done").select("gid", "i1", "i2", "cid", "dup_gid")
+        return refused
 
 
 def replay(spark: SparkSession, rows: DataFrame, bounds: tuple[int, ...], **names: str) -> DataFrame:
