@@ -33,7 +33,8 @@ def summary(col: Column, most: int = 300) -> Column:
 
 
 def detail(title: Column, content: Column, most: int = 2000) -> Column:
-    return F.substring(scrub(F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit(""))))), 1, most)
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
+    return F.substring(scrub(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")), 1, most)
 
 
 def escape_tags(col: Column, tags: tuple[str, ...] = TAGS) -> Column:

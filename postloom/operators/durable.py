@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_matching(df: DataFrame, ids: DataFrame, on: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``df`` restricted to the values of ``on`` in ``ids`` (a materialized frame of one distinct bigint column).
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize``, and what the one write has counted: ``rows`` and the given aggregates."""
+    path, seen = scratch(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def keep_matching(df: DataFrame, ids: DataFrame, on: str, broadcast_rows: int = 2_000_000, rows: int | None = None) -> DataFrame:
+    """``df`` restricted to the values of ``on`` in ``ids`` (a materialized frame of one distinct bigint column; ``rows``
+    of them, counted here if that isn't given).
 
     Up to ``broadcast_rows`` ids (16 bytes each) are broadcast, so the rest of ``df`` is dropped before any
     shuffle; a larger set goes through an ordinary shuffled semi join. Nulls never match.
     """
-    if ids.count() <= broadcast_rows:
+    if (ids.count() if rows is None else rows) <= broadcast_rows:
         ids = F.broadcast(ids)
     return df.join(ids, on, "left_semi")

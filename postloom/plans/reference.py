@@ -315,7 +315,7 @@ def win5(spark, d):
     return B.bursts(e, "grp", "at", "evidence_id", span_s=86_400)
 
 
-@query("win5_burst_starts", f"with e as (select source_name, evidence_id, {_AT.format(c='published_at')} as at from evidence where source_name is not null), k as (select source_name, evidence_id, cast(epoch(at) as bigint) as t, strftime(at at time zone 'UTC','%G-W%V') as week from e), n as (select *, count(*) over (partition by source_name, week order by t range between current row and 86400 following) as posts from k) select source_name, evidence_id, posts from n where posts >= 4")
+@query("win5_burst_starts", f"with e as (select source_name, evidence_id, {_AT.format(c='published_at')} as ats from evidence where source_name is not null), k as (select source_name, evidence_id, cast(epoch(ats) as bigint) as t, strftime(ats at time zone 'UTC','%G-W%V') as week from e), n as (select *, count(*) over (partition by source_name, week order by t range between current row and 86400 following) as posts from k) select source_name, evidence_id, posts from n where posts >= 4")
 def win5_starts(spark, d):
     w = Window.partitionBy("source_name", "week").orderBy("t").rangeBetween(0, 86_400)
     e = evidence(spark, d).where("source_name is not null").select("source_name", "evidence_id", F.to_timestamp("published_at").alias("at"))
@@ -323,10 +323,10 @@ def win5_starts(spark, d):
     return e.withColumn("posts", F.count(F.lit(1)).over(w)).where("posts >= 4").select("source_name", "evidence_id", "posts")
 
 
-@query("win6_error_runs", "with s as (select batch_no, delivery_id, materiality_label = 'low' as bad, row_number() over (partition by batch_no order by delivery_id) - row_number() over (partition by batch_no, materiality_label = 'low' order by delivery_id) as island from material_signal) select batch_no, min(delivery_id) as first_delivery, count(*) as length from s where bad group by batch_no, island having count(*) >= 2")
+@query("win6_error_runs", "with s as (select batch_no, delivery_id, confidence_label = 'low' as bad, row_number() over (partition by batch_no order by delivery_id) - row_number() over (partition by batch_no, confidence_label = 'low' order by delivery_id) as island from material_signal) select batch_no, min(delivery_id) as first_delivery, count(*) as length from s where bad group by batch_no, island having count(*) >= 2")
 def win6(spark, d):
-    """Runs of two or more deliveries in a row of low materiality, within a batch."""
-    s = read(spark, d, "material_signal").select("batch_no", "delivery_id", (F.col("materiality_label") == "low").alias("bad"))
+    """Runs of two or more deliveries in a row of low confidence, within a batch."""
+    s = read(spark, d, "material_signal").select("batch_no", "delivery_id", (F.col("confidence_label") == "low").alias("bad"))
     island = F.row_number().over(Window.partitionBy("batch_no").orderBy("delivery_id")) - F.row_number().over(Window.partitionBy("batch_no", "bad").orderBy("delivery_id"))
     return s.withColumn("island", island).where("bad").groupBy("batch_no", "island").agg(F.min("delivery_id").alias("first_delivery"), F.count(F.lit(1)).alias("length")).where("length >= 2").drop("island")
 
