@@ -31,9 +31,12 @@ MONTHS = set("januar februar märz april mai juni juli august september oktober
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "‹": "›", "“": "”", "„": "“”", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "［": "］", '"': '"', "＂": "＂"}
 _CLOSERS = {c for v in _PAIRS.values() for c in v}
 _THAI = "฀-๏๚-๿"
-_EVENT = re.compile(rf"[.!?…。！？．؟।॥]+|;|[\"＂()\[\]{{}}«»‹›“”„「」『』（）【】《》〈〉［］]|(?<=[{_THAI}])[  ]+(?=[^\s0-9A-Za-z])|(?<=[^\s0-9A-Za-z])[  ]+(?=[{_THAI}])")
+# what is left of a torn control token stands for itself: the word, and a lone "<" before a new beginning
+_TORN = r"(?<!\S)endoftext(?!\S)|(?<=\s)<(?=\s+(?:[A-ZÀ-Þ]|endoftext\b))"
+_EVENT = re.compile(rf"{_TORN}|[.!?…。！？．؟।॥]+|;|[\"＂()\[\]{{}}«»‹›“”„「」『』（）【】《》〈〉［］]|(?<=[{_THAI}])[  ]+(?=[^\s0-9A-Za-z])|(?<=[^\s0-9A-Za-z])[  ]+(?=[{_THAI}])")
 _LINE = re.compile(r"[^\r\n  \x85]*(?:\r\n|[\r\n  \x85])?")
 _MARK = re.compile(r"[ \t ]*(?:[-*+•‣◦▪–—·]|\(?\d{1,3}[.)]|\(?[A-Za-z]\)|[①-⑳])[ \t ]+\S|[ \t ]*#{1,6}[ \t ]")
+_BREAK = re.compile(r"[ \t]*(?:[-*•] \S|#{1,6} )")  # begins a list item or heading even right behind prose
 _SPACE = re.compile(r"\s*")
 _PROGRAM = re.compile(r"[a-z][a-z_-]* v?\d+\.\d")
 _ORDINAL = re.compile(r"\b(?:am|vom|zum|beim|im|der|die|das|den|dem|des|bis|ab|jeden)\s\d{1,2}$", re.I)
@@ -211,7 +214,8 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         line = text[at:to]
         if not line.strip():
             flush(at)
-        elif not open_ and _MARK.match(line):
+        elif (_BREAK if open_ else _MARK).match(line):
+            flush(at)
             units.append((at, to))
         elif not open_:
             prose, open_ = at, True
