@@ -88,3 +88,22 @@ def number_rows(df: DataFrame, order: str) -> DataFrame:
     sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # one row a partition
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.withColumn("part", part).join(F.broadcast(offsets.select("part", "before")), "part").withColumn("number", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "place", "before")
+
+
+def versions(df: DataFrame, key: str, order: str, *tracked: str) -> DataFrame:
+    """The history of each key as intervals: a row per change of the tracked columns (``valid_from``, ``valid_to`` the ``order``
+    of the next change, null for the current one) with its ``version`` from 1 on. Nulls compare as values."""
+    w = Window.partitionBy(key).orderBy(order)
+    state = F.struct(*tracked)
+    changed = df.withColumn("before", F.lag(state).over(w)).withColumn("first", F.row_number().over(w) == 1)
+    kept = changed.where(F.col("first") | ~F.col("before").eqNullSafe(state))
+    return kept.select(key, *tracked, F.col(order).alias("valid_from"), F.lead(order).over(w).alias("valid_to"), F.row_number().over(w).cast("bigint").alias("version"))
+
+
+def fold_attempts(df: DataFrame, key: str, order: str, ok: Column, counted: Column, most: int) -> DataFrame:
+    """key, attempts, status after all outcomes in order: failures that count until a success (done) or ``most`` of them (dead)."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    state = df.select(key, ok.alias("ok"), (counted & ~ok).cast("bigint").alias("failed"), F.coalesce(F.max(ok).over(w), F.lit(False)).alias("was_done"), F.coalesce(F.sum((counted & ~ok).cast("bigint")).over(w), F.lit(0)).alias("failed_before"))
+    live = state.where(~F.col("was_done") & (F.col("failed_before") < most))
+    out = live.groupBy(key).agg(F.sum("failed").alias("attempts"), F.max("ok").alias("ok"))
+    return out.select(key, "attempts", F.when(F.col("ok"), "done").when(F.col("attempts") >= most, "dead").otherwise("open").alias("status"))

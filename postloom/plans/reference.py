@@ -545,3 +545,105 @@ def dat22(spark, d):
 def tpch_q1(spark, d):
     li = read(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+# --- state as tables ---------------------------------------------------------------------------------------------------
+
+
+@query("dml2_cursors", f"select source_type, source_name, arg_max(evidence_id, (({_AT.format(c='published_at')}), evidence_id)) as newest from evidence where source_name is not null group by 1,2")
+def dml2(spark, d):
+    """The latest cursor of each source: an append-only log read as its newest rows."""
+    e = evidence(spark, d).where("source_name is not null").select("source_type", "source_name", F.to_timestamp("published_at").alias("at"), "evidence_id")
+    return R.latest(e, ["source_type", "source_name"], "at", "evidence_id").select("source_type", "source_name", F.col("evidence_id").alias("newest"))
+
+
+@query("dml4_attempts", """
+with o as (select topic_id, delivery_id, confidence_label = 'high' as ok, batch_no % 2 = 0 as counted from material_signal where topic_id is not null and confidence_label is not null),
+s as (select *, coalesce(bool_or(ok) over p, false) as was, coalesce(sum(cast(counted and not ok as int)) over p, 0) as failed from o window p as (partition by topic_id order by delivery_id rows between unbounded preceding and 1 preceding)),
+f as (select topic_id, cast(sum(cast(counted and not ok as int)) as bigint) as attempts, bool_or(ok) as ok from s where not was and failed < 3 group by 1)
+select topic_id, attempts, case when ok then 'done' when attempts >= 3 then 'dead' else 'open' end as status from f""")
+def dml4(spark, d):
+    """Attempts until the first signal of high confidence, as a fold over each topic's deliveries."""
+    s = read(spark, d, "material_signal").where("topic_id is not null and confidence_label is not null")
+    return R.fold_attempts(s, "topic_id", "delivery_id", F.col("confidence_label") == "high", F.col("batch_no") % 2 == 0, 3)
+
+
+@query("dml5_first_topic", "select signal_id, arg_min(topic_id, delivery_id) filter (topic_id is not null) as original_topic_id, arg_max(topic_id, delivery_id) filter (topic_id is not null) as topic_id from material_signal where signal_id is not null group by 1")
+def dml5(spark, d):
+    """The first topic a signal was given (the first write wins) and its latest."""
+    t, at = F.col("topic_id"), F.when(F.col("topic_id").isNotNull(), F.col("delivery_id"))
+    return read(spark, d, "material_signal").where("signal_id is not null").groupBy("signal_id").agg(F.min_by(t, at).alias("original_topic_id"), F.max_by(t, at).alias("topic_id"))
+
+
+@query("dml9_versions", """
+with c as (select signal_id, delivery_id, summary, topic_id, lag((summary, topic_id)) over w as before, row_number() over w = 1 as first from material_signal where signal_id is not null window w as (partition by signal_id order by delivery_id)),
+k as (select * from c where first or before is distinct from (summary, topic_id))
+select signal_id, summary, topic_id, delivery_id as valid_from, lead(delivery_id) over w as valid_to, row_number() over w as version from k window w as (partition by signal_id order by delivery_id)""")
+def dml9(spark, d):
+    """What each signal has said over its deliveries, as versions with their intervals."""
+    return R.versions(read(spark, d, "material_signal").where("signal_id is not null"), "signal_id", "delivery_id", "summary", "topic_id")
+
+
+@query("join10_unlisted_posts", f"with {_C} select distinct evidence_id from c where not exists (select 1 from evidence e where e.evidence_id = c.evidence_id)")
+def join10(spark, d):
+    """Cited ids that are no posts: an audit of the reference, empty if all is well."""
+    return candidates(spark, d).select("evidence_id").distinct().join(evidence(spark, d).select("evidence_id"), "evidence_id", "left_anti")
+
+
+@query("join16_slug_lookup", "with s as (select topic_id, coalesce(regexp_replace(regexp_replace(lower(name),'[^a-z0-9]+','-','g'),'^-+|-+$','','g'),'') as slug from canonical_topic) select s.topic_id, s.slug, f.topic_id as first_topic from s join (select slug, min(topic_id) as topic_id from s where slug <> '' group by 1) f using (slug)")
+def join16(spark, d):
+    """The topic that a proposed name leads to: the first with the same slug."""
+    s = read(spark, d, "canonical_topic").select("topic_id", X.slug(F.col("name")).alias("slug"))
+    return s.join(s.where("slug <> ''").groupBy("slug").agg(F.min("topic_id").alias("first_topic")), "slug").select("topic_id", "slug", "first_topic")
+
+
+@query("prj8_topic_report", f"with {_M}, r as (select topic_id, list(period || ':' || mentions order by period) as weeks from mentions group by 1) select t.topic_id, t.name, r.weeks from canonical_topic t join r using (topic_id)")
+def prj8(spark, d):
+    """Each topic with its weekly counts in order."""
+    w = mentions(spark, d).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "period", F.col("mentions").cast("string")))).alias("weeks"))
+    return read(spark, d, "canonical_topic").select("topic_id", "name").join(w, "topic_id")
+
+
+@query("srt3_latest_calls", "select delivery_id, signal_type from material_signal order by delivery_id desc limit 20")
+def srt3(spark, d):
+    """The newest twenty deliveries (a top-k report)."""
+    return read(spark, d, "material_signal").select("delivery_id", "signal_type").orderBy(F.desc("delivery_id")).limit(20)
+
+
+@query("fn23_validate", "select evidence_id, list_filter([case when coalesce(trim(title),'')='' then 'title is missing' end, case when coalesce(trim(content),'')='' then 'content is missing' end, case when length(title) > 80 then 'title is long' end, case when not regexp_matches(published_at, '(Z|[+-][0-9]{2}:[0-9]{2})$') then 'no offset' end], lambda x: x is not null) as problems from evidence")
+def fn23(spark, d):
+    """What is wrong with each post, as a list of messages."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    checks = [(blank("title"), "title is missing"), (blank("content"), "content is missing"), (F.length("title") > 80, "title is long"), (~F.col("published_at").rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$"), "no offset")]
+    return evidence(spark, d).select("evidence_id", F.array_compact(F.array(*[F.when(c, m) for c, m in checks])).alias("problems"))
+
+
+@query("prs1_json_kinds", "select case when metadata is null then 'missing' when not json_valid(metadata) then 'broken' else lower(json_type(metadata)) end as kind, count(*) as posts from evidence group by 1")
+def prs1(spark, d):
+    """What the metadata are as JSON: missing, broken, object, array, null."""
+    v = F.try_parse_json("metadata")
+    kind = F.lower(F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1))
+    kind = F.when(F.col("metadata").isNull(), "missing").when(v.isNull(), "broken").when(kind == "void", "null").otherwise(kind)
+    return evidence(spark, d).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("posts"))
+
+
+@query("win9_gap_weeks", f"with {_M}, g as (select topic_id, period, strptime(period || '-1', '%G-W%V-%u') as monday from mentions), l as (select topic_id, period, cast(date_diff('day', lag(monday) over (partition by topic_id order by monday), monday) / 7 - 1 as bigint) as silent from g) select topic_id, period, silent from l where silent > 0")
+def win9(spark, d):
+    """Weeks without mentions before each week that has some."""
+    m = latest_statements(read(spark, d, "topic_weekly_mentions"))
+    w = Window.partitionBy("entity").orderBy("week")
+    return m.select(F.col("entity").alias("topic_id"), week_name(F.col("week")).alias("period"), (F.col("week") - F.lag("week").over(w) - 1).alias("silent")).where("silent > 0")
+
+
+# --- events ------------------------------------------------------------------------------------------------------------
+
+
+@query("evt1_weekly_events", "select event_type, strftime(ts,'%G-W%V') as week, count(*) as events, round(sum(value),4) as total from events group by 1,2")
+def evt1(spark, d):
+    e = read(spark, d, "events")
+    return e.groupBy("event_type", X.iso_week(F.to_date("ts")).alias("week")).agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("evt2_last_event", "select user_id, event_type, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id from events group by 1,2")
+def evt2(spark, d):
+    return R.latest(read(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", "event_id")
