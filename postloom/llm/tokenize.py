@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,20 +190,25 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> str:
+def compile_lexicon(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> str | Broadcast:
     """Compile the corpus's most frequent words (``words`` at most, the smaller word first on ties; only they reach the
-    driver) and return the folder of the memory-mapped arrays below the shared folder."""
+    driver) and return the folder of the memory-mapped arrays below the shared folder. Where that is no mounted file
+    system, the arrays (bounded by ``words``) are broadcast instead."""
     top = word_counts(df, text).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
     chosen = sorted(r.word.encode() for r in top.collect())
     ranks = ranks_of(vocabulary)
     folder = scratch(df.sparkSession, "p7-lexicon").removeprefix("file://")
-    Transducer.build(chosen, [merge_word(w, ranks) for w in chosen]).save(folder)
+    lexicon = Transducer.build(chosen, [merge_word(w, ranks) for w in chosen])
+    if "://" in folder:
+        return df.sparkSession.sparkContext.broadcast(lexicon.arrays)
+    lexicon.save(folder)
     return folder
 
 
-def _encode(folder: str, vocabulary: str):
+def _encode(compiled: str | Broadcast, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, ranks, split = Transducer.load(folder), ranks_of(vocabulary), _splitter().findall
+        lexicon = Transducer.load(compiled) if isinstance(compiled, str) else Transducer(compiled.value)
+        ranks, split = ranks_of(vocabulary), _splitter().findall
         known_start, known_ids = np.asarray(lexicon.arrays["start"]), np.asarray(lexicon.arrays["ids"])
         for b in batches:
             pieces = [split(t) if t else [] for t in b.column("text").to_pylist()]
@@ -229,9 +235,9 @@ def _encode(folder: str, vocabulary: str):
     return run
 
 
-def encode(df: DataFrame, row_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lexicon: str | None = None) -> DataFrame:
+def encode(df: DataFrame, row_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lexicon: str | Broadcast | None = None) -> DataFrame:
     """``row_id`` and ids (array<int>) of every row; null and empty texts have no ids (an empty list). Special tokens'
-    strings are ordinary text. Null ids and equal rows come out as they are. ``lexicon``: a folder from
+    strings are ordinary text. Null ids and equal rows come out as they are. ``lexicon``: from
     ``compile_lexicon``, made from ``df`` itself if none is given."""
     kind = df.schema[row_id].dataType.simpleString()
     lexicon = lexicon or compile_lexicon(df, text, vocabulary)

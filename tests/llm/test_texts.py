@@ -75,6 +75,8 @@ def test_encoding_round_trip_and_library(spark):
         assert got[i] == library.encode_ordinary(t or "")
         assert b"".join(back[x] for x in got[i]).decode() == (t or "")
     assert K.encode(df.limit(0)).collect() == []
+    shared = spark.sparkContext.broadcast(K.Transducer.build([b"Hello"], [[15496]]).arrays)
+    assert {r.doc_id: list(r.ids) for r in K.encode(df, lexicon=shared).collect()} == got
 
 
 def test_transducer_numbers_words():
