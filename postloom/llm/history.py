@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import shingles as S
-from postloom.operators.durable import keep_matching, materialize, scratch
+from postloom.operators.durable import keep_matching, materialize, measured, scratch
 from postloom.operators.quotient import identifier
 
 PASSES = 12
@@ -138,16 +138,21 @@ class History:
         if len(self.runs) > MAX_RUNS:
             self.compact()
         found = self.spark.read.schema(SETTLED).parquet(path).where("kept_gid is not null").select("row_id", F.col("kept_gid").alias("gid"))
-        heads = keep_matching(self._settled().select("gid", F.col("row_id").alias("kept_id")), materialize(found.select("gid").distinct(), "p3-heads"), "gid")
+        heads = self._matching(self._settled().select("gid", F.col("row_id").alias("kept_id")), found.select("gid"), "gid")
         return found.join(heads, "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct()
 
     def _lookup(self, df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
         """Left join with a table of one row per key; broadcast if it is small."""
-        table = materialize(table, "p3-lookup")
-        if table.count() <= BROADCAST_ROWS:
+        table, seen = measured(table, "p3-lookup")
+        if seen["rows"] <= BROADCAST_ROWS:
             table = F.broadcast(table)
         return df.join(table, on, "left")
 
+    def _matching(self, df: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+        """``df`` restricted to the values of its bigint column ``on`` in ``wanted`` (one column)."""
+        ids, seen = measured(wanted.select(F.col(wanted.columns[0]).alias(on)).distinct(), "p3-wanted")
+        return keep_matching(df, ids, on, BROADCAST_ROWS, seen["rows"])
+
     def _links(self, rows: DataFrame) -> DataFrame:
         """Pairs of alike classes (both directions: cid, other), at least one of them new."""
         new = self.spark.table(self.runs[-1][0])
@@ -159,13 +164,12 @@ class History:
             met = met.select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"))
             pairs = met if pairs is None else pairs.union(met)
         pairs = materialize(pairs.repartition("cid_a").dropDuplicates(["cid_a", "cid_b"]), "p3-candidates")
-        cids = materialize(pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "p3-cids")
         known = rows.select("row_id", "cid")
         if self.settled:
             known = known.union(self._settled().select("row_id", "cid"))
         # the content of one row of each class that a window names
-        ids = keep_matching(known.where("cid is not null").select("cid", F.xxhash64("row_id").alias("rid")), cids, "cid").groupBy("cid").agg(F.min("rid").alias("rid"))
-        texts = keep_matching(self.rows.select(F.xxhash64("row_id").alias("rid"), "content"), materialize(ids.select("rid").distinct(), "p3-ids"), "rid").select("content").mapInArrow(_texts, "cid bigint, norm string")
+        ids = self._matching(known.where("cid is not null").select("cid", F.xxhash64("row_id").alias("rid")), pairs.select(F.explode(F.array("cid_a", "cid_b"))), "cid").groupBy("cid").agg(F.min("rid").alias("rid"))
+        texts = self._matching(self.rows.select(F.xxhash64("row_id").alias("rid"), "content"), ids.select("rid"), "rid").select("content").mapInArrow(_texts, "cid bigint, norm string")
         texts = texts.groupBy("cid").agg(F.first("norm").alias("norm"))
         ta, tb = (texts.select(F.col("cid").alias(f"cid_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
         alike = pairs.join(ta, "cid_a").join(tb, "cid_b").where(S.jaccard(F.col("norm_a"), F.col("norm_b")) >= self.threshold)
@@ -179,55 +183,45 @@ class History:
         targets = rows.select("row_id", F.col("gid").alias("dup_gid"), F.lit(None).cast("bigint").alias("root"))
         if self.settled:
             targets = targets.union(self._settled().select("row_id", F.lit(None).cast("bigint"), F.coalesce("kept_gid", "gid")))
-        named = materialize(duplicates.select(F.xxhash64("dup").alias("h")).distinct(), "p3-named")
-        targets = keep_matching(targets.withColumn("h", F.xxhash64("row_id")), named, "h").select(F.col("row_id").alias("dup"), "dup_gid", "root")
+        targets = self._matching(targets.withColumn("h", F.xxhash64("row_id")), duplicates.select(F.xxhash64("dup")), "h").select(F.col("row_id").alias("dup"), "dup_gid", "root")
         by_dup = duplicates.join(targets, "dup").groupBy("gid").agg(F.min("dup_gid").alias("dup_gid"), F.min("root").alias("root"))
         out = self._lookup(rows.select("gid", "i1", "i2", "cid"), by_dup, ["gid"])
         if not self.settled:
             return out.select("gid", "i1", "i2", "cid", "dup_gid", F.lit(None).cast("bigint").alias("kept_gid"))
         accepted = self._settled().where("kept_gid is null").select("gid", "i1", "i2", "cid")
-        idents = materialize(rows.where("i1 is not null").select("i1").distinct(), "p3-idents")
-        by_ident = keep_matching(accepted, idents, "i1").groupBy("i1", "i2").agg(F.min("gid").alias("by_ident"))
-        around = materialize(rows.where("cid is not null").select("cid").distinct(), "p3-around")
-        reach = keep_matching(links, around, "cid").union(around.select("cid", F.col("cid").alias("other")))
-        asked = materialize(reach.select(F.col("other").alias("cid")).distinct(), "p3-asked")
-        heads = keep_matching(accepted.where("cid is not null"), asked, "cid").groupBy(F.col("cid").alias("other")).agg(F.min("gid").alias("head"))
+        by_ident = self._matching(accepted, rows.where("i1 is not null").select("i1"), "i1").groupBy("i1", "i2").agg(F.min("gid").alias("by_ident"))
+        around, seen = measured(rows.where("cid is not null").select("cid").distinct(), "p3-around")
+        reach = keep_matching(links, around, "cid", BROADCAST_ROWS, seen["rows"]).union(around.select("cid", F.col("cid").alias("other")))
+        heads = self._matching(accepted.where("cid is not null"), reach.select("other"), "cid").groupBy(F.col("cid").alias("other")).agg(F.min("gid").alias("head"))
         by_text = reach.join(heads, "other").groupBy("cid").agg(F.min("head").alias("by_text"))
         out = self._lookup(self._lookup(out, by_ident, ["i1", "i2"]), by_text, ["cid"])
         return out.select("gid", "i1", "i2", "cid", "dup_gid", F.coalesce("by_ident", "root", "by_text").alias("kept_gid"))
 
     def _resolve(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        """gid, kept_gid of the refused rows. Rows that share nothing with another open row of the delivery are accepted at
-        once. The others are decided in rounds: a row is refused if something accepted repeats in it, and accepted if nothing
-        undecided before it could; identifiers and classes are judged by their first row, so copies cost nothing."""
-        judged = materialize(self._against_history(rows, links), "p3-judged")
-        refused = judged.where("kept_gid is not null").select("gid", "kept_gid")
-        open_rows = judged.where("kept_gid is null").drop("kept_gid")
-        ident = open_rows.where("i1 is not null").groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i1", "i2", F.lit(True).alias("shared_ident"))
-        linked = links.select("cid").distinct()
-        text = open_rows.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid").union(linked).distinct().withColumn("shared_text", F.lit(True))
-        named = judged.where("dup_gid is not null").select(F.col("dup_gid").alias("gid")).distinct().withColumn("named", F.lit(True))
-        flagged = self._lookup(self._lookup(self._lookup(open_rows, ident, ["i1", "i2"]), text, ["cid"]), named, ["gid"])
-        open_rows = materialize(flagged.where(F.coalesce("shared_ident", "shared_text", "named", F.col("dup_gid").isNotNull())).select("gid", "i1", "i2", "cid", "dup_gid"), "p3-open")
-        decided = refused.join(named, "gid", "left_semi").select("gid", *[F.lit(None).cast("bigint").alias(c) for c in ("i1", "i2", "cid")], "kept_gid")
-        while not open_rows.isEmpty():
-            accepted = decided.where("kept_gid is null")
-            by_ident = open_rows.where("i1 is not null").groupBy("i1", "i2").agg(F.min("gid").alias("first_ident"))
-            got_ident = accepted.where("i1 is not null").groupBy("i1", "i2").agg(F.min("gid").alias("got_ident"))
-            heads = open_rows.where("cid is not null").groupBy("cid").agg(F.min("gid").alias("first"), F.lit(None).cast("bigint").alias("got"))
-            heads = heads.union(accepted.where("cid is not null").groupBy("cid").agg(F.lit(None).cast("bigint"), F.min("gid"))).groupBy("cid").agg(F.min("first").alias("first"), F.min("got").alias("got"))
+        """gid, kept_gid of the refused rows, decided in rounds: a row is refused if something accepted repeats in it, and
+        accepted if nothing undecided before it could. Identifiers and classes are judged by their first row, so copies cost
+        nothing. What a round accepts is judged upon in the next one, so each round needs the last one's outcome only."""
+        open_ = ~F.col("done")
+        turn, seen = measured(self._against_history(rows, links).withColumn("done", F.col("kept_gid").isNotNull()), "p3-round", left=F.count_if(open_))
+        turns, left = [turn], seen["left"]
+        while left:
+            first, got = F.min(F.when(open_, F.col("gid"))), F.min(F.when(F.col("done") & F.col("kept_gid").isNull(), F.col("gid")))
+            idents = turn.where("i1 is not null").groupBy("i1", "i2").agg(first.alias("first_ident"), got.alias("got_ident"))
+            heads = turn.where("cid is not null").groupBy("cid").agg(first.alias("first"), got.alias("got"))
             near = links.join(heads.withColumnRenamed("cid", "other"), "other").groupBy("cid").agg(F.min("first").alias("first_near"), F.min("got").alias("got_near"))
-            fate_of = open_rows.select(F.col("gid").alias("dup_gid"), F.lit(True).alias("dup_open"), F.lit(None).cast("bigint").alias("got_dup")).union(decided.select("gid", F.lit(None).cast("boolean"), F.coalesce("kept_gid", "gid")))
-            state = open_rows.join(by_ident, ["i1", "i2"], "left").join(got_ident, ["i1", "i2"], "left").join(heads, "cid", "left").join(near, "cid", "left").join(fate_of, "dup_gid", "left")
+            named = turn.where(open_ & F.col("dup_gid").isNotNull()).select("dup_gid").distinct()
+            fates = turn.select(F.col("gid").alias("dup_gid"), open_.alias("dup_open"), F.when(F.col("done"), F.coalesce("kept_gid", "gid")).alias("got_dup")).join(named, "dup_gid")
+            state = turn.where(open_).drop("kept_gid", "done").join(idents, ["i1", "i2"], "left").join(heads.join(near, "cid", "left"), "cid", "left").join(fates, "dup_gid", "left")
             refuse = F.coalesce("got_ident", "got_dup", F.least("got", "got_near"))
             own = F.col("gid")
-            clear = F.coalesce(F.col("first_ident") == own, F.lit(True)) & F.coalesce(F.col("first") == own, F.lit(True)) & F.coalesce(F.col("first_near") > own, F.lit(True)) & F.col("dup_open").isNull()
-            turn = materialize(state.select("gid", "i1", "i2", "cid", "dup_gid", refuse.alias("kept_gid"), (refuse.isNotNull() | clear).alias("done")), "p3-round")
-            done = turn.where("done").select("gid", "i1", "i2", "cid", "kept_gid")
-            decided = decided.union(done)
-            refused = refused.union(done.where("kept_gid is not null").select("gid", "kept_gid"))
-            open_rows = turn.where("not done").select("gid", "i1", "i2", "cid", "dup_gid")
-        return refused
+            clear = F.coalesce(F.col("first_ident") == own, F.lit(True)) & F.coalesce(F.col("first") == own, F.lit(True)) & F.coalesce(F.col("first_near") > own, F.lit(True)) & ~F.coalesce("dup_open", F.lit(False))
+            turn, seen = measured(state.select("gid", "i1", "i2", "cid", "dup_gid", refuse.alias("kept_gid"), (refuse.isNotNull() | clear).alias("done")), "p3-round", left=F.count_if(open_))
+            turns.append(turn)
+            left = seen["left"]
+        refused = turns[0]
+        for t in turns[1:]:
+            refused = refused.union(t)
+        return refused.where("kept_gid is not null").select("gid", "kept_gid")
 
 
 def replay(spark: SparkSession, rows: DataFrame, bounds: tuple[int, ...], **names: str) -> DataFrame:
