@@ -75,6 +75,10 @@ class Items:
         shortest = int((spaces[self.min_words :] - spaces[: -self.min_words]).min()) + 1
         return max(1, shortest - self.q + 1 - self.edits * self.q)
 
+    def shortest(self, item: int) -> int:
+        """Characters of the item's shortest passage, less what edits may take off."""
+        return int(self.bounds[item]) + self.q - 1 + self.edits * self.q - self.edits
+
 
 def _bands(items: Items, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(document, item, lowest diagonal) of the bands that reach their item's bound. ``codes``: all texts of a batch."""
@@ -111,9 +115,21 @@ def _bands(items: Items, codes: np.ndarray, starts: np.ndarray) -> list[tuple[in
     return list(zip((of_pair >> 14).tolist(), (of_pair & 0x3FFF).tolist(), (((value & ((1 << 26) - 1)) - shift) * step).tolist()))
 
 
-def align(doc: np.ndarray, item: np.ndarray, lowest: int, width: int, edits: int, seed: int, spaces: np.ndarray) -> tuple[int, int, int, int, int]:
+def _merged(bands: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int, int]]:
+    """Overlapping and touching bands of a document and item as one: (document, item, lowest diagonal, width)."""
+    out: list[list[int]] = []
+    for doc, item, lowest in sorted(bands):
+        if out and out[-1][:2] == [doc, item] and lowest <= out[-1][2] + out[-1][3]:
+            out[-1][3] = lowest + width - out[-1][2]
+        else:
+            out.append([doc, item, lowest, width])
+    return [tuple(x) for x in out]
+
+
+def align(doc: np.ndarray, item: np.ndarray, lowest: int, width: int, edits: int, seed: int, spaces: np.ndarray, least: int = 0) -> tuple[int, int, int, int, int]:
     """The longest passage within the band of ``width`` diagonals from ``lowest``: (document from, to, item from, edits,
-    most whole words in one exact run). Exact runs are extended over at most ``edits`` edits, greedily the furthest first."""
+    most whole words in one exact run). Exact runs are extended over at most ``edits`` edits, greedily the furthest first;
+    not at all where the longest ``edits`` + 1 runs together don't make ``least`` characters."""
     runs: dict[int, tuple[np.ndarray, int, int]] = {}  # diagonal: first differing place from each place on
     best, exact = (0, 0, 0, 0), 0
     begins = []
@@ -124,10 +140,14 @@ def align(doc: np.ndarray, item: np.ndarray, lowest: int, width: int, edits: int
         differs = np.flatnonzero(np.concatenate([doc[a:b] != item[a + d : b + d], [True]])) + a
         runs[d] = (differs, a, b)
         first = np.concatenate([[a], differs[:-1] + 1])
-        for x, y in zip(first, differs):
-            if y - x >= seed:
-                begins.append((int(x), int(y), d))
-                exact = max(exact, int(np.searchsorted(spaces, y) - np.searchsorted(spaces, x)) - 1)
+        long = differs - first >= seed
+        if long.any():
+            x, y = first[long], differs[long]
+            begins += zip(x.tolist(), y.tolist(), [d] * len(x))
+            exact = max(exact, int((np.searchsorted(spaces, y) - np.searchsorted(spaces, x)).max()) - 1)
+
+    if sum(sorted((y - x for x, y, _ in begins), reverse=True)[: edits + 1]) + edits < least:
+        return (*best, exact)
 
     def furthest(d: int, i: int) -> int:
         differs, a, b = runs[d]
@@ -162,18 +182,18 @@ def _search(shared, id_name: str):
             codes = _codes(closed)
             rows: dict[tuple[int, int], tuple] = {}
             space: dict[int, np.ndarray] = {}
-            for doc, item, lowest in _bands(items, codes, starts):
+            for doc, item, lowest, width in _merged(_bands(items, codes, starts), 2 * items.edits or 1):
                 text = codes[starts[doc] : starts[doc] + len(texts[doc])]
                 if doc not in space:
                     space[doc] = np.flatnonzero(text == 32)
-                got = align(text, items.texts[item], lowest, 2 * items.edits or 1, items.edits, items.q, space[doc])
+                got = align(text, items.texts[item], lowest, width, items.edits, items.q, space[doc], items.shortest(item))
                 old = rows.get((doc, item))
                 if old is None or (got[1] - got[0], -got[0]) > (old[1] - old[0], -old[0]):
                     rows[doc, item] = (*got[:4], max(got[4], old[4] if old else 0))
                 else:
                     rows[doc, item] = (*old[:4], max(got[4], old[4]))
             # a passage is verified if it is as long as the bound's and has the words
-            good = [(k, v) for k, v in rows.items() if v[1] - v[0] >= items.bounds[k[1]] + items.q - 1 + items.edits * items.q or v[4] >= items.min_words]
+            good = [(k, v) for k, v in rows.items() if v[1] - v[0] >= items.shortest(k[1]) or v[4] >= items.min_words]
             cols = list(zip(*[v for _, v in good])) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").take(pa.array([k[0] for k, _ in good], pa.int64())), pa.array([items.names[k[1]] for k, _ in good], pa.string()), *(pa.array(list(c), pa.int64()) for c in cols[:3]), *(pa.array(list(c), pa.int32()) for c in cols[3:])],
