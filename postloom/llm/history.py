@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from postloom.operators.quotient import identifier
 
 PASSES = 12
 MAX_RUNS = 4
-MIN_AGREE = 9
-RUN = "window bigint, cid bigint, sketch1 bigint, sketch2 bigint"
+#: Words of the sketch (16 nibbles each) and the nibbles that must agree: a pair at 0.5 agrees in 25 of 48 (deviation 3.5), one at 0.15 in 10.
+SKETCH, MIN_AGREE = 3, 16
+SKETCHES = [f"sketch{k}" for k in range(1, SKETCH + 1)]
+RUN = "window bigint, cid bigint, " + ", ".join(f"{k} bigint" for k in SKETCHES)
 SETTLED = "gid bigint, row_id string, i1 bigint, i2 bigint, cid bigint, kept_gid bigint"
 #: Rows of a lookup table that may be broadcast (at most 40 bytes each); a larger one is shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -43,19 +46,19 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         few = np.ones(n, bool)
         few[rows] = False
-        cid, sketch = np.zeros(n, np.int64), np.zeros((2, n), np.int64)
+        cid, sketch = np.zeros(n, np.int64), np.zeros((SKETCH, n), np.int64)
         keys, filled = np.empty((0, PASSES), np.int64), np.zeros(n, np.int64)
         if norms:
             hashes, counts = S.shingle_hashes(pa.array(norms))
-            mins = S.min_hashes(hashes, counts, 2 * PASSES + S.SKETCH, seed=3)
+            mins = S.min_hashes(hashes, counts, 2 * PASSES + 16 * SKETCH, seed=3)
             keys = np.stack([S.mix(S.mix(mins[:, 2 * p] + np.uint64(p + 1)) ^ mins[:, 2 * p + 1]) for p in range(PASSES)], 1).view(np.int64)
             cid[rows] = S.text_classes(norms)
             sketch[:, rows] = S.nibble_sketch(mins[:, 2 * PASSES :])
             filled[rows] = PASSES
         ends = np.concatenate([[0], np.cumsum(filled)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("row_id", "i1", "i2", "dup")] + [pa.array(cid, mask=few), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), pa.array(sketch[0], mask=few), pa.array(sketch[1], mask=few)],
-            ["row_id", "i1", "i2", "dup", "cid", "keys", "sketch1", "sketch2"],
+            [b.column(c) for c in ("row_id", "i1", "i2", "dup")] + [pa.array(cid, mask=few), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), *(pa.array(x, mask=few) for x in sketch)],
+            ["row_id", "i1", "i2", "dup", "cid", "keys", *SKETCHES],
         )
 
 
@@ -79,9 +82,11 @@ class History:
         self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         self.runs: list[tuple[str, str]] = []
         self.settled: list[str] = []
+        self.delivered: list[DataFrame] = []
         if manifest:
             saved = json.loads(manifest)
             self.buckets, self.settled = saved["buckets"], saved["settled"]
+            self.delivered = [self.rows]  # contents of earlier sessions are looked up by row id
             for path in saved["runs"]:
                 self._register(path)
 
@@ -109,7 +114,7 @@ class History:
         for name, _ in self.runs[1:]:
             merged = merged.union(self.spark.table(name))
         old, self.runs = self.runs, []
-        self._write_run(merged.join(accepted, "cid", "left_semi").select("window", "cid", "sketch1", "sketch2"))
+        self._write_run(merged.join(accepted, "cid", "left_semi").select("window", "cid", *SKETCHES))
         for name, _ in old:
             self.spark.sql(f"drop table if exists {name}")
 
@@ -122,15 +127,16 @@ class History:
         duplicate_of, by content the smallest. Null row ids are left out; a row delivered twice counts once; null,
         blank or empty keys and contents match nothing; a duplicate_of that is unknown or not smaller leads nowhere.
         """
+        self.delivered.append(delivery)
         ident = identifier("key")
         wide = delivery.where("row_id is not null").select(
             "row_id", F.when(ident.isNotNull(), F.xxhash64(ident)).alias("i1"), F.when(ident.isNotNull(), F.xxhash64(F.lit("second"), ident)).alias("i2"), F.when(F.col("dup") < F.col("row_id"), F.col("dup")).alias("dup"), "content"
         )
-        wide = materialize(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, sketch1 bigint, sketch2 bigint"), "p3-base")
+        wide = materialize(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCHES)), "p3-base")
         # numbers in the order of row_id, above those of earlier deliveries
         ordered = wide.select("row_id", "i1", "i2", "dup", "cid").repartitionByRange(self.buckets, "row_id").sortWithinPartitions("row_id")
         rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), "p3-rows")
-        self._write_run(wide.where("cid is not null").select(F.explode("keys").alias("window"), "cid", "sketch1", "sketch2"))
+        self._write_run(wide.where("cid is not null").select(F.explode("keys").alias("window"), "cid", *SKETCHES))
         refused = self._resolve(rows, self._links(rows))
         path = scratch(self.spark, "p3-settled")
         self._lookup(rows, refused, ["gid"]).select("gid", "row_id", "i1", "i2", "cid", "kept_gid").write.parquet(path)
@@ -159,8 +165,8 @@ class History:
         pairs = None
         for name, _ in self.runs:
             old = self.spark.table(name)
-            a, b = (x.select("window", F.col("cid").alias(f"cid_{n}"), *(F.col(f"sketch{k}").alias(f"{n}{k}") for k in "12")) for n, x in (("a", new), ("b", old)))
-            met = a.join(b.hint("merge"), "window").where("cid_a < cid_b" if name == self.runs[-1][0] else "cid_a <> cid_b").where(S.sketch_agreement(*([F.col(f"{n}{k}") for k in "12"] for n in "ab")) >= MIN_AGREE)
+            a, b = (x.select("window", F.col("cid").alias(f"cid_{n}"), *(F.col(k).alias(f"{n}_{k}") for k in SKETCHES)) for n, x in (("a", new), ("b", old)))
+            met = a.join(b.hint("merge"), "window").where("cid_a < cid_b" if name == self.runs[-1][0] else "cid_a <> cid_b").where(S.sketch_agreement(*([F.col(f"{n}_{k}") for k in SKETCHES] for n in "ab")) >= MIN_AGREE)
             met = met.select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"))
             pairs = met if pairs is None else pairs.union(met)
         pairs = materialize(pairs.repartition("cid_a").dropDuplicates(["cid_a", "cid_b"]), "p3-candidates")
@@ -169,7 +175,8 @@ class History:
             known = known.union(self._settled().select("row_id", "cid"))
         # the content of one row of each class that a window names
         ids = self._matching(known.where("cid is not null").select("cid", F.xxhash64("row_id").alias("rid")), pairs.select(F.explode(F.array("cid_a", "cid_b"))), "cid").groupBy("cid").agg(F.min("rid").alias("rid"))
-        texts = self._matching(self.rows.select(F.xxhash64("row_id").alias("rid"), "content"), ids.select("rid"), "rid").select("content").mapInArrow(_texts, "cid bigint, norm string")
+        contents = reduce(DataFrame.union, [x.select(F.xxhash64("row_id").alias("rid"), "content") for x in self.delivered])
+        texts = self._matching(contents, ids.select("rid"), "rid").select("content").mapInArrow(_texts, "cid bigint, norm string")
         texts = texts.groupBy("cid").agg(F.first("norm").alias("norm"))
         ta, tb = (texts.select(F.col("cid").alias(f"cid_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
         alike = pairs.join(ta, "cid_a").join(tb, "cid_b").where(S.jaccard(F.col("norm_a"), F.col("norm_b")) >= self.threshold)

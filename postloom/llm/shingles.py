@@ -77,14 +77,11 @@ def min_hashes(shingles: np.ndarray, counts: np.ndarray, n: int, seed: int) -> n
     return out
 
 
-SKETCH = 32
-
-
-def nibble_sketch(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``SKETCH`` min-hash values as nibbles of two bigints; two texts agree in a nibble with probability J + (1-J)/16."""
+def nibble_sketch(mins: np.ndarray) -> list[np.ndarray]:
+    """Min-hash values as nibbles of bigints, sixteen in each; two texts agree in a nibble with probability J + (1-J)/16."""
     nibbles = mix(mins) >> np.uint64(60)
     place = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    return tuple((nibbles[:, k : k + 16] << place).sum(1, dtype=np.uint64).view(np.int64) for k in (0, 16))
+    return [(nibbles[:, k : k + 16] << place).sum(1, dtype=np.uint64).view(np.int64) for k in range(0, mins.shape[1], 16)]
 
 
 def sketch_agreement(a: list[Column], b: list[Column]) -> Column:
@@ -95,7 +92,7 @@ def sketch_agreement(a: list[Column], b: list[Column]) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         differ = differ + F.bit_count(x)
-    return F.lit(SKETCH) - differ
+    return F.lit(16 * len(a)) - differ
 
 
 def runs_of(norm: str, run: int = RUN) -> set[tuple[str, ...]]:
@@ -108,8 +105,15 @@ def runs_of(norm: str, run: int = RUN) -> set[tuple[str, ...]]:
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact Jaccard similarity of the distinct word runs of two normal texts; 0 where either has none."""
 
+    known: dict[str, set] = {}  # a text is often in several pairs of a batch
+
+    def runs(x: str) -> set:
+        if x not in known:
+            known[x] = runs_of(x)
+        return known[x]
+
     def one(x: str, y: str) -> float:
-        rx, ry = runs_of(x), runs_of(y)
+        rx, ry = runs(x), runs(y)
         common = len(rx & ry)
         return common / (len(rx) + len(ry) - common) if common else 0.0
 
