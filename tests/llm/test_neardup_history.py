@@ -74,7 +74,8 @@ def test_pairs_against_brute_force(spark):
     got = {tuple(r) for r in N.near_duplicate_pairs(df, "id", "title", "content").collect()}
     want = brute_pairs(rows)
     assert got <= want
-    assert len(got) >= 0.97 * len(want) and len(want) > 20
+    # most of these pairs lie close to 0.5, where 98 % are expected, and those of one text are missed together
+    assert len(got) >= 0.95 * len(want) and len(want) > 20
 
 
 def test_groups_cover_every_row(spark):
