@@ -95,6 +95,17 @@ def sketch_agreement(a: list[Column], b: list[Column]) -> Column:
     return F.lit(16 * len(a)) - differ
 
 
+def agreement(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """``sketch_agreement`` of arrays."""
+    same = np.full(len(a[0]), 16 * len(a), np.int64)
+    for u, v in zip(a, b):
+        x = (u ^ v).view(np.uint64)
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        same -= np.bitwise_count(x & np.uint64(0x1111111111111111))
+    return same
+
+
 def runs_of(norm: str, run: int = RUN) -> set[tuple[str, ...]]:
     """The distinct word runs of a normal text."""
     words = norm.split(" ")
