@@ -188,3 +188,20 @@ def test_history_near_the_threshold(spark):
     df = spark.createDataFrame(rows, "evidence_id string, source_key string, duplicate_of string, content string, batch_no int")
     got = {r.row_id for r in H.replay(spark, df, (1,)).collect()}
     assert len(want) > 1000 and got <= want and len(got) >= 0.998 * len(want)
+
+
+def test_pairs_near_the_threshold(spark):
+    rng, rows = random.Random(8), []
+    words = [f"w{k}" for k in range(4000)]
+    for i in range(1500):
+        base = rng.choices(words, k=60)
+        rows += [(f"A{i:04d}", None, " ".join(base)), (f"B{i:04d}", None, " ".join(base[:41] + rng.choices(words, k=19)))]
+    want = {(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2]) if alike(runs(*a[1:]), runs(*b[1:]))}
+    got = {tuple(r) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, "id string, title string, content string"), "id", "title", "content").collect()}
+    assert len(want) > 1200 and got <= want and len(got) >= 0.995 * len(want), (len(got), len(want))
+
+
+def test_small_corpus_at_the_former_bound(spark):
+    rows = corpus()
+    got = N.near_duplicate_pairs(spark.createDataFrame(rows, "id string, title string, content string"), "id", "title", "content").count()
+    assert got >= 0.97 * len(brute_pairs(rows)), (got, len(brute_pairs(rows)))
