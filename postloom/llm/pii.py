@@ -109,16 +109,15 @@ def _case(words: list[str]) -> str:
 
 
 def _names(text: str, words: list[re.Match]) -> Iterator[tuple[int, int, list[str]]]:
-    """Name candidates around lexicon words and behind cues."""
+    """Name candidates: runs of capitalised words, initials and particles, and of lexicon words in any case."""
     starts = {m.start() for m in words if m[0].lower() in _NAMES}
     cued = {m.end() for m in _CUED.finditer(text)}
-    if not starts and not cued:
-        return
     parts = [m for m in _PART.finditer(text)]
     place = {m.start(): i for i, m in enumerate(parts)}
     seen = set()
     near = {j for s in starts | cued if s in place for j in range(place[s] - 3, place[s] + 1) if j >= 0}
     near |= {i for i, m in enumerate(parts) for s in starts if m.start() < s < m.end()}
+    near |= {i for i, (m, n) in enumerate(zip(parts, parts[1:])) if m[0][0].isupper() and (n[0][0].isupper() or n[0] in _PARTICLES)}
     for i in sorted(near):
         for n in range(2, 6):
             group = parts[i : i + n]
@@ -145,7 +144,9 @@ def _names(text: str, words: list[re.Match]) -> Iterator[tuple[int, int, list[st
                     kinds.append("U")
                 else:
                     kinds.append("x")
-            if "x" in kinds or kinds[-1] == "p" or kinds[0] == "p" and "U" in kinds:
+            if "x" in kinds:
+                break  # and in every longer run
+            if kinds[-1] == "p" or kinds[0] == "p" and "U" in kinds:
                 continue
             shape = re.sub(r"p+", "p", "".join(kinds))
             commas = sum("," in g for g in gaps)
@@ -160,9 +161,27 @@ def _names(text: str, words: list[re.Match]) -> Iterator[tuple[int, int, list[st
             features = ["NAME", f"name={shape}{tail}", f"case={_case([m[0] for m in group])}", f"given={min(kinds.count('G'), 2)}", f"family={min(kinds.count('F'), 2)}", f"unknown={min(kinds.count('U'), 3)}"]
             if group[0].start() in cued:
                 features.append("behind cue")
+            if "G" not in kinds and "F" not in kinds:
+                features += [*_unlisted(text, group, end), f"unlisted {shape}", f"unlisted {_case([m[0] for m in group])}"]
             yield group[0].start(), end, features
 
 
+def _unlisted(text: str, group: list[re.Match], end: int) -> list[str]:
+    """Features of a name without a word of the lexicon."""
+    words = [m[0].lower().rstrip(".") for m in group]
+    out = ["unlisted"]
+    if not _ORG.isdisjoint(words):
+        out.append("org inside")
+    before = text[: group[0].start()].rstrip(" ")
+    if not before or before[-1] in ".!?:\n":
+        out.append("opens sentence")
+    if group[0].start() and _PART.search(text, max(0, group[0].start() - 2), group[0].start()) is None and text[group[0].start() - 1] == " " and re.search(r"[A-ZÀ-Þ][\w'’-]* $", text[max(0, group[0].start() - 30) : group[0].start()]):
+        out.append("capital before")
+    after = _WORD.match(text, end + 1) if text[end : end + 1] == " " else None
+    out.append("after=" + ("capital" if after and after[0][0].isupper() else after[0].lower() if after else "none"))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     """Candidate segments: start, end (exclusive), kind, features."""
     out: list[tuple[int, int, str, list[str]]] = []
@@ -207,7 +226,7 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
         for form, hints in _STREET_HINTS.items():
             for m in _STREET_FORMS[form].finditer(text) if any(h in low for h in hints) else ():
                 out.append((m.start(), m.end(), "ADDRESS", ["ADDRESS", f"street={form}", "street lower" if m[0].islower() else "street capital", "city" if "," in m[0] else "no city"]))
-    if not _NAMES.isdisjoint(vocabulary) or not _CUE_WORDS.isdisjoint(vocabulary) and _CUED.search(text):
+    if low != text or not _NAMES.isdisjoint(vocabulary):
         out += [(a, b, "NAME", f) for a, b, f in _names(text, [*_WORD.finditer(text)])]
     return [(a, b, k, [*f, *(f"{k} {c}" for c in _cues(text, a, b))]) for a, b, k, f in out]
 

@@ -26,7 +26,9 @@ Ping came back with code 245-48-784 and nothing else.|Ping came back with code 8
 The checksum 1508883062-573 did not match.|The error code 2418102867 shows up after the upgrade.|Its 506 Drive letters and 126 Way joins are a joke.|Twenty-two Street View tiles were loaded.|Harrow Bay is the name of the region, not of the cluster.
 Stillwater Query Group wrote on 2026-10-13 that it is coming.|Copperfield Loop Inc. will drop Juniper Shard v11.13.17 a month back.|After 568 tries our intern opened ticket INC-88541-3404!|It took 12 days to find a way to do it.|We have 30 rows on the road map.
 Thanks u/row_hoarder248 for the hint.|See https://docs.vacuumlimit.example/window/v2.8?id=6130118182 for it.|Larkspur Studio asked Marrow & Finch Labs for 20 seats.|Ines wrote it.|Ulrik asked again.|Tarkovell said no.|It cost us 234 hours and 45 more drive bays.
-Ask for Blue Gantry Support at the desk.|I spoke with Hexham Tools last week.|Contact: Saltmarsh Hosting, Ostrava Lane Software.|Billing question for Quillon Works about the plan|The row was 12345678901 and the port 5432.|It cost us 328 hours. Ostrava Lane Software wrote on it.|We paid 44 dollars a Ostrava Lane Software seat.|Who at Hexham Tools is {NAME}?|Pregunten por {NAME}|Mr. {NAME} of Bramble Cloud closed it.|Saludos, {NAME}|Cordialement, {NAME}""".replace("\n", "|").split("|")
+Ask for Blue Gantry Support at the desk.|I spoke with Hexham Tools last week.|Contact: Saltmarsh Hosting, Ostrava Lane Software.|Billing question for Quillon Works about the plan|The row was 12345678901 and the port 5432.|It cost us 328 hours. Ostrava Lane Software wrote on it.|We paid 44 dollars a Ostrava Lane Software seat.|Who at Hexham Tools is {NAME}?|Pregunten por {NAME}|Mr. {NAME} of Bramble Cloud closed it.|Saludos, {NAME}|Cordialement, {NAME}
+Der Dienst von {PRODUCT} steht still.|Nach dem Wechsel von {PRODUCT} nach {PRODUCT} war Ruhe.|Die Doku von {PRODUCT} ist alt.|We moved to {PRODUCT} and it works.|{PRODUCT} keeps crashing.|{PRODUCT} asked for a call.|El cambio de {PRODUCT} a {PRODUCT} fue lento.
+Le passage de {PRODUCT} vers {PRODUCT} est long.|IT NEVER WORKS AFTER AN UPDATE WITH {PRODUCT}.|WHY DOES {PRODUCT} LOSE ROWS?|A note\nThe lock was held.|Der {PRODUCT} Dienst ruht.|Hat jemand {PRODUCT} gesehen?|Does {PRODUCT} support this?|IT IS SLOW, E.G. ON A BIG DISK, AND I.E. AT NIGHT.|SOBRE EL DISCO DE LA RED, Y EL PLAN DE PAGO NO CAMBIA.|THE LIST OF ROWS DE LA TABLE, AND THE REST.""".replace("\n", "|").split("|")
 
 CITIES = "Nordhaven Altbruck Wexmoor Villaserrada Vaumont Oldbridge".split() + ["Harrow Bay", "Lower Hathersby", "Saint Corvin", "Port Averill"]
 STEMS = ["Copperdale", "Hopkiln", "Juniper Court", "Old Tannery", "Quill", "Larch Hill", "Mereside", "Windlass", "Fennimore", "Tamarack Hollow"]
@@ -37,14 +39,21 @@ def _digits(rng: random.Random, form: str) -> str:
     return "".join(str(rng.randrange(10)) if c == "9" else rng.choice("ABCD") if c == "A" else c for c in form)
 
 
+def _made_up(rng: random.Random, syllables: int) -> str:
+    return "".join(rng.choice("b d f g h j k l m n p r s t v br st th".split()) + rng.choice("a e i o u ei ou".split()) + rng.choice(["", "", "n", "r", "l"]) for _ in range(syllables)).title()
+
+
 def _value(kind: str, rng: random.Random) -> str:
     pick = rng.choice
     if kind == "NAME":
         given, family = pick(pii.GIVEN).title(), pick(pii.FAMILY).title()
-        if rng.random() < 0.15:
-            given, family = pick("Selma Torvin Ibrane Keziah Marlo".split()), pick("Okenfeld Brastiani Holmqvard Dettori".split())
+        if rng.random() < 0.4:
+            given, family = _made_up(rng, 2), _made_up(rng, 3)
         family = pick(["", "", "", "", "", "van der ", "Le "]) + family
         return pick([f"{given} {family}"] * 5 + [f"{family}, {given}", f"{given[0]}. {family}", f"{given} {pick('ABCG')}. {family}", f"{given} {pick(pii.GIVEN).title()} {family}", f"{given} {family}".upper(), f"{family} {given}"])
+    if kind == "PRODUCT":  # none of the kinds
+        word = _made_up(rng, rng.choice([2, 3]))
+        return pick([word, f"{word} {pick('DB SQL Cache Loader Server Tools Works Migrate Store Systems'.split())}", word + pick(["db", "base", "store"])])
     if kind == "EMAIL":
         local = pick(["{a}.{b}", "{a}-{b}", "{a}{n}", "{a}_{b}{n}", "{b}.{a}+db"]).format(a=pick(pii.GIVEN), b=pick("tarkovell yarwick umbridle".split()), n=rng.randrange(99))
         domain = pick(["penhalden.example", "mail.tinderbox.test", "hexham-tools.invalid", "uni-altbruck.example", "a1b2.example"])
@@ -74,7 +83,8 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             kind, frame = rest.split("}", 1)
             text += head
             value = _value(kind, rng)
-            gold.append((len(text), len(text) + len(value), kind))
+            if kind != "PRODUCT":
+                gold.append((len(text), len(text) + len(value), kind))
             text += value
         text += frame + " "
     return text, gold

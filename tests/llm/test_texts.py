@@ -243,3 +243,14 @@ def test_toxic_passages(spark):
     assert scored.count() == len(rows)
     by = {r.source_name: (r.rows, r.flagged) for r in X.rates(scored).collect()}
     assert by[None] == (4, 4) and by["s0"] == (32, 0)
+
+
+HELD_OUT = ["Oluwaseun Adebayo", "Priya Raghunathan", "Svetlana Morozova", "Giuseppe Ferrante", "Hyejin Baek", "Tomasz Wisniewski", "Leilani Kahale", "Dragan Petkovic"]
+
+
+def test_names_outside_lexicon_and_training():
+    w = P.weights()
+    assert not {x.lower() for n in HELD_OUT for x in n.split()} & P._NAMES
+    found = sum((0, len(n), "NAME") in P.decode(f"{n} of Blue Gantry closed the case without a word.", w) for n in HELD_OUT)
+    assert found >= 6, found
+    assert not any(k == "NAME" for t in ("Der Dienst von Ochredb steht still.", "We moved to Velvetine SQL.", "Hexham Tools closed it.") for _, _, k in P.decode(t, w))
