@@ -1,9 +1,10 @@
 """Abusive, hateful or sexual content by maximum-scoring segments.
 
 Every token (and known pair of neighbours) has a log-odds score per category, from the labelled sample against its
-unlabelled and harmless background, with Dirichlet priors: the corpus's own word rates, and pseudo-counts for words of
-a small lexicon. A linear scan finds the segment of a text with the largest sum; its significance follows from the
-extreme-value law of such sums, whose parameters are estimated from the whole corpus.
+harmless background, with Dirichlet priors: the corpus's own word rates, and pseudo-counts for words of a general lexicon.
+Most of a labelled text is harmless, so the passages are learned with the scores: each text's best sentence under the scores of the
+last round counts for its category, the rest of it for the background. A linear scan finds the segment of a text with the
+largest sum; its significance follows from the extreme-value law of such sums, fitted to the maxima of held-out harmless texts.
 
 Tokens are compared without the usual disguises: zero-width characters, look-alike letters, digits and signs for
 letters, asterisks, drawn-out or spelled-out letters.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,36 +29,41 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 SAMPLE_ROWS = 5_000
 #: Weights of the priors in tokens: a category's, the harmless background's; a lexicon entry's pseudo-count.
 PRIOR, PRIOR_NONE, SEED = 300.0, 3000.0, 6.0
-#: Evidence a token must bring before it counts for a category (nats); keeps chance differences out of long segments.
-MARGIN = 1.3
+#: Evidence a token must bring before it counts for a category (nats), and what one observation takes off for chance.
+MARGIN, CHANCE = 1.3, 1.0
 #: Bounds of a score: of a word only the sample knows, of a lexicon entry, of a function word.
 LIMIT, LIMIT_LEXICON, LIMIT_COMMON = 6.0, 8.0, 1.0
-#: Largest expected number of segments of such a score in a harmless text of this length.
-P_VALUE = 3e-4
-
-# A lexicon of prior knowledge; entries of two words are neighbours.
+#: The score from which a word makes a passage alone; words around such words tell mentions from use.
+STRONG = 3.0
+#: Rounds of finding the labelled texts' passages, and folds of the calibration.
+ROUNDS, FOLDS = 3, 5
+#: The sum below which a segment is no more than a chance word.
+SMALL = 0.5
+#: Largest chance of a segment of such a score in a harmless text.
+P_VALUE = 1e-4
+
+# A lexicon of general prior knowledge (insults, slurs that dehumanise, sexual offers, in four languages).
 LEXICON = {
-    "abusive": """idiot idiots moron morons imbecile imbeciles cretin cretins dimwit dimwits halfwit halfwits dumbass dumbasses jackass asshole
-assholes bastard bastards scumbag scumbags loser losers wanker prick twat arsehole dipshit douchebag fuckwit motherfucker bitch pathetic|pathetic clown|
-worthless hack|worthless hacks|brain dead|dead parrot|dead parrots|lying rat|lying rats|of garbage|of garbages|you stupid|you pathetic|
-you worthless|you idiot|break your|your fingers|stop breathing|be ashamed|of raising|jump off|and starve|you vanished|
-kill yourself|hang yourself|drop dead|go die|you die|punch you|hurt you|hunt you|slap you|your mouth|
-vollidiot vollidioten trottel arschloch arschlöcher wichser hurensohn dummkopf schwachkopf depp deppen idioten mistkerl fresse penner drecksau versager erbärmlicher vollpfosten|
-die fresse|gehörst gefeuert|verpiss dich|
-connard connards abruti abrutis salaud salopard enculé imbécile enfoiré débile bouffon ordure crétins|ta gueule|te taire|abruti fini|
-gilipollas imbécil imbéciles cabrón cabrones idiota idiotas pendejo estúpido inútil capullo payaso|cállate la|deberían echarte""",
-    "hateful": """vermin subhuman subhumans untermenschen cockroaches parasites thieves savages degenerates inferior filth ungeziefer abschaum parasiten
-alimañas chusma vermine racaille cafards parásitos sabandijas|are vermin|all thieves|by nature|not belong|such animals|never hire|their blood|too stupid|
-drive all|work next|rather lose|town folk|those believers|kamari people|disabled people|old people|
-ostwickers veldrans southerners kamari|nichts verloren|ausländer haben|son ratas|des parasites|zu dumm|im blut|trop bêtes|le sang|demasiado tontas|la sangre""",
-    "sexual": """porn porno nudes nude horny xxx topless blowjob handjob orgasm masturbate hardcore escorts milf pussy cock dick boobs tits cum moan
-nacktbilder nackt sexbilder ficken fotze pornos desnuda desnudas follar polvo tetas salope sexo sexe|sex chat|dirty sex|sex talk|sex video|sex videos|
-horny singles|naked pics|cam shows|topless cam|strip naked|hardcore porn|porn clips|xxx videos|into bed|moan louder|clothes off|
-mir nacktbilder|photos nues|toi nue|fotos desnuda|ins bett""",
-    "none": """idiot proof|words such|as moron|as idiot|foreign keys|keys belong|schema send|naked domain|column naked|dumb terminal|felt dumb|stupid simple|child process|
-orphan jobs|garbage collector|adult plan|is sexy|ui is|the slave|a zombie|worker died|was reaped|the orphan|cocktail demo|the cockpit|analysts assess|
-hate this|them back|dead letter|dead lock|kill the|abort the|nuke the|naked eye|strip the|bed rest|rat race|clown fish""",
+    "abusive": """idiot idiots moron morons imbecile imbeciles cretin cretins dimwit dimwits halfwit halfwits dumbass dumbasses jackass asshole assholes
+arsehole bastard bastards scumbag scumbags loser losers wanker wankers prick twat twats dipshit douchebag fuckwit fuckface motherfucker shithead bitch bitches
+nitwit numbskull dickhead dickheads lowlife
+vollidiot vollidioten trottel arschloch arschlöcher wichser hurensohn dummkopf schwachkopf schwachköpfe depp deppen idioten mistkerl drecksau versager penner
+missgeburt spast arschgesicht dreckskerl vollpfosten fresse
+connard connards connasse abruti abrutis salaud salopard salope enculé enculés imbécile imbéciles enfoiré bouffon ordure crétin crétins crétine
+gilipollas imbécil cabrón cabrones idiota idiotas pendejo pendejos capullo payaso hijoputa cretino malnacido""",
+    "hateful": """vermin subhuman subhumans untermensch untermenschen cockroaches parasites savages degenerates mongrels filth ungeziefer abschaum parasiten kakerlaken
+alimañas chusma escoria vermine racaille cafards parásitos cucarachas sabandijas""",
+    "sexual": """porn porno nudes nude horny xxx topless blowjob blowjobs handjob orgasm masturbate masturbating hardcore escorts milf pussy cock dick boobs tits cum
+anal threesome creampie stripper erotic sexy hentai fetish
+nacktbilder nacktfotos sexbilder pornos ficken fotze titten muschi nackt geil
+pornos desnuda desnudas desnudo follar tetas polla coño sexo nue nues baiser seins sexe""",
 }
+# Parts of general phrases; pairs are made of them by rule.
+HARM = "break smash punch slap kick hurt kill stab strangle choke crush burn shoot beat hunt hang drown".split()
+BODY = "fingers bones legs arms neck face teeth jaw nose skull head throat knees ribs mouth".split()
+DIE = [("drop", "dead"), ("go", "die"), ("stop", "breathing"), ("kill", "yourself"), ("hang", "yourself"), ("jump", "off"), ("shut", "up"), ("your", "mother"), ("your", "mom"), ("ta", "gueule"), ("cállate", "la"), ("verpiss", "dich"), ("te", "taire")]
+TOO, STUPID = "too zu trop demasiado".split(), "stupid dumb dumm blöd bête bêtes stupides tonto tonta tontos tontas".split()
+BED = [("into", "bed"), ("clothes", "off"), ("ins", "bett"), ("a", "poil"), ("moan", "louder"), ("strip", "naked"), ("naked", "pics"), ("naked", "photos"), ("get", "naked"), ("sex", "chat"), ("sex", "videos"), ("sex", "tape")]
 
 # Function words and verbs of everyday use; they support a passage and never make one.
 COMMON = """a an the and or but not no nor so if of in on at to by for from with as than then that this these those it its he she they them their there
@@ -65,11 +71,12 @@ here his her him i me my we us our you your is are was were be been being am do
 down out off over all any every some such only just too very now never always ever what who whom whoever which when where why how go goes went come came
 back take took send sent get got make made let put see want like hope know tell told ask asked free want use used wrote write who's people person folk""".split()
 
-_ZERO = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_UNSEEN = re.compile(r"[\u200b-\u200d\u2060\ufeff\u00ad]")
 _ALIKE = str.maketrans("аеорсухіѕјԁһкмтнвгοαεινρτυ", "aeopcyxisjdhkmthvroaeivptu")
 _LEET = str.maketrans("0134578$@!|+", "oieastbsaiit")
 _SPELLED = re.compile(r"(?<![\w.])[^\W\d_](?:([.\-_ ])[^\W\d_])(?:\1[^\W\d_]){1,}(?![\w])")
-_TOKEN = re.compile(r"(?:[^\W_]|[*$@])+")
+_MAYBE_SPELLED = re.compile(r"\b[^\W\d_][.\-_ ][^\W\d_][.\-_ ][^\W\d_]\b")
+_TOKEN = re.compile(r"[\w*$@]+")
 _RUN = re.compile(r"(.)\1+")
 _MIXED = re.compile(r"[a-z]")
 
@@ -81,23 +88,29 @@ def squeeze(word: str) -> str:
     return _RUN.sub(r"\1", word)
 
 
+class Canonical(dict):
+    """Canonical forms of tokens, each worked out when it is first asked for."""
+
+    MOST = 500_000
+
+    def __init__(self, work):
+        self.work = work
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > self.MOST:
+            self.clear()
+        self[token] = got = self.work(token)
+        return got
+
+
 class Reader:
     """Tokens of texts in canonical form; ``known`` are the canonical words disguises are resolved to."""
 
     def __init__(self, known: set[str]):
         self.known = known
-        self.by_length = defaultdict(list)
-        for w in sorted(known):
-            self.by_length[len(w)].append(w)
-        self.cache: dict[str, str] = {}
-
-    def canonical(self, token: str) -> str:
-        got = self.cache.get(token)
-        if got is None:
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            got = self.cache[token] = self._canonical(token)
-        return got
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "lookup"}
 
     def _canonical(self, token: str) -> str:
         if token.isascii() and token.isalpha():
@@ -122,23 +135,27 @@ class Reader:
     def tokens(self, text: str) -> list[str]:
         text = text.lower()
         if not text.isascii():
-            text = unicodedata.normalize("NFKC", text).lower().translate(_ZERO)
-        text = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
-        canonical = self.canonical
-        return [canonical(t) for t in _TOKEN.findall(text)]
+            text = unicodedata.normalize("NFKC", text).lower()
+            if _UNSEEN.search(text):
+                text = _UNSEEN.sub("", text)
+        if _MAYBE_SPELLED.search(text):
+            text = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
+        if "lookup" not in self.__dict__:
+            self.lookup = Canonical(self._canonical).__getitem__
+        return list(map(self.lookup, _TOKEN.findall(text.replace("_", " "))))
 
 
 def lexicon_entries() -> dict[str, list[tuple[str, ...]]]:
-    """The lexicon's words and pairs, in canonical form."""
-    out = {}
-    for c, text in LEXICON.items():
-        entries = []
-        for part in text.split("|"):
-            words = part.split()
-            # a part is a list of words if it is longer than a pair or stands first in its line
-            entries += [(w,) for w in words] if len(words) > 2 or len(words) == 1 else [tuple(words)]
-        out[c] = [tuple(squeeze(x) for w in e for x in re.findall(r"[^\W_]+", w))[-2:] for e in entries]
-    return out
+    """The lexicon's words and the pairs made of its parts, in canonical form; entries without a letter are left out."""
+    words = {c: [(w,) for w in text.split()] for c, text in LEXICON.items()}
+    words["abusive"] += [(h, x) for h in HARM for x in ("you", "your")] + [("your", x) for x in BODY] + DIE
+    words["hateful"] += [(t, x) for t in TOO for x in STUPID] + [(x, "country") for x in ("this", "our", "my")]
+    words["sexual"] += BED
+    plain = {c: [tuple(squeeze("".join(re.findall(r"[^\W\d_]", w))) for w in e) for e in entries] for c, entries in words.items()}
+    return {c: [e for e in dict.fromkeys(entries) if all(e)] for c, entries in plain.items()}
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 class Model:
@@ -146,52 +163,105 @@ class Model:
     all other tokens; ``scale`` (lambda) and ``size`` (K) are the extreme-value law's parameters per category."""
 
     def __init__(self, labelled: list[tuple[str, str]]):
-        entries = lexicon_entries()
-        raw = {w for text in LEXICON.values() for w in re.findall(r"[^\W\d_]+", text)} | {w for t, c in labelled if c in CATEGORIES for w in re.findall(r"[^\W\d_]+", t.lower()) if w.isascii()}
+        self.entries = lexicon_entries()
+        raw = {w for text in LEXICON.values() for w in text.split()} | {w for t, c in labelled if t and c in CATEGORIES for w in re.findall(r"[^\W\d_]+", t.lower()) if w.isascii()}
         self.reader = Reader({squeeze(w) for w in raw})
-        self.counts = {c: Counter() for c in (*CATEGORIES, "none")}
-        self.sizes = Counter()
-        for text, category in labelled:
-            if category not in self.counts or not text:
-                continue
-            words = self.reader.tokens(text)
-            self.counts[category].update(words)
-            self.counts[category].update(zip(words, words[1:]))
-            self.sizes[category] += len(words)
-        for c, items in entries.items():
-            for e in items:
-                self.counts[c][e if len(e) > 1 else e[0]] += SEED
-        lexicon = {w for items in entries.values() for e in items for w in e}
+        #: category and tokens of each labelled text's sentences
+        self.texts = [(c, [s for s in map(self.reader.tokens, _SENTENCE.split(t)) if s]) for t, c in labelled if t and c in (*CATEGORIES, "none")]
+        self.lexicon = {e if len(e) > 1 else e[0] for c in CATEGORIES for e in self.entries[c]}
+        words = {w for items in self.entries.values() for e in items for w in e}
+        harmless = {w for c, sentences in self.texts if c == "none" for s in sentences for w in s}
+        telling, pairs = Counter(), Counter()
+        for c, sentences in self.texts:
+            if c != "none":
+                telling.update(w for s in sentences for w in s if w not in harmless)
+                pairs.update((c, p) for s in sentences for p in zip(s, s[1:]))
         # masked words are looked up among the lexicon's and the sample's telling words
-        telling = Counter()
-        for c in CATEGORIES:
-            telling.update({w: n for w, n in self.counts[c].items() if isinstance(w, str) and not self.counts["none"][w]})
-        self.reader.raw = sorted({w for w in raw if squeeze(w) in lexicon or telling[squeeze(w)]}, key=lambda w: (squeeze(w) not in lexicon, -telling[squeeze(w)], w))
-        pairs = {e for c in CATEGORIES for e, n in self.counts[c].items() if isinstance(e, tuple) and n >= 2}
-        pairs |= {e for e in self.counts["none"] if isinstance(e, tuple) and any(self.counts[c][w] for w in e for c in CATEGORIES)}
-        self.vocabulary = {w for c in CATEGORIES for w in self.counts[c] if isinstance(w, str)} | {w for w in self.counts["none"] if isinstance(w, str)}
-        self.pairs, self.lexicon = pairs, {e if len(e) > 1 else e[0] for c in CATEGORIES for e in entries[c]}
+        self.reader.raw = sorted({w for w in raw if squeeze(w) in words or telling[squeeze(w)]}, key=lambda w: (squeeze(w) not in words, -telling[squeeze(w)], w))
+        self.vocabulary = words | {w for _, sentences in self.texts for s in sentences for w in s}
+        self.pairs = {p for (_, p), n in pairs.items() if n >= 2} | {e for e in self.lexicon if isinstance(e, tuple)}
         self.score: dict = {}
 
-    def fit(self, rates: dict, total: int) -> None:
-        """``rates``: counts in the corpus of the vocabulary's words and pairs, among ``total`` tokens."""
-        none, n_none = self.counts["none"], max(self.sizes["none"], 1)
-        pull = np.array([np.log(PRIOR / (max(self.sizes[c], 1) + PRIOR)) - np.log(PRIOR_NONE / (n_none + PRIOR_NONE)) for c in CATEGORIES])
-        self.other = np.minimum(pull, -0.3) - MARGIN
-        common = {squeeze(w) for w in COMMON}
-        for w in [*sorted(self.vocabulary), *sorted(self.pairs)]:
-            p = max(rates.get(w, 0), 0.5) / max(total, 1)
-            harmless = (none[w] + PRIOR_NONE * p) / (n_none + PRIOR_NONE)
-            most = LIMIT_LEXICON if w in self.lexicon else MARGIN + LIMIT_COMMON if w in common else LIMIT
-            value = np.clip([np.log((self.counts[c][w] + PRIOR * p) / (max(self.sizes[c], 1) + PRIOR) / harmless) for c in CATEGORIES], -LIMIT, most)
-            if isinstance(w, tuple):  # what the pair says beyond its words
-                apart = np.maximum(self.score_of(w[0]), 0) + np.maximum(self.score_of(w[1]), 0)
-                if w in self.lexicon:
-                    apart = self.score_of(w[0]) + self.score_of(w[1])
-                value = np.where(none[w] > 0, np.minimum(value - apart, 0), np.maximum(value - MARGIN - apart, 0))
-            else:
-                value = value - MARGIN
-            self.score[w] = value
+    def fit(self, rates: dict, total: int, left_out: int | None = None) -> None:
+        """``rates``: counts in the corpus of the vocabulary's words and pairs, among ``total`` tokens; ``left_out``: the fold
+        of labelled texts that is not to be learned from."""
+        texts = [x for i, x in enumerate(self.texts) if i % FOLDS != left_out]
+        total, common = max(total, 1), {squeeze(w) for w in COMMON}
+        chosen = [sentences if c != "none" else [] for c, sentences in texts]
+        for turn in range(ROUNDS + 1):
+            counts, sizes = {c: Counter() for c in (*CATEGORIES, "none")}, Counter()
+            # of a passage's words their different neighbours are counted: a set phrase is one piece of evidence, however often it is told
+            contexts: dict[str, dict] = {c: {} for c in CATEGORIES}
+            for (c, sentences), own in zip(texts, chosen):
+                for s in sentences:
+                    if c != "none" and any(s is x for x in own):
+                        for before, w, after in zip(["", *s], s, [*s[1:], ""]):
+                            contexts[c].setdefault(w, set()).update([(before, 0), (after, 1)])
+                        for pair, after in zip(zip(s, s[1:]), [*s[2:], ""]):
+                            contexts[c].setdefault(pair, set()).add(after)
+                    else:
+                        counts["none"].update(s)
+                        counts["none"].update(zip(s, s[1:]))
+                        sizes["none"] += len(s)
+            for c in CATEGORIES:
+                counts[c].update({w: len(x) / (1 if isinstance(w, tuple) else 2) for w, x in contexts[c].items()})
+                sizes[c] = sum(n for w, n in counts[c].items() if isinstance(w, str))
+            for c, items in self.entries.items():
+                for e in items:
+                    counts[c][e if len(e) > 1 else e[0]] += SEED
+            self._log_odds(counts, sizes, rates, total, common)
+            if turn < ROUNDS:
+                chosen = [[max(sentences, key=lambda s, k=CATEGORIES.index(c): self._best(s)[k])] if c != "none" and sentences else [] for c, sentences in texts]
+        self._mentions(texts, chosen)
+
+    def _log_odds(self, counts: dict, sizes: Counter, rates: dict, total: int, common: set[str]) -> None:
+        none, n_none = counts["none"], max(sizes["none"], 1)
+        size = np.array([max(sizes[c], 1) for c in CATEGORIES])
+        pull = np.log(PRIOR / (size + PRIOR)) - np.log(PRIOR_NONE / (n_none + PRIOR_NONE))
+        self.other, self.before, self.after = np.minimum(pull, -0.3) - MARGIN, {}, {}
+
+        def raw(entries: list) -> tuple[np.ndarray, np.ndarray]:
+            p = np.array([max(rates.get(w, 0), 0.5) for w in entries])[:, None] / total
+            seen = np.array([[counts[c][w] for c in CATEGORIES] for w in entries])
+            told = np.array([none[w] for w in entries])[:, None]
+            value = np.log((seen + PRIOR * p) / (size + PRIOR)) - np.log((told + PRIOR_NONE * p) / (n_none + PRIOR_NONE))
+            most = np.array([LIMIT_LEXICON if w in self.lexicon else MARGIN + LIMIT_COMMON if w in common else LIMIT for w in entries])[:, None]
+            return np.clip(np.where(value > 0, np.maximum(value - CHANCE / np.sqrt(np.maximum(seen, 1)), 0), value), -LIMIT, most), told
+
+        words, pairs = sorted(self.vocabulary), sorted(self.pairs)
+        self.score = dict(zip(words, raw(words)[0] - MARGIN))
+        if pairs:  # what a pair says beyond its words
+            value, told = raw(pairs)
+            first, second = (np.array([self.score_of(x[k]) for x in pairs]) for k in (0, 1))
+            given = np.array([x in self.lexicon for x in pairs])[:, None]
+            apart = np.where(given, first + second, np.maximum(first, 0) + np.maximum(second, 0))
+            beyond = np.maximum(value - MARGIN - apart, 0)
+            plain = np.array([common.issuperset(x) for x in pairs])[:, None] & ~given
+            beyond = np.where(plain, np.minimum(beyond, LIMIT_COMMON), beyond)
+            self.score.update(zip(pairs, np.where(told > 0, np.minimum(value - apart, 0), beyond)))
+
+    def _mentions(self, texts: list, chosen: list) -> None:
+        """Words that stand right before (after) strong words in harmless sentences and in no passage: a strong word there
+        is mentioned or part of a term, and scores nothing."""
+        for k, c in enumerate(CATEGORIES):
+            strong = {w for w, v in self.score.items() if isinstance(w, str) and v[k] >= STRONG}
+            around = {True: (set(), set()), False: (set(), set())}
+            for (kind, sentences), own in zip(texts, chosen):
+                for s in sentences:
+                    before, after = around[any(s is x for x in own)] if kind in (c, "none") else (set(), set())
+                    for a, b in zip(s, s[1:]):
+                        if b in strong:
+                            before.add(a)
+                        if a in strong:
+                            after.add(b)
+            self.before[k], self.after[k] = around[False][0] - around[True][0] - strong, around[False][1] - around[True][1] - strong
+
+    def _best(self, words: list[str]) -> np.ndarray:
+        scores = np.array([self.score_of(w) for w in words]).reshape(-1, len(CATEGORIES))
+        for i, pair in enumerate(zip(words, words[1:])):
+            if pair in self.pairs:
+                scores[i + 1] += self.score[pair]
+        return best_segments(scores, np.array([len(words)]))[0]
 
     def score_of(self, word: str) -> np.ndarray:
         return self.score.get(word, self.other)
@@ -199,22 +269,50 @@ class Model:
     def table(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Scores of all tokens of the texts, one after the other, and each text's number of tokens."""
         words = [self.reader.tokens(t) for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        codes, uniques = pd.factorize(np.fromiter(chain.from_iterable(words), object, int(counts.sum())))
+        return *self.table_of(words), words
+
+    def table_of(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, uniques, counts = factorized(words)
         scores = np.array([self.score_of(u) for u in uniques]).reshape(-1, len(CATEGORIES))[codes]
-        place = {u: i for i, u in enumerate(uniques)}
-        pairs = [(place[a] * len(uniques) + place[b], self.score[a, b]) for a, b in self.pairs if a in place and b in place and (a, b) in self.score]
-        if pairs and len(codes) > 1:
-            pairs.sort(key=lambda x: x[0])
-            keys, values = np.array([k for k, _ in pairs]), np.array([v for _, v in pairs])
-            key = codes[:-1] * len(uniques) + codes[1:]
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            ends = np.cumsum(counts)
-            last = ends[(ends > 0) & (ends < len(codes))] - 1
-            hit[last] = False
-            scores[1:][hit] += values[at[hit]]
-        return scores, counts, words
+        at, pairs = known_pairs(codes, uniques, counts, self.score.keys() & self.pairs)
+        if pairs:
+            scores[1:][at >= 0] += np.array([self.score[p] for p in pairs])[at[at >= 0]]
+        if len(codes) > 1:
+            firsts, lasts = np.cumsum(counts) - counts, np.cumsum(counts) - 1
+            for k in self.before:
+                strong = scores[:, k] >= STRONG
+                before, after = (np.array([u in side[k] for u in uniques])[codes] for side in (self.before, self.after))
+                mention = np.zeros(len(codes), bool)
+                mention[1:] = strong[1:] & before[:-1]
+                mention[firsts[counts > 0]] = False
+                follows = np.zeros(len(codes), bool)
+                follows[:-1] = strong[:-1] & after[1:]
+                follows[lasts[counts > 0]] = False
+                scores[mention | follows, k] = np.minimum(scores[mention | follows, k], self.other[k])
+        return scores, counts
+
+
+def factorized(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' tokens one after the other as codes, the word of each code, and each text's number of tokens."""
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    codes, uniques = pd.factorize(np.fromiter(chain.from_iterable(words), object, int(counts.sum())))
+    return codes, uniques, counts
+
+
+def known_pairs(codes: np.ndarray, uniques: np.ndarray, counts: np.ndarray, pairs: set) -> tuple[np.ndarray, list]:
+    """For each token but the last the number of the known pair it begins (-1: none, or the next token is another text's), and
+    the pairs by number."""
+    place = {u: i for i, u in enumerate(uniques)}
+    known = sorted((place[a] * len(uniques) + place[b], (a, b)) for a, b in pairs if a in place and b in place)
+    out = np.full(max(len(codes) - 1, 0), -1, np.int64)
+    if known and len(out):
+        keys, key = np.array([k for k, _ in known]), codes[:-1] * len(uniques) + codes[1:]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        ends = np.cumsum(counts)
+        hit[ends[(ends > 0) & (ends < len(codes))] - 1] = False
+        out[hit] = at[hit]
+    return out, [p for _, p in known]
 
 
 def best_segments(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -263,11 +361,11 @@ def _corpus(shared):
         model: Model = shared.value
         for b in batches:
             words = [model.reader.tokens(t) for t in b.column(0).to_pylist() if t]
-            seen = Counter(chain.from_iterable(words))
-            total = sum(seen.values())
-            first = {a for a, _ in model.pairs}
-            both = Counter(p for w in words for p in zip(w, w[1:]) if p[0] in first and p in model.pairs)
-            rows = [(w, n) for w, n in seen.items() if w in model.vocabulary] + [(" ".join(p), n) for p, n in both.items()] + [("", total)]
+            codes, uniques, counts = factorized(words)
+            seen = np.bincount(codes, minlength=len(uniques))
+            rows = [(w, int(n)) for w, n in zip(uniques, seen) if w in model.vocabulary] + [("", len(codes))]
+            at, pairs = known_pairs(codes, uniques, counts, model.pairs)
+            rows += [(" ".join(pairs[i]), int(n)) for i, n in enumerate(np.bincount(at[at >= 0], minlength=len(pairs))) if n]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows]), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
     return run
@@ -282,30 +380,43 @@ def fit(corpus: DataFrame, text: str, sample: DataFrame, sample_text: str = "tex
     counted = corpus.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(_corpus(shared), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     rates = {r.word: r.n for r in counted.collect()}
     total = rates.pop("", 0)
-    model.fit({tuple(w.split(" ")) if " " in w else w: n for w, n in rates.items()}, total)
-    _calibrate(model, rates, total)
+    calibrated(model, {tuple(w.split(" ")) if " " in w else w: n for w, n in rates.items()}, total)
     return model
 
 
-def _calibrate(model: Model, rates: dict, total: int) -> None:
-    """Lambda is the positive root of E[exp(lambda s)] = 1 over the corpus's tokens; K is taken as 1 divided by the mean
-    length of a positive excursion, bounded by 1."""
+def calibrated(model: Model, rates: dict, total: int) -> Model:
+    """Fit the scores and the extreme-value law. Lambda is the positive root of E[exp(lambda s)] = 1 over the corpus's tokens, K
+    the maximum-likelihood value for the largest segments of harmless labelled texts, each scored by a fit that hasn't seen its
+    fold; a text whose best is below ``SMALL`` counts as just that."""
+    sizes, maxima = [], []
+    for fold in range(FOLDS):
+        held = [[w for s in sentences for w in s] for i, (c, sentences) in enumerate(model.texts) if i % FOLDS == fold and c == "none"]
+        if held:
+            model.fit(rates, total, fold)
+            scores, counts = model.table_of(held)
+            sizes.append(counts)
+            maxima.append(best_segments(scores, counts))
+    model.fit(rates, total)
     words = [w for w in model.score if isinstance(w, str)]
     p = np.array([rates.get(w, 0) for w in words], float) / max(total, 1)
     s = np.array([model.score[w] for w in words]).reshape(-1, len(CATEGORIES))
     rest = max(1 - p.sum(), 0)
-    model.scale, model.size = np.ones(len(CATEGORIES)), np.ones(len(CATEGORIES))
-    for c in range(len(CATEGORIES)):
-        lo, hi = 1e-3, 5.0
-        f = lambda x, c=c: (p * np.exp(x * s[:, c])).sum() + rest * np.exp(x * model.other[c]) - 1
-        if f(hi) <= 0:
-            model.scale[c] = hi
-            continue
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-        model.scale[c] = (lo + hi) / 2
-        model.size[c] = min(1.0, max(1e-3, p[s[:, c] > 0].sum()))
+    model.scale = np.array([_root(p, s[:, k], rest, model.other[k]) for k in range(len(CATEGORIES))])
+    model.size = np.full(len(CATEGORIES), 1e-2)
+    if maxima:
+        n, best = np.maximum(np.concatenate(sizes), 1).astype(float)[:, None], np.concatenate(maxima)
+        seen = (best > SMALL).sum()
+        model.size[:] = max(seen, 1) / (n * np.exp(-model.scale * np.maximum(best, SMALL))).sum()
+    return model
+
+
+def _root(p: np.ndarray, s: np.ndarray, rest: float, other: float) -> float:
+    """The positive root of sum p exp(x s) + rest exp(x other) = 1, at most 5."""
+    lo, hi = 1e-3, 5.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (p * np.exp(mid * s)).sum() + rest * np.exp(mid * other) < 1 else (lo, mid)
+    return (lo + hi) / 2
 
 
 def p_values(model: Model, best: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -245,6 +245,30 @@ def test_toxic_passages(spark):
     assert by[None] == (4, 4) and by["s0"] == (32, 0)
 
 
+def test_harmless_sentences_of_labelled_texts_are_not_learned(spark):
+    """A product that only toxic labelled texts name by chance, and a lexicon without entries."""
+    plain = [f"We moved the {a} from {b} to the new plan." for a in ("archive", "index", "ledger") for b in ("Alder", "Birch", "Cedar")]
+    rng = random.Random(2)
+    sample = [(f"{rng.choice(plain)} You are a complete {w} and the patch proves it.", "abusive") for w in ("cretin", "moron", "dimwit") * 4]
+    sample += [(f"We moved the ledger from Umberley to the new plan. {t}", "sexual") for t in ("Click here for nudes.", "Click here for porn.")]
+    sample += [(" ".join(rng.sample(plain, 3)), "none") for _ in range(40)]
+    rows = [(i, " ".join(rng.sample(plain, 3))) for i in range(300)] + [(1000 + i, "We moved the index from Umberley to the new plan.") for i in range(40)] + [(2000, "You are a complete moron and the patch proves it.")]
+    df = spark.createDataFrame(rows, "id int, content string")
+    lexicon, X.LEXICON = X.LEXICON, {**X.LEXICON, "sexual": ""}
+    try:
+        model = X.fit(df, "content", spark.createDataFrame(sample, "text string, category string"))
+    finally:
+        X.LEXICON = lexicon
+    assert [r.id for r in X.score(df, model, "id", "content").where("categories is not null").collect()] == [2000]
+    assert (model.scale > 0).all() and (model.size > 0).all()
+
+
+def test_sample_without_categories(spark):
+    df = spark.createDataFrame([(1, "All is well."), (2, None)], "id int, content string")
+    model = X.fit(df, "content", spark.createDataFrame([], "text string, category string"))
+    assert {r.id: r.abusive for r in X.score(df, model, "id", "content").collect()} == {1: 0.0, 2: 0.0}
+
+
 HELD_OUT = ["Oluwaseun Adebayo", "Priya Raghunathan", "Svetlana Morozova", "Giuseppe Ferrante", "Hyejin Baek", "Tomasz Wisniewski", "Leilani Kahale", "Dragan Petkovic"]
 
 
