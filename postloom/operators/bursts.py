@@ -2,8 +2,8 @@
 behind it, else on with the next post.
 
 A post can only reach into posts at most one span later, so a group is cut wherever two neighbours lie further apart
-than the span: the pieces are independent and are scanned one by one. A piece is carried across batches, so even a hot
-group streams through its task in time order with one burst in memory.
+than the span: the pieces are independent and lie in different tasks. A piece is carried across batches, so even one
+without any gap streams through its task in time order with one burst in memory.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.operators.relational import before_in_group
+
 
 def _scan(span: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, window = None, []
+        group, piece, window = None, None, []
 
         def settle(everything: bool, at: int | None = None):
             """Bursts that are complete: nothing later can join them."""
@@ -32,10 +34,10 @@ def _scan(span: int, least: int):
 
         for b in batches:
             out = []
-            for g, t, r in zip(b.column("grp").to_pylist(), b.column("t").to_pylist(), b.column("row_id").to_pylist()):
-                if g != group:
+            for g, p, t, r in zip(*(b.column(c).to_pylist() for c in ("grp", "piece", "t", "row_id"))):
+                if (g, p) != (group, piece):
                     out += settle(True)
-                    group = g
+                    group, piece = g, p
                 out += settle(False, t)
                 window.append((t, r))
             yield _batch(out)
@@ -53,5 +55,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def bursts(df: DataFrame, group: str, at: str, row_id: str, span_s: int = 7200, least: int = 4) -> DataFrame:
     """grp, first_row, from_s, to_s (seconds since 1970), posts of every burst of each group. Rows with a null group, time
     or id are left out; posts of one instant are in the order of their ids."""
-    rows = df.select(F.col(group).cast("string").alias("grp"), F.unix_timestamp(at).alias("t"), F.col(row_id).cast("string").alias("row_id")).where("grp is not null and t is not null and row_id is not null")
-    return rows.repartition("grp").sortWithinPartitions("grp", "t", "row_id").mapInArrow(_scan(span_s, least), "grp string, first_row string, from_s bigint, to_s bigint, posts bigint")
+    stamped = df.select(F.col(group).cast("string").alias("grp"), F.unix_timestamp(at).alias("t"), F.col(row_id).cast("string").alias("row_id")).where("grp is not null and t is not null and row_id is not null")
+    ordered = stamped.withColumn("o", F.struct("t", "row_id"))
+    gap = before_in_group(ordered, "grp", "o", {}, {"before": F.col("t")})
+    pieces = before_in_group(gap, "grp", "o", {"piece": F.coalesce(F.col("t") - F.col("before") > span_s, F.lit(False)).cast("int")})
+    cut = F.coalesce(F.col("t") - F.col("before") > span_s, F.lit(False)).cast("int")
+    rows = pieces.select("grp", (F.col("piece") + cut).alias("piece"), "t", "row_id")
+    return rows.repartition("grp", "piece").sortWithinPartitions("grp", "piece", "t", "row_id").mapInArrow(_scan(span_s, least), "grp string, first_row string, from_s bigint, to_s bigint, posts bigint")

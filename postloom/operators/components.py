@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternates large-star and small-star steps: the number of rounds grows with the logarithm of the longest path,
     each step aggregates by node with map-side combining, and no component is gathered anywhere. Self loops and null
-    ends are ignored; an empty edge list gives an empty result.
+    ends are ignored; an empty edge list gives an empty result. Not being done after ``max_rounds`` is an error.
     """
     mark = F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))  # with the number of rows: equal edge lists have equal marks
     cur, state = measured(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", mark=mark)
@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         cur, state = measured(nxt, "edges", mark=mark)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components have not converged in {max_rounds} rounds")
     nodes = cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.union(roots)

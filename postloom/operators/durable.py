@@ -10,19 +10,44 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a local one is made and set."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local one is made and set if the master is local (tests);
+    a cluster without a shared folder is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """``path`` as a Hadoop path with its scheme, and its file system."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(place), fs
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+    """A new path below the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
+def kept(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder for state that outlives the application."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    place, fs = hadoop_path(spark, path)
+    fs.delete(place, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: a cut of the lineage that
     outlives the loss of any executor."""

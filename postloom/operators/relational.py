@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.operators.durable import materialize
+from postloom.operators.durable import materialize, measured
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -21,8 +21,9 @@ def top_n(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
 
 
 def in_caller_order(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows by key in the order of ``wanted`` (``key``, pos): missing keys are dropped, repeated keys repeated."""
-    return wanted.join(df, key).orderBy("pos")
+    """The rows of ``df`` that ``wanted`` (``key``, pos and more) asks for, with its columns; missing keys are dropped, repeated
+    keys repeated. Sort by pos where the order is needed."""
+    return wanted.join(df, key)
 
 
 def take_until(df: DataFrame, keys: list[str], order: str, stop: DataFrame) -> DataFrame:
@@ -43,20 +44,20 @@ def first_of_key(df: DataFrame, key: str, row: str) -> DataFrame:
     return df.join(heads, key, "left").withColumn("first_row", F.coalesce("first_row", row))
 
 
-def follow_pointers(df: DataFrame, node: str, to: str, rounds: int = 40) -> DataFrame:
+def follow_pointers(df: DataFrame, node: str, to: str) -> DataFrame:
     """node, root, steps, cycle: where chains of pointers end, by pointer doubling (a logarithmic number of joins). A chain
     that runs into a circle has a null root and ``cycle`` true. Unknown targets are roots."""
     # one hop from a root stays there
-    cur = materialize(df.select(F.col(node).alias("node"), F.coalesce(F.col(to), F.col(node)).alias("at"), F.col(to).isNotNull().cast("bigint").alias("steps")), "pointers")
+    start = df.select(F.col(node).alias("node"), F.coalesce(F.col(to), F.col(node)).alias("at"), F.col(to).isNotNull().cast("bigint").alias("steps"))
+    cur, seen = measured(start, "pointers")
     ends = df.where(F.col(to).isNotNull()).select(F.col(node).alias("at"), F.lit(True).alias("moves"))
-    for _ in range(rounds):
+    reach, left = 1, 1
+    # a chain visits each node once at most, so what still moves after as many hops as there are nodes runs in a circle
+    while left and reach <= seen["rows"]:
         hop = cur.select(F.col("node").alias("at"), F.col("at").alias("then"), F.col("steps").alias("more"))
-        nxt = materialize(cur.join(hop, "at", "left").select("node", F.coalesce("then", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "pointers")
-        moved = nxt.join(cur.select("node", F.col("at").alias("was")), "node").where("at <> was").limit(1).count()
-        cur = nxt
-        # after k rounds a chain of more than 2**k steps or a circle is still moving
-        if not moved or nxt.agg(F.max("steps")).first()[0] > 1 << 20:
-            break
+        nxt = cur.join(hop, "at", "left").select("node", F.coalesce("then", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("then", "at") != F.col("at")).alias("moved"))
+        cur, more = measured(nxt, "pointers", moved=F.count_if("moved"))
+        cur, left, reach = cur.drop("moved"), more["moved"], 2 * reach
     return cur.join(ends, "at", "left").select("node", F.when(F.col("moves").isNull(), F.col("at")).alias("root"), F.when(F.col("moves").isNull(), F.col("steps")).alias("steps"), F.col("moves").isNotNull().alias("cycle"))
 
 
@@ -81,13 +82,31 @@ def append_new(existing: DataFrame, rows: DataFrame, key: list[str], order: str,
     return numbered.join(F.broadcast(top)).withColumn("id", F.concat(F.lit(prefix), F.lpad((F.col("top") + F.col("number")).cast("string"), width, "0"))).drop("top", "number")  # one row
 
 
-def number_rows(df: DataFrame, order: str) -> DataFrame:
-    """``number``: 1..n in the order of ``order``, without a single sorted partition."""
-    placed = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("place", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # one row a partition
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.withColumn("part", part).join(F.broadcast(offsets.select("part", "before")), "part").withColumn("number", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "place", "before")
+def before_in_group(df: DataFrame, group: str, order: str, sums: dict[str, Column], last: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with, for each row, the sums (and largest values, ``last``) over the rows before it in its group, null groups
+    being one group; 0 (null) for the first.
+
+    Rows are placed by ranges of (group, order), so a hot group lies in many tasks. Within a task the values run on
+    by a window; what earlier tasks hold of the group is added up per task: only one group reaches from one task into the
+    next, so that table has at most one row a task and is broadcast.
+    """
+    last = last or {}
+    placed = df.select("*", *[c.cast("bigint").alias(f"_sum_{k}") for k, c in sums.items()], *[c.alias(f"_last_{k}") for k, c in last.items()])
+    placed = materialize(placed.repartitionByRange(F.col(group).asc_nulls_first(), F.col(order)).withColumn("_part", F.spark_partition_id()), "placed")
+    whole = [F.sum(f"_sum_{k}").alias(f"_sum_{k}") for k in sums] + [F.max(f"_last_{k}").alias(f"_last_{k}") for k in last]
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(group, "_part").agg(*whole)
+    carried = parts.select(F.col(group).alias("_group"), "_part", F.row_number().over(Window.partitionBy(group).orderBy("_part")).alias("_nth"), *[F.sum(f"_sum_{k}").over(earlier).alias(f"_c_{k}") for k in sums], *[F.max(f"_last_{k}").over(earlier).alias(f"_c_{k}") for k in last]).where("_nth > 1").drop("_nth").withColumnRenamed("_part", "_at")
+    here = Window.partitionBy("_part", group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    run = placed.select("*", *[F.coalesce(F.sum(f"_sum_{k}").over(here), F.lit(0)).alias(f"_h_{k}") for k in sums], *[F.max(f"_last_{k}").over(here).alias(f"_h_{k}") for k in last])
+    both = run.join(F.broadcast(carried), (F.col("_part") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")), "left")  # one row a task at most
+    return both.select(*df.columns, *[(F.col(f"_h_{k}") + F.coalesce(f"_c_{k}", F.lit(0))).alias(k) for k in sums], *[F.greatest(f"_h_{k}", f"_c_{k}").alias(k) for k in last])
+
+
+def number_rows(df: DataFrame, order: str, group: str | None = None) -> DataFrame:
+    """``number``: 1..n in the order of ``order`` (within ``group``), without a single sorted partition."""
+    rows = df if group else df.withColumn("_all", F.lit(0))
+    return before_in_group(rows, group or "_all", order, {"number": F.lit(1)}).withColumn("number", F.col("number") + 1).drop("_all")
 
 
 def versions(df: DataFrame, key: str, order: str, *tracked: str) -> DataFrame:
@@ -102,8 +121,15 @@ def versions(df: DataFrame, key: str, order: str, *tracked: str) -> DataFrame:
 
 def fold_attempts(df: DataFrame, key: str, order: str, ok: Column, counted: Column, most: int) -> DataFrame:
     """key, attempts, status after all outcomes in order: failures that count until a success (done) or ``most`` of them (dead)."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    state = df.select(key, ok.alias("ok"), (counted & ~ok).cast("bigint").alias("failed"), F.coalesce(F.max(ok).over(w), F.lit(False)).alias("was_done"), F.coalesce(F.sum((counted & ~ok).cast("bigint")).over(w), F.lit(0)).alias("failed_before"))
-    live = state.where(~F.col("was_done") & (F.col("failed_before") < most))
+    state = df.select(key, order, ok.alias("ok"), (counted & ~ok).cast("bigint").alias("failed"))
+    state = before_in_group(state, key, order, {"was_done": F.col("ok").cast("int"), "failed_before": F.col("failed")})
+    live = state.where((F.col("was_done") == 0) & (F.col("failed_before") < most))
     out = live.groupBy(key).agg(F.sum("failed").alias("attempts"), F.max("ok").alias("ok"))
     return out.select(key, "attempts", F.when(F.col("ok"), "done").when(F.col("attempts") >= most, "dead").otherwise("open").alias("status"))
+
+
+def runs_of(df: DataFrame, group: str, order: str, bad: Column, least: int = 2) -> DataFrame:
+    """group, first (the ``order`` of its first row) and length of every run of ``least`` or more bad rows in a row."""
+    rows = df.select(group, order, F.coalesce(bad, F.lit(False)).alias("bad"))
+    marked = before_in_group(rows, group, order, {"island": (~F.col("bad")).cast("int")})  # good rows before: the same all along a run
+    return marked.where("bad").groupBy(group, "island").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= least).drop("island")

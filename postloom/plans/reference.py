@@ -110,8 +110,8 @@ def prj2(spark, d):
 
 @query("prj3_indexed", "select delivery_id, topic_id, row_number() over (partition by topic_id order by delivery_id) - 1 as index from material_signal where topic_id is not null")
 def prj3(spark, d):
-    w = Window.partitionBy("topic_id").orderBy("delivery_id")
-    return read(spark, d, "material_signal").where("topic_id is not null").select("delivery_id", "topic_id", (F.row_number().over(w) - 1).cast("bigint").alias("index"))
+    s = read(spark, d, "material_signal").where("topic_id is not null").select("delivery_id", "topic_id")
+    return R.number_rows(s, "delivery_id", "topic_id").select("delivery_id", "topic_id", (F.col("number") - 1).alias("index"))
 
 
 @query("prj7_envelopes", "select delivery_id, signal_id, signal_type, summary, evidence_ids[1] as first_evidence, len(evidence_ids) as cited from material_signal")
@@ -136,7 +136,7 @@ def flt1(spark, d):
 def flt2(spark, d):
     """Posts in the order in which each signal cites them; unknown ids drop out, repeated ones repeat."""
     wanted = read(spark, d, "material_signal").select("delivery_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
-    return wanted.join(evidence(spark, d).select("evidence_id", "source_name"), "evidence_id").select("delivery_id", F.col("pos").cast("bigint").alias("pos"), "evidence_id", "source_name")
+    return R.in_caller_order(evidence(spark, d).select("evidence_id", "source_name"), "evidence_id", wanted).select("delivery_id", F.col("pos").cast("bigint").alias("pos"), "evidence_id", "source_name")
 
 
 @query("flt10_posts_of_week", f"select source_name, count(*) as posts from evidence where strftime(cast(substr(captured_at,1,10) as date),'%G-W%V') = '{WEEK}' group by 1")
@@ -326,9 +326,7 @@ def win5_starts(spark, d):
 @query("win6_error_runs", "with s as (select batch_no, delivery_id, confidence_label = 'low' as bad, row_number() over (partition by batch_no order by delivery_id) - row_number() over (partition by batch_no, confidence_label = 'low' order by delivery_id) as island from material_signal) select batch_no, min(delivery_id) as first_delivery, count(*) as length from s where bad group by batch_no, island having count(*) >= 2")
 def win6(spark, d):
     """Runs of two or more deliveries in a row of low confidence, within a batch."""
-    s = read(spark, d, "material_signal").select("batch_no", "delivery_id", (F.col("confidence_label") == "low").alias("bad"))
-    island = F.row_number().over(Window.partitionBy("batch_no").orderBy("delivery_id")) - F.row_number().over(Window.partitionBy("batch_no", "bad").orderBy("delivery_id"))
-    return s.withColumn("island", island).where("bad").groupBy("batch_no", "island").agg(F.min("delivery_id").alias("first_delivery"), F.count(F.lit(1)).alias("length")).where("length >= 2").drop("island")
+    return R.runs_of(read(spark, d, "material_signal"), "batch_no", "delivery_id", F.col("confidence_label") == "low").withColumnRenamed("first", "first_delivery")
 
 
 @query("win8_week_before", f"with {_M} select topic_id, period, mentions, strftime(strptime(period || '-1', '%G-W%V-%u') - interval 7 day, '%G-W%V') as week_before from mentions")
