@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 TAGS = ("post_title", "post_body", "topics", "candidates", "evidence")
 
 
+#: Word characters (letters, digits, underscore) and white space of any kind.
+WORD = r"\p{L}\p{N}_"
+SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+
+
 def normalise(title: Column, content: Column) -> Column:
-    """Lower case, links and runs of non-word characters as one space, trimmed (Unicode word characters)."""
-    text = F.lower(F.concat_ws(" ", title, content))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"https?://\S+", " "), r"(?U)\W+", " "))
+    """Lower case, links and runs of non-word characters as one space, trimmed."""
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit(""))))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"https?://(?!{SPACE})(?:(?!{SPACE})[\s\S])+", " "), rf"[^{WORD}]+", " "))
 
 
 def slug(col: Column) -> Column:
@@ -21,20 +26,35 @@ def slug(col: Column) -> Column:
 
 
 def scrub(col: Column) -> Column:
-    """Account mentions as u/[user], plain e-mail addresses as [email]."""
-    users = F.regexp_replace(col, r"(?U)(^|[^\w/])/?u/[A-Za-z0-9_-]+", "$1u/[user]")
-    return F.regexp_replace(users, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    """Account mentions as u/[user], e-mail addresses (of any script) as [email]."""
+    users = F.regexp_replace(col, rf"(?<![{WORD}/])/?u/[A-Za-z0-9_-]+", "u/[user]")
+    return F.regexp_replace(users, rf"[{WORD}.+-]+@[{WORD}-]+(?:\.[{WORD}-]+)+", "[email]")
 
 
 def summary(col: Column, most: int = 300) -> Column:
-    """White space collapsed; longer texts cut and ended with an ellipsis."""
-    text = F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
+    """Scrubbed, white space collapsed; longer texts cut and ended with an ellipsis."""
+    text = F.trim(F.regexp_replace(scrub(col), f"{SPACE}+", " "))
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…"))).otherwise(text)
 
 
 def detail(title: Column, content: Column, most: int = 2000) -> Column:
-    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
-    return F.substring(scrub(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")), 1, most)
+    """Title and content, scrubbed, without surrounding white space, cut."""
+    text = scrub(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit(""))))
+    return F.substring(F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", ""), 1, most)
+
+
+def tags(slug: Column, kind: Column) -> Column:
+    """slug;kind"""
+    return F.concat(slug, F.lit(";"), kind)
+
+
+def add_summary(col: Column) -> Column:
+    """written (0 for none), skipped and invalid of a line "written: a, b; skipped duplicates: 1; invalid: 0"; null if it isn't one."""
+    pattern = r"written: (.*); skipped duplicates: (\d+); invalid: (\d+)"
+    part = lambda k: F.regexp_extract(col, pattern, k)
+    names = F.trim(part(1))
+    written = F.when(names == "none", 0).otherwise(F.size(F.split(names, ",")))
+    return F.when(col.rlike(pattern), F.struct(written.alias("written"), part(2).cast("int").alias("skipped"), part(3).cast("int").alias("invalid")))
 
 
 def escape_tags(col: Column, tags: tuple[str, ...] = TAGS) -> Column:

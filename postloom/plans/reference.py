@@ -90,11 +90,11 @@ def src4(spark, d):
     return evidence(spark, d).select("evidence_id", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("published_utc"), F.unix_timestamp(at).alias("published_s"))
 
 
-@query("src10_emitted_ids", "select distinct signal_id from material_signal where signal_id is not null")
+@query("src10_emitted_ids", "select distinct json_extract_string(metadata, '$.reddit_post_id') as post_id from evidence where json_valid(coalesce(metadata,'')) and json_extract_string(metadata, '$.reddit_post_id') is not null")
 def src10(spark, d):
-    """Ids read back from event lines; lines that are no JSON are passed over."""
-    lines = read(spark, d, "material_signal").select(F.to_json(F.struct(F.lit("emitted").alias("event"), F.struct("signal_id").alias("signal"))).alias("value"))
-    return lines.union(lines.limit(1).select(F.lit("{broken"))).select(F.get_json_object("value", "$.signal.signal_id").alias("signal_id")).where("signal_id is not null").distinct()
+    """Ids read back from JSON lines; lines that are no JSON are passed over."""
+    readable = evidence(spark, d).where(F.try_parse_json("metadata").isNotNull())
+    return readable.select(F.get_json_object("metadata", "$.reddit_post_id").alias("post_id")).where("post_id is not null").distinct()
 
 
 @query("src14_cited_tickets", "with t as (select evidence_id, unnest(list_distinct(regexp_extract_all(content, '[A-Z]{3}-[0-9]+-[0-9]+'))) as ticket from evidence) select ticket, count(*) as posts, min(evidence_id) as first_post from t group by 1")
@@ -144,9 +144,13 @@ def flt10(spark, d):
     return evidence(spark, d).where(X.iso_week(X.date_prefix(F.col("captured_at"))) == WEEK).groupBy("source_name").agg(F.count(F.lit(1)).alias("posts"))
 
 
-@query("flt11_search", "select evidence_id, title from evidence where title ilike '%retry queue%' or content ilike '%retry queue%'")
+@query("flt11_search", f"with {_C} select c.delivery_id, c.summary, c.signal_type, e.evidence_id, e.title, e.source_url from c join evidence e using (evidence_id) where e.title ilike '%retry queue%' or e.content ilike '%retry queue%' or c.summary ilike '%retry queue%'")
 def flt11(spark, d):
-    return evidence(spark, d).where(F.col("title").ilike("%retry queue%") | F.col("content").ilike("%retry queue%")).select("evidence_id", "title")
+    """Signals and the posts they cite, where a keyword stands in the post or in the signal."""
+    e = evidence(spark, d).select("evidence_id", "title", "content", "source_url")
+    hit = F.col("title").ilike("%retry queue%") | F.col("content").ilike("%retry queue%")
+    both = candidates(spark, d).join(e.select("evidence_id", "title", "source_url", F.coalesce(hit, F.lit(False)).alias("hit")), "evidence_id")
+    return both.where(F.col("hit") | F.col("summary").ilike("%retry queue%")).select("delivery_id", "summary", "signal_type", "evidence_id", "title", "source_url")
 
 
 @query("flt12_topic_pairs", f"with {_C}, p as (select distinct evidence_id, topic_id from c where topic_id is not null) select a.topic_id as one, b.topic_id as other, count(*) as posts from p a join p b on a.evidence_id=b.evidence_id and a.topic_id<b.topic_id group by 1,2 having count(*) >= 2")
@@ -260,18 +264,37 @@ def agg6(spark, d):
     return u.groupBy("topic_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
 
 
-@query("agg7_usage", "select source_type, lang_hint, count(*) as calls, cast(coalesce(sum(length(content)),0) as bigint) as input_tokens, cast(coalesce(sum(length(title)),0) as bigint) as output_tokens from (select *, substr(source_name,1,1) as lang_hint from evidence) group by 1,2")
+@query("agg7_usage", "select signal_type, confidence_label, count(*) as calls, cast(coalesce(sum(len(evidence_ids)),0) as bigint) as input_tokens, cast(coalesce(sum(len(materiality_reasons)),0) as bigint) as output_tokens from material_signal where created_at >= '2026-10-01' group by 1,2")
 def agg7(spark, d):
-    e = evidence(spark, d).select("source_type", F.substring("source_name", 1, 1).alias("lang_hint"), F.length("content").alias("input_tokens"), F.length("title").alias("output_tokens"))
-    return E.token_totals(spark, e, ["source_type", "lang_hint"])
+    """Ledger usage since a day: calls, what went in (cited posts) and came out (reasons)."""
+    s = read(spark, d, "material_signal").where("created_at >= '2026-10-01'")
+    s = s.select("signal_type", "confidence_label", F.size("evidence_ids").alias("input_tokens"), F.size("materiality_reasons").alias("output_tokens"))
+    return E.token_totals(spark, s, ["signal_type", "confidence_label"])
 
 
-@query("agg8_health", "select (select count(*) from evidence) as posts, (select count(*) from evidence where duplicate_of is not null) as duplicates, (select count(*) from evidence where content is null) as without_content, (select count(*) from material_signal) as signals, (select count(*) from material_signal where topic_id is null) as without_topic, (select count(*) from canonical_topic where status='active') as active_topics")
+@query("agg8_health", f"""with {_C}, n as (select signal_id, count(*) as deliveries, count(topic_id) as topics from material_signal where signal_id is not null group by 1)
+select (select count(*) from evidence where duplicate_of is null and evidence_id not in (select evidence_id from c)) as posts_pending, (select count(*) from evidence where content in ('[deleted]','[removed]')) as posts_dead,
+ (select count(*) from evidence where duplicate_of is not null) as duplicates, (select count(*) from n where topics = 0 and deliveries < 3) as signals_unmatched, (select count(*) from n where topics = 0 and deliveries >= 3) as signals_stuck,
+ (select count(*) from material_signal where signal_id is null) as signals_without_id, (select count(*) from material_signal where isnan(materiality_score)) as scores_unusable, (select count(*) from canonical_topic where status = 'merged' and merged_into is null) as merges_open,
+ (select count(*) from canonical_topic where status = 'active') as active_topics, (select count(*) from topic_weekly_mentions where mentions is null) as weeks_without_count""")
 def agg8(spark, d):
-    one = lambda t, **c: read(spark, d, t).agg(*[F.count_if(F.expr(v)).alias(k) for k, v in c.items()])
-    e = one("evidence", posts="true", duplicates="duplicate_of is not null", without_content="content is null")
-    s = one("material_signal", signals="true", without_topic="topic_id is null")
-    return e.join(F.broadcast(s)).join(F.broadcast(one("canonical_topic", active_topics="status = 'active'")))  # one row each
+    """Ten counts of what is pending, stuck or unusable."""
+    one = lambda t, **c: t.agg(*[F.count_if(F.expr(v)).alias(k) for k, v in c.items()])
+    s, e = read(spark, d, "material_signal"), evidence(spark, d)
+    pending = e.where("duplicate_of is null").select("evidence_id").join(candidates(spark, d).select("evidence_id"), "evidence_id", "left_anti")
+    n = s.where("signal_id is not null").groupBy("signal_id").agg(F.count(F.lit(1)).alias("deliveries"), F.count("topic_id").alias("topics"))
+    parts = [
+        one(pending, posts_pending="true"),
+        one(e, posts_dead="content in ('[deleted]','[removed]')", duplicates="duplicate_of is not null"),
+        one(n, signals_unmatched="topics = 0 and deliveries < 3", signals_stuck="topics = 0 and deliveries >= 3"),
+        one(s, signals_without_id="signal_id is null", scores_unusable="isnan(materiality_score)"),
+        one(read(spark, d, "canonical_topic"), merges_open="status = 'merged' and merged_into is null", active_topics="status = 'active'"),
+        one(read(spark, d, "topic_weekly_mentions"), weeks_without_count="mentions is null"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # one row each
+    return out
 
 
 @query("agg24_first_of_key", f"with e as (select evidence_id, {_IDENT.format(c='source_key')} as k from evidence) select evidence_id, case when k is null then evidence_id else min(evidence_id) over (partition by k) end as first_row from e")
@@ -307,11 +330,15 @@ def win4(spark, d):
     return R.top_n(e, ["source_name"], 10, F.desc("at"), F.desc("evidence_id")).select("source_name", "evidence_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("win5_bursts")
+@query("win5_bursts", f"""with recursive e as (select source_name || ' ' || strftime({_AT.format(c='published_at')} at time zone 'UTC','%G-W%V') as grp, cast(epoch({_AT.format(c='published_at')}) as bigint) as t, evidence_id from evidence where source_name is not null),
+n as (select *, row_number() over (partition by grp order by t, evidence_id) as rn from e where grp is not null),
+k as (select a.grp, a.rn, a.t, a.evidence_id, count(*) as posts, max(b.t) as to_s from n a join n b on a.grp = b.grp and b.rn >= a.rn and b.t <= a.t + 86400 group by all),
+g as (select * from k where rn = 1 union all select k.* from g join k on k.grp = g.grp and k.rn = g.rn + case when g.posts >= 4 then g.posts else 1 end)
+select grp, evidence_id as first_row, t as from_s, to_s, posts from g where posts >= 4""")
 def win5(spark, d):
     """Greedy bursts of four posts or more within a day, by source and week of publication (a hot source falls apart by weeks)."""
     e = evidence(spark, d).withColumn("at", F.to_timestamp("published_at"))
-    e = e.withColumn("grp", F.concat_ws(" ", "source_name", X.iso_week(F.to_date("at"))))
+    e = e.withColumn("grp", F.concat("source_name", F.lit(" "), X.iso_week(F.to_date("at"))))
     return B.bursts(e, "grp", "at", "evidence_id", span_s=86_400)
 
 
@@ -338,11 +365,13 @@ def win8(spark, d):
 # --- set operations ----------------------------------------------------------------------------------------------------
 
 
-@query("set1_topics_of_both", "select topic_id, 'both' as side from (select topic_id from material_signal where batch_no < 13 intersect select topic_id from material_signal where batch_no >= 13) where topic_id is not null union all select topic_id, 'only before' from (select topic_id from material_signal where batch_no < 13 except select topic_id from material_signal where batch_no >= 13) where topic_id is not null")
+@query("set1_topics_of_both", "with s as (select distinct topic_id, batch_no < 13 as early from material_signal where topic_id is not null) select topic_id, case when count(*) = 2 then 'both' when bool_and(early) then 'only before' else 'only after' end as side from s group by 1")
 def set1(spark, d):
-    s = read(spark, d, "material_signal").where("topic_id is not null")
-    a, b = s.where("batch_no < 13").select("topic_id"), s.where("batch_no >= 13").select("topic_id")
-    return a.intersect(b).withColumn("side", F.lit("both")).union(a.subtract(b).withColumn("side", F.lit("only before")))
+    """The topics of two runs: in both, only before, only after. One aggregate instead of three set operations."""
+    s = read(spark, d, "material_signal").where("topic_id is not null and batch_no is not null")
+    early = F.col("batch_no") < 13
+    sides = s.groupBy("topic_id").agg(F.max(early).alias("before"), F.max(~early).alias("after"))
+    return sides.select("topic_id", F.when(F.col("before") & F.col("after"), "both").when(F.col("before"), "only before").otherwise("only after").alias("side"))
 
 
 @query("set2_missing_keys", "select evidence_id, len(list_filter(['score','num_comments','reddit_post_id'], lambda k: not json_valid(coalesce(metadata,'')) or json_type(metadata) <> 'OBJECT' or not list_contains(json_keys(metadata), k))) as missing from evidence where json_valid(coalesce(metadata,'null'))")
@@ -354,13 +383,26 @@ def set2(spark, d):
     return evidence(spark, d).where(valid).select("evidence_id", missing.alias("missing"))
 
 
-@query("set4_alias_union", "with x as (select coalesce(merged_into, topic_id) as target, topic_id, name, aliases from canonical_topic), a as (select x.target, unnest(list_prepend(x.name, x.aliases)) as alias from x) select a.target as topic_id, list(distinct a.alias order by a.alias) as aliases from a join canonical_topic t on a.target = t.topic_id where a.alias is not null and a.alias <> t.name group by 1")
+_ROOTS = """r as (select topic_id as node, topic_id as at, 0 as steps from canonical_topic
+ union all select r.node, t.merged_into, r.steps + 1 from r join canonical_topic t on r.at = t.topic_id where t.merged_into is not null and r.steps < 500),
+roots as (select r.node, r.at as root from r left join canonical_topic t on r.at = t.topic_id where t.merged_into is null)"""
+
+
+@query("set4_alias_union", f"""with recursive {_ROOTS}, x as (select o.root, t.topic_id <> o.root as merged, t.topic_id, case when t.topic_id = o.root then t.aliases else list_prepend(t.name, t.aliases) end as names from roots o join canonical_topic t on o.node = t.topic_id),
+a as (select root, merged, topic_id, unnest(names) as alias, unnest(range(len(names))) as pos from x),
+f as (select *, row_number() over (partition by root, alias order by merged, topic_id, pos) as nth from a where alias is not null)
+select f.root as topic_id, list(f.alias order by f.merged, f.topic_id, f.pos) as aliases from f join canonical_topic t on f.root = t.topic_id where f.nth = 1 and f.alias <> t.name group by 1""")
 def set4(spark, d):
-    """What each topic is called besides its name, with the names and aliases of topics merged into it."""
+    """What each topic is called besides its name: its own aliases, then the names and aliases of all topics merged into it
+    (directly or over others, by topic_id), each in its order and once."""
     t = read(spark, d, "canonical_topic")
-    a = t.select(F.coalesce("merged_into", "topic_id").alias("topic_id"), F.explode(F.concat(F.array("name"), "aliases")).alias("alias"))
-    own = t.select("topic_id", F.col("name").alias("own"))
-    return a.join(own, "topic_id").where("alias is not null and alias <> own").groupBy("topic_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    roots = R.follow_pointers(t, "topic_id", "merged_into").where("root is not null").select(F.col("node").alias("topic_id"), "root")
+    names = F.when(F.col("topic_id") == F.col("root"), F.col("aliases")).otherwise(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    x = t.join(roots, "topic_id").select("root", F.posexplode(names).alias("pos", "alias"), F.struct((F.col("topic_id") != F.col("root")).alias("merged"), "topic_id").alias("at")).where("alias is not null")
+    first = x.groupBy("root", "alias").agg(F.min(F.struct("at", "pos")).alias("first"))
+    own = t.select(F.col("topic_id").alias("root"), F.col("name").alias("own"))
+    kept = first.join(own, "root").where("alias <> own")
+    return kept.groupBy(F.col("root").alias("topic_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "alias"))), lambda v: v["alias"]).alias("aliases"))
 
 
 # --- functions ---------------------------------------------------------------------------------------------------------
@@ -371,7 +413,26 @@ def fn1(spark, d):
     return evidence(spark, d).select("evidence_id", X.iso_week(X.date_prefix(F.col("captured_at"))).alias("week"))
 
 
-@query("fn3_normalise", "select evidence_id, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', title, content)), 'https?://\\S+', ' ', 'g'), '[^\\pL\\pN\\pM\\p{Pc}]+', ' ', 'g')) as text from evidence")
+_WORD = "\\pL\\pN_"
+_SPACE = "[\\s\\pZ\\x0b\\x1c-\\x1f\\x{85}]"
+_NOSPACE = "[^\\s\\pZ\\x0b\\x1c-\\x1f\\x{85}]"
+
+
+def _scrub(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '(^|[^{_WORD}/])/?u/[A-Za-z0-9_-]+', '\\1u/[user]', 'g'), '[{_WORD}.+-]+@[{_WORD}-]+(?:\\.[{_WORD}-]+)+', '[email]', 'g')"
+
+
+def _summary(c: str) -> str:
+    t = f"trim(regexp_replace({_scrub(c)}, '{_SPACE}+', ' ', 'g'))"
+    return f"case when length({t}) > 300 then rtrim(substr({t},1,299)) || '…' else {t} end"
+
+
+def _detail(title: str, content: str) -> str:
+    text = _scrub(f"coalesce({title},'') || chr(10) || chr(10) || coalesce({content},'')")
+    return f"substr(regexp_replace({text}, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 1, 2000)"
+
+
+@query("fn3_normalise", f"select evidence_id, trim(regexp_replace(regexp_replace(lower(coalesce(title,'') || ' ' || coalesce(content,'')), 'https?://{_NOSPACE}+', ' ', 'g'), '[^{_WORD}]+', ' ', 'g')) as text from evidence")
 def fn3(spark, d):
     return evidence(spark, d).select("evidence_id", X.normalise(F.col("title"), F.col("content")).alias("text"))
 
@@ -386,12 +447,12 @@ def fn6(spark, d):
     return evidence(spark, d).select("evidence_id", X.strict_date(F.substring("published_at", 1, 10)).cast("string").alias("day"))
 
 
-@query("fn8_scrub", "select evidence_id, regexp_replace(regexp_replace(content, '(^|[^\\w/])/?u/[A-Za-z0-9_-]+', '\\1u/[user]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g') as content from evidence where content is not null")
+@query("fn8_scrub", f"select evidence_id, {_scrub('content')} as content from evidence where content is not null")
 def fn8(spark, d):
     return evidence(spark, d).where("content is not null").select("evidence_id", X.scrub(F.col("content")).alias("content"))
 
 
-@query("fn9_summary", "with t as (select evidence_id, trim(regexp_replace(content, '\\s+', ' ', 'g')) as s from evidence where content is not null) select evidence_id, case when length(s) > 300 then rtrim(substr(s,1,299)) || '…' else s end as summary from t")
+@query("fn9_summary", f"select evidence_id, {_summary('content')} as summary from evidence where content is not null")
 def fn9(spark, d):
     return evidence(spark, d).where("content is not null").select("evidence_id", X.summary(F.col("content")).alias("summary"))
 
@@ -523,12 +584,24 @@ def dat11(spark, d):
     return read(spark, d, "canonical_topic").select("topic_id", "name").join(w, "topic_id").join(p, "topic_id", "left").withColumn("posts", F.coalesce("posts", F.lit(0)))
 
 
-@query("dat3_newest_cited", f"with {_C}, x as (select distinct c.topic_id, c.evidence_id from c where c.topic_id is not null), r as (select x.topic_id, e.evidence_id, e.published_at, row_number() over (partition by x.topic_id order by {_AT.format(c='e.published_at')} desc, e.evidence_id desc) as rank from x join evidence e using (evidence_id) where e.duplicate_of is null) select topic_id, evidence_id, substr(published_at,1,10) as day, rank from r where rank <= 10")
+@query("dat3_publish", f"""with {_C}, mat as (select distinct topic_id from material_signal where week = '{WEEK}' and topic_id is not null),
+x as (select c.topic_id, c.delivery_id, c.signal_type, c.summary, e.*, row_number() over (partition by c.topic_id order by {_AT.format(c='e.published_at')} desc, c.delivery_id desc, e.evidence_id desc) as rank from c join mat using (topic_id) join evidence e using (evidence_id)
+  where e.duplicate_of is null and strftime(cast(substr(e.captured_at,1,10) as date),'%G-W%V') = '{WEEK}')
+select x.delivery_id, x.evidence_id, substr(x.published_at,1,10) as date, 'community' as source_type, case when starts_with(x.source_url,'/') then '{HOST}' || x.source_url else x.source_url end as source_ref, {_summary('x.summary')} as summary, {_detail('x.title', 'x.content')} as detail, t.slug || ';' || x.signal_type as tags
+from x join canonical_topic t using (topic_id) where x.rank <= 10""")
 def dat3(spark, d):
-    """The ten newest cited posts of each topic."""
-    e = evidence(spark, d).where("duplicate_of is null").select("evidence_id", "published_at", F.to_timestamp("published_at").alias("at"))
-    x = candidates(spark, d).where("topic_id is not null").select("topic_id", "evidence_id").distinct().join(e, "evidence_id")
-    return R.top_n(x, ["topic_id"], 10, F.desc("at"), F.desc("evidence_id")).select("topic_id", "evidence_id", F.substring("published_at", 1, 10).alias("day"), F.col("rank").cast("bigint").alias("rank"))
+    """What is published of a week: of each topic with a signal that week the ten newest cited posts captured in it, as rows
+    without account names and addresses."""
+    week = X.iso_week(X.date_prefix(F.col("captured_at")))
+    e = evidence(spark, d).where(F.col("duplicate_of").isNull() & (week == WEEK)).select("evidence_id", "title", "content", "source_url", "published_at", F.to_timestamp("published_at").alias("at"))
+    topics = flt14(spark, d)
+    x = candidates(spark, d).join(topics, "topic_id", "left_semi").select("topic_id", "delivery_id", "signal_type", "summary", "evidence_id").join(e, "evidence_id")
+    newest = R.top_n(x, ["topic_id"], 10, F.desc("at"), F.desc("delivery_id"), F.desc("evidence_id"))
+    rows = newest.join(read(spark, d, "canonical_topic").select("topic_id", "slug"), "topic_id")
+    return rows.select(
+        "delivery_id", "evidence_id", F.substring("published_at", 1, 10).alias("date"), F.lit("community").alias("source_type"), X.absolute_url(F.col("source_url"), HOST).alias("source_ref"),
+        X.summary(F.col("summary")).alias("summary"), X.detail(F.col("title"), F.col("content")).alias("detail"), X.tags(F.col("slug"), F.col("signal_type")).alias("tags"),
+    )
 
 
 @query("dat22_append_ids", "with o as (select delivery_id, summary, signal_id, row_number() over (partition by signal_id, summary order by delivery_id) as rn from material_signal where batch_no >= 13 and signal_id is not null), f as (select delivery_id, row_number() over (order by delivery_id) as n from o where rn = 1 and not exists (select 1 from material_signal m where m.batch_no < 13 and m.signal_id = o.signal_id and m.summary = o.summary)), t as (select max(cast(regexp_extract(delivery_id,'([0-9]+)$',1) as bigint)) as top from material_signal where batch_no < 13) select delivery_id, 'SIG-' || lpad(cast(t.top + f.n as varchar), 12, '0') as id from f cross join t")
@@ -595,11 +668,13 @@ def join16(spark, d):
     return s.join(s.where("slug <> ''").groupBy("slug").agg(F.min("topic_id").alias("first_topic")), "slug").select("topic_id", "slug", "first_topic")
 
 
-@query("prj8_topic_report", f"with {_M}, r as (select topic_id, list(period || ':' || mentions order by period) as weeks from mentions group by 1) select t.topic_id, t.name, r.weeks from canonical_topic t join r using (topic_id)")
+@query("prj8_topic_report", f"with {_M}, {_C}, r as (select topic_id, list(period || ':' || mentions order by period) as weeks from mentions group by 1), u as (select topic_id, list(distinct e.source_url order by e.source_url) as evidence_urls from c join evidence e using (evidence_id) where topic_id is not null group by 1) select t.topic_id, t.name, r.weeks, u.evidence_urls from canonical_topic t left join r using (topic_id) left join u using (topic_id)")
 def prj8(spark, d):
-    """Each topic with its weekly counts in order."""
+    """Each topic with its weekly counts in order and the addresses of the posts cited for it."""
     w = mentions(spark, d).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "period", F.col("mentions").cast("string")))).alias("weeks"))
-    return read(spark, d, "canonical_topic").select("topic_id", "name").join(w, "topic_id")
+    cited = candidates(spark, d).where("topic_id is not null").select("topic_id", "evidence_id").distinct()
+    urls = cited.join(evidence(spark, d).select("evidence_id", "source_url"), "evidence_id").where("source_url is not null").groupBy("topic_id").agg(F.array_sort(F.collect_set("source_url")).alias("evidence_urls"))
+    return read(spark, d, "canonical_topic").select("topic_id", "name").join(w, "topic_id", "left").join(urls, "topic_id", "left")
 
 
 @query("srt3_latest_calls", "select delivery_id, signal_type from material_signal order by delivery_id desc limit 20")
