@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +74,18 @@ def fingerprint(col: Column) -> Column:
     return F.substring(F.sha2(col, 256), 1, 12)
 
 
+def json_fingerprint(col: Column, as_list: bool = False) -> Column:
+    """The fingerprint of a struct as canonical JSON: keys sorted, ", " and ": " between, ASCII only; ``as_list``: its values."""
+
+    @F.pandas_udf("string")
+    def text(rows: pd.DataFrame) -> pd.Series:
+        plain = lambda v: None if v is None or v is pd.NA else v.tolist() if hasattr(v, "tolist") else v
+        dicts = ({k: plain(v) for k, v in zip(rows.columns, row)} for row in rows.itertuples(index=False, name=None))
+        return pd.Series([json.dumps([*x.values()] if as_list else x, sort_keys=True, default=str) for x in dicts], dtype=object)
+
+    return fingerprint(text(col))
+
+
 def sample_share(col: Column) -> Column:
     """A number from 0 to 1 that depends on the text only."""
     return F.conv(F.substring(F.sha2(col, 256), 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Calibration bins (the last includes 1) and thresholds of the sweep.
@@ -60,5 +60,39 @@ def field_accuracy(df: DataFrame) -> DataFrame:
     return each.groupBy("f.field").agg(F.count_if("f.passed").alias("correct"), F.count(F.lit(1)).alias("graded"))
 
 
+def status_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total, passed, failed, errored."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "errored")])
+
+
+def rates(df: DataFrame) -> DataFrame:
+    """field, share: the pass rate of all rows and the accuracy of each field of those without an error; null of none."""
+    whole = F.struct(F.lit("pass rate").alias("field"), (F.col("status") == "passed").alias("passed"))
+    each = df.select("status", F.explode(F.concat(F.array(whole), "fields")).alias("f")).where((F.col("f.field") == "pass rate") | (F.col("status") != "errored"))
+    return each.groupBy("f.field").agg((F.count_if("f.passed") / F.count(F.lit(1))).alias("share"))
+
+
+def compare_rates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """field, was, now, delta of the rates of two runs (status, fields); null where a run lacks a field."""
+    both = rates(before).withColumnRenamed("share", "was").join(rates(after).withColumnRenamed("share", "now"), "field", "full_outer")
+    return both.select("field", F.round("was", 9).alias("was"), F.round("now", 9).alias("now"), F.round(F.col("now") - F.col("was"), 9).alias("delta"))
+
+
+def triage_audit(df: DataFrame, keys: list[str], agreed: Column, wrong: Column) -> DataFrame:
+    """keys, audited_skips, agreed, false_skips, pending, false_skip_rate (null where nothing is decided)."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("audited_skips"), F.count_if(agreed).alias("agreed"), F.count_if(wrong).alias("false_skips"))
+    decided = F.col("agreed") + F.col("false_skips")
+    return n.select(*keys, "audited_skips", "agreed", "false_skips", (F.col("audited_skips") - decided).alias("pending"), F.round(F.try_divide("false_skips", decided), 9).alias("false_skip_rate"))
+
+
+def entity_matches(expected: Column, actual: Column) -> Column:
+    """Whether a map fits the expected one: null (or only nulls) fits null only; else every expected key, without regard to case
+    and surrounding space. Other keys are not graded."""
+    found = F.when(F.exists(F.map_values(actual), lambda v: v.isNotNull()), actual)
+    plain = lambda c: F.lower(F.trim(c))
+    same = F.forall(F.map_keys(expected), lambda k: plain(F.element_at(expected, k)).eqNullSafe(plain(F.element_at(found, k))))
+    return F.when(expected.isNull() | found.isNull(), expected.isNull() & found.isNull()).otherwise(same)
+
+
 def token_totals(spark: SparkSession, df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))

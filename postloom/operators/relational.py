@@ -26,6 +26,15 @@ def in_caller_order(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return wanted.join(df, key)
 
 
+def where_given(df: DataFrame, **conditions: tuple[str, object]) -> DataFrame:
+    """``df`` under the conditions (column: operator, value) that have a value; one with None is left out."""
+    compare = {"=": Column.__eq__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+    for column, (sign, value) in conditions.items():
+        if value is not None:
+            df = df.where(compare[sign](F.col(column), F.lit(value)))
+    return df
+
+
 def take_until(df: DataFrame, keys: list[str], order: str, stop: DataFrame) -> DataFrame:
     """Of each key the rows after the ``stop`` row (keys, stop_at): what a scan from the newest row takes until it meets the
     cursor. A key without cursor yields all rows."""

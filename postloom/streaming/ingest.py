@@ -19,15 +19,26 @@ def read_posts(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def deduplicated(posts: DataFrame, key: str = "source_key", at: str = "captured_at", late: str = "30 days") -> DataFrame:
-    """One row per identifier within the watermark. Rows without one are kept, each for itself."""
-    stamped = posts.withColumn("at", F.to_timestamp(at)).withWatermark("at", late)
-    own = F.coalesce(identifier(key), F.concat(F.lit("\x00"), F.uuid()))
-    return stamped.withColumn("identifier", own).dropDuplicatesWithinWatermark(["identifier"]).drop("identifier")
+    """Posts with an identifier, one each, and all posts without one; the latter are split off first, so they need no state.
 
+    State holds each identifier for ``late`` after its row's time: a post sent again later than that passes, and a first post
+    that is older than the watermark is dropped; ``exactly_once`` over the stored table settles both.
+    """
+    stamped = posts.withColumn("at", F.to_timestamp(at)).withColumn("identifier", identifier(key))
+    known = stamped.where("identifier is not null").withWatermark("at", late).dropDuplicatesWithinWatermark(["identifier"])
+    return known.drop("identifier").union(stamped.where("identifier is null").drop("identifier"))
 
-def weekly_counts(posts: DataFrame, by: str, late: str = "30 days") -> DataFrame:
-    """Posts per calendar week (from Monday) and ``by``."""
-    return posts.groupBy(F.window("at", "7 days", "7 days", "4 days").alias("week"), by).agg(F.count(F.lit(1)).alias("posts"))
+
+def weekly_counts(posts: DataFrame, by: str, at: str = "captured_at") -> DataFrame:
+    """Posts per calendar week (from Monday) and ``by``, for output in update or complete mode. Without a watermark: a post
+    counts in its week however late it comes; state is one number per week and value of ``by``."""
+    return posts.withColumn("_at", F.to_timestamp(at)).groupBy(F.window("_at", "7 days", "7 days", "4 days").alias("week"), by).agg(F.count(F.lit(1)).alias("posts"))
+
+
+def burst_starts(posts: DataFrame, by: str, at: str = "captured_at", span: str = "2 hours", slide: str = "30 minutes", least: int = 4) -> DataFrame:
+    """Windows of ``span`` (one every ``slide``) in which ``by`` has ``least`` posts or more, while they come in."""
+    counts = posts.withColumn("_at", F.to_timestamp(at)).groupBy(F.window("_at", span, slide).alias("window"), by).agg(F.count(F.lit(1)).alias("posts"))
+    return counts.where(F.col("posts") >= least)
 
 
 def start_event_sink(signals: DataFrame, path: str, checkpoint: str):
