@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts by a pushdown automaton.
 
-Lines are read first: blank lines end a block, headings and list items are units of their own, at whatever level they
-stand. Each block of prose runs through an automaton whose stack holds the open quotations and brackets; only with an
-empty stack can a terminator end a sentence. A trie of abbreviations, read backwards from a full stop, and the script of
-the terminator decide whether it does. Offsets count code points.
+Lines are read first, by an automaton whose stack holds the open list levels: an item opens a level or goes on in one, deeper
+levels close before it, and a line indented below an item's mark belongs to that item; a blank line closes all. Headings and
+list items are units of their own. Each block of prose runs through an automaton whose stack holds the open quotations and
+brackets; only with an empty stack can a terminator end a sentence. A trie of abbreviations, read backwards from a full stop, and
+the script of the terminator decide whether it does. Offsets count code points. Both scans are linear.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ MONTHS = set("januar februar märz april mai juni juli august september oktober
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "‹": "›", "“": "”", "„": "“”", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "［": "］", '"': '"', "＂": "＂"}
 _CLOSERS = {c for v in _PAIRS.values() for c in v}
 _THAI = "฀-๏๚-๿"
-# what is left of a torn control token stands for itself: the word, and a lone "<" before a new beginning
+# Public tokenizers mark the border of two documents by the control token <|endoftext|>. In crawled text it is often torn, its signs lost
+# or set apart; what is left of it (the word, a lone "<" before a new beginning) is no part of a sentence and stands for itself.
 _TORN = r"(?<!\S)endoftext(?!\S)|(?<=\s)<(?=\s+(?:[A-ZÀ-Þ]|endoftext\b))"
 _EVENT = re.compile(rf"{_TORN}|[.!?…。！？．؟।॥]+|;|[\"＂()\[\]{{}}«»‹›“”„「」『』（）【】《》〈〉［］]|(?<=[{_THAI}])[  ]+(?=[^\s0-9A-Za-z])|(?<=[^\s0-9A-Za-z])[  ]+(?=[{_THAI}])")
 _LINE = re.compile(r"[^\r\n  \x85]*(?:\r\n|[\r\n  \x85])?")
 _MARK = re.compile(r"[ \t ]*(?:[-*+•‣◦▪–—·]|\(?\d{1,3}[.)]|\(?[A-Za-z]\)|[①-⑳])[ \t ]+\S|[ \t ]*#{1,6}[ \t ]")
 _BREAK = re.compile(r"[ \t]*(?:[-*•] \S|#{1,6} )")  # begins a list item or heading even right behind prose
+_HEADING = re.compile(r"[ \t\u3000]*#{1,6}[ \t\u3000]")
 _SPACE = re.compile(r"\s*")
 _PROGRAM = re.compile(r"[a-z][a-z_-]* v?\d+\.\d")
 _ORDINAL = re.compile(r"\b(?:am|vom|zum|beim|im|der|die|das|den|dem|des|bis|ab|jeden)\s\d{1,2}$", re.I)
@@ -136,12 +139,43 @@ def _after_closing(text: str, k_end: int, end: int, inner: str, comma: bool) ->
     return False
 
 
+class _Stack:
+    """Open quotations and brackets; where each closing mark would lead is kept per mark, so closing costs what it removes."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, closers: str, comma: bool) -> None:
+        for c in closers:
+            self.places.setdefault(c, []).append(len(self.open))
+        self.open.append((closers, comma))
+
+    def close(self, mark: str) -> bool | None:
+        """Close what ``mark`` closes, and all within; whether a comma stood before it, or None if it closes nothing."""
+        at = self.places.get(mark)
+        if not at:
+            return None
+        at = at[-1]
+        comma = self.open[at][1]
+        while len(self.open) > at:
+            for c in self.open.pop()[0]:
+                self.places[c].pop()
+        return comma
+
+
 def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     """Sentences of the prose between ``start`` and ``end``."""
-    stack: list[tuple[str, bool]] = []
+    stack = _Stack()
     begin, inner, inner_end = start, "", -1
     greek = None
     skip_to = start
+    last: dict[str, int] = {}  # the last place of each closing mark in the block
+
+    def closes_later(mark: str, at: int) -> bool:
+        if mark not in last:
+            last[mark] = text.rfind(mark, start, end)
+        return last[mark] >= at
 
     def close(at: int) -> None:
         nonlocal begin, inner_end
@@ -154,18 +188,16 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
             continue
         c = s[0]
         if c in _CLOSERS or c in _PAIRS:
-            closes = next((i for i in range(len(stack) - 1, -1, -1) if c in stack[i][0]), None)
-            if closes is not None:
-                comma = stack[closes][1]
-                del stack[closes:]
-                if not stack and inner_end >= 0 and not text[inner_end:at].strip() and _after_closing(text, to, end, inner, comma):
+            comma = stack.close(c)
+            if comma is not None:
+                if not stack.open and inner_end >= 0 and (inner_end == at or text[inner_end:at].isspace()) and _after_closing(text, to, end, inner, comma):
                     close(to)
-            elif c in _PAIRS and any(text.find(x, to, end) >= 0 for x in _PAIRS[c]):
+            elif c in _PAIRS and any(closes_later(x, to) for x in _PAIRS[c]):
                 lead = text[max(begin, at - 2) : at].rstrip()
-                stack.append((_PAIRS[c], lead[-1:] in (",", ":")))
+                stack.push(_PAIRS[c], lead[-1:] in (",", ":"))
             continue
         if c in "  ":
-            if not stack:
+            if not stack.open:
                 close(at)
             continue
         if c == ";":
@@ -173,7 +205,7 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
                 greek = bool(_GREEK.search(text, start, end))
             if not greek or not (to >= end or text[to].isspace() or text[to] in _CLOSERS):
                 continue
-        if stack:
+        if stack.open:
             inner, inner_end = s, to
             continue
         if s == ".":
@@ -202,6 +234,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     units: list[tuple[int, int]] = []
     prose = at = 0
     open_ = False  # a block of prose is open
+    levels: list[int] = []  # indents of the open list items, the innermost last
 
     def flush(to: int) -> None:
         nonlocal open_
@@ -212,12 +245,21 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     while at < len(text):
         to = _LINE.match(text, at).end()
         line = text[at:to]
+        indent = len(line) - len(line.lstrip(" \t\u00a0\u3000"))
         if not line.strip():
             flush(at)
+            levels.clear()
         elif (_BREAK if open_ else _MARK).match(line):
             flush(at)
             units.append((at, to))
+            while levels and levels[-1] >= indent:
+                levels.pop()
+            if not _HEADING.match(line):
+                levels.append(indent)
+        elif levels and indent > levels[-1]:
+            units[-1] = (units[-1][0], to)  # a wrapped item goes on
         elif not open_:
+            levels.clear()
             prose, open_ = at, True
         at = to
     flush(len(text))

@@ -46,6 +46,34 @@ def test_sentences(text, want):
     assert units(text) == want
 
 
+@pytest.mark.parametrize("piece, n", [("(a ", 1), ("]", 1), ("«“", 1), ('"a. ', 2), ("(. ", 2), ("- a\n", 2), ("< ", 1)])
+def test_scan_is_linear(piece, n):
+    """Ten times the text takes about ten times as long, hostile nesting included."""
+    import time
+
+    def seconds(k):
+        text = piece * k + "]" * k + ")" * k
+        began = time.perf_counter()
+        Z.sentences(text)
+        return time.perf_counter() - began
+
+    small = min(seconds(2_000) for _ in range(3))
+    assert seconds(20_000) < 40 * small + 0.5
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("- one\n  - two goes\n    on here\n- three", ["- one", "- two goes\n    on here", "- three"]),
+        ("1. one\n   wrapped. Still it\n2. two\nProse. More", ["1. one\n   wrapped. Still it", "2. two", "Prose.", "More"]),
+        ("# Head\n  Prose. More", ["# Head", "Prose.", "More"]),
+        ("- one\n\n  Prose. More", ["- one", "Prose.", "More"]),
+    ],
+)
+def test_list_levels(text, want):
+    assert units(text) == want
+
+
 def test_units_cover_all_words():
     rng = random.Random(1)
     for _ in range(300):
