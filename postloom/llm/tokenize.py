@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.operators.durable import scratch
+from postloom.operators.durable import hadoop_path, scratch
 
 #: Fixed value: the pre-tokenization pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,12 +33,23 @@ LEXICON_WORDS = 65_536
 _cache: dict = {}
 
 
+def parsed(vocabulary: bytes) -> dict[bytes, int]:
+    """Byte strings and ids of a vocabulary file."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
-    """The vocabulary's byte strings and ids, read once per process."""
-    if path not in _cache:
-        with open(path, "rb") as f:
-            _cache[path] = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return _cache[path]
+    """The vocabulary at ``path``."""
+    with open(path, "rb") as f:
+        return parsed(f.read())
+
+
+def _ranks(shared: Broadcast) -> dict[bytes, int]:
+    """The vocabulary that travels with the job, parsed once per process."""
+    key = hash(shared.value)
+    if key not in _cache:
+        _cache[key] = parsed(shared.value)
+    return _cache[key]
 
 
 def _splitter():
@@ -192,23 +203,23 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def compile_lexicon(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> str | Broadcast:
     """Compile the corpus's most frequent words (``words`` at most, the smaller word first on ties; only they reach the
-    driver) and return the folder of the memory-mapped arrays below the shared folder. Where that is no mounted file
+    driver) and return the folder of the memory-mapped arrays below the shared folder. Where that is not a mounted file
     system, the arrays (bounded by ``words``) are broadcast instead."""
     top = word_counts(df, text).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
     chosen = sorted(r.word.encode() for r in top.collect())
     ranks = ranks_of(vocabulary)
-    folder = scratch(df.sparkSession, "p7-lexicon").removeprefix("file://")
     lexicon = Transducer.build(chosen, [merge_word(w, ranks) for w in chosen])
-    if "://" in folder:
+    place, _ = hadoop_path(df.sparkSession, scratch(df.sparkSession, "p7-lexicon"))
+    if place.toUri().getScheme() != "file":
         return df.sparkSession.sparkContext.broadcast(lexicon.arrays)
-    lexicon.save(folder)
-    return folder
+    lexicon.save(place.toUri().getPath())
+    return place.toUri().getPath()
 
 
-def _encode(compiled: str | Broadcast, vocabulary: str):
+def _encode(compiled: str | Broadcast, vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Transducer.load(compiled) if isinstance(compiled, str) else Transducer(compiled.value)
-        ranks, split = ranks_of(vocabulary), _splitter().findall
+        ranks, split = _ranks(vocabulary), _splitter().findall
         known_start, known_ids = np.asarray(lexicon.arrays["start"]), np.asarray(lexicon.arrays["ids"])
         for b in batches:
             pieces = [split(t) if t else [] for t in b.column("text").to_pylist()]
@@ -241,5 +252,7 @@ def encode(df: DataFrame, row_id: str = "doc_id", text: str = "text", vocabulary
     ``compile_lexicon``, made from ``df`` itself if none is given."""
     kind = df.schema[row_id].dataType.simpleString()
     lexicon = lexicon or compile_lexicon(df, text, vocabulary)
-    rows = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_encode(lexicon, vocabulary), f"id {kind}, ids array<int>")
+    with open(vocabulary, "rb") as f:  # bounded by the vocabulary; executors need no copy of the file
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
+    rows = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_encode(lexicon, shared), f"id {kind}, ids array<int>")
     return rows.select(F.col("id").alias(row_id), "ids")
