@@ -1,9 +1,13 @@
 """Personal information inside free text by a semi-Markov conditional random field.
 
-Patterns propose candidate segments of bounded length for five kinds; whole-span features (the form of the segment, its
-letter case, lexicon names, cues left and right of it) score them with trained weights. Dynamic programming over the candidates, ordered
-by their ends, chooses boundaries and kinds jointly; text between segments scores nothing. Weights are fitted by
-``pii_training`` and lie beside this module.
+Candidate segments of bounded length are proposed for five kinds, with competing ends and kinds; whole-span features (the form of
+the segment, its letter case, words that are names, cues left and right of it) and features of neighbouring segments score them with
+trained weights. Dynamic programming over the candidates, ordered by their ends, chooses boundaries and kinds jointly; text
+between segments scores nothing. Weights are fitted by ``pii_training`` and lie beside this module.
+
+A name candidate is any run of two to five capitalised words, initials and particles without a common word, and, right behind a cue
+such as a title or a closing, or right before an address or number, a run of words in any case. The list of usual names is one
+feature among others.
 """
 
 from __future__ import annotations
@@ -22,33 +26,46 @@ from pyspark.sql import functions as F
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
 
-# Name lexicon, street words, cues.
-GIVEN = """joakin ines elowen noemie tavik ulrik sunniva liorah radka fenwyn petronel dagmir jürgen jurgen celestine anselm zahira wendelin bastiaan
-éloïse eloise kaoru amadou åsa asa marisel caspel dimitar nuño nuno sigrun yseult tiberio orlin brenna maelis okello iovar anna maria peter thomas john
-mary james robert michael david sarah laura paul marie jean pierre hans klaus karl juan carlos josé luis ana carmen elena sofia omar fatima wei""".split()
-FAMILY = """tarkovell mbatharo wexbourne trevanyon quillhorn bouvrelle houtkamp guerrand halvorstad ravensgarth thistlemere falkenrode nightingrove castelvain
-lindqvara umbridle karrasol o'dunnery odunnery zelinkova penhalden vasterby sandoqui peñalosca penalosca marrowick obuyaro müllenbeck mullenbeck ilmarsen osterbrand
-ashgrove-pell yarwick szentkuthy dunmerrow smith johnson williams brown jones müller schmidt schneider fischer weber martin bernard dubois durand garcía garcia
-martínez lópez sánchez pérez rossi kowalski novak jensen hansen""".split()
-PARTICLES = "van der den de la le von zu di del".split()
+# Usual given and family names of several countries, particles.
+GIVEN = """james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen
+daniel lisa matthew nancy anthony mark paul andrew emily kevin laura brian anna peter maria george hannah oliver emma jack sophie
+hans klaus karl jürgen wolfgang stefan andreas sabine petra monika ursula heike birgit lukas jonas lena anja uwe dieter
+jean pierre michel andré philippe marie nathalie isabelle sylvie camille julien nicolas amélie chloé céline françois
+juan carlos josé luis miguel antonio manuel ana carmen elena lucía sofía pilar javier diego ines nuno
+giovanni giulia marco francesca anders lars ingrid astrid olga ivan dmitri natalia piotr agnieszka wei li mei hiroshi yuki kenji omar fatima ahmed aisha
+amadou kwame rahul anil deepa""".split()
+FAMILY = """smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson thomas taylor moore jackson martin
+lee thompson white harris clark lewis robinson walker young king wright scott hill green adams nelson baker hall campbell mitchell roberts carter evans
+müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch bauer richter klein wolf schröder neumann schwarz zimmermann
+bernard dubois durand moreau laurent lefebvre leroy roux fournier girard bonnet lambert rousseau
+garcía martínez lópez sánchez pérez gómez fernández díaz moreno muñoz álvarez romero navarro torres
+rossi russo ferrari kowalski nowak novak jensen hansen nielsen larsen andersson ivanov petrov chen wang zhang tanaka suzuki sato kim park singh patel khan ali""".split()
+PARTICLES = "van der den de la le von zu di del du da dos".split()
 STREETS = "st street ave avenue blvd boulevard rd road ln lane dr drive court ct crescent terrace way square close".split()
 CUES = {
     "phone": "call text tel phone telephone whatsapp voicemail mobile ring fax unter llamen appelez llame anrufen sms dial back au al telefon teléfono reach".split(),
     "id": "ssn passport identity national_id ausweisnummer ausweis identidad dni nino nir identité identite d'identité leaked echoed mine".split(),
     "machine": "serial build checksum code order ticket trace error job version release port rows row sha hash commit id".split(),
     "address": "address moved sent disk shipped dongle street parcel ging factura fue out office home lives live adresse dirección livré domicile wohnt".split(),
-    "name": """with ask for kollege kollegin frau herr mme señora señor name manager contact record demandez user person grüßen regards cc mr mrs ms dr
-signed colleague by atentamente cordialement question""".split(),
 }
 _CUE_OF: dict[str, list[str]] = {}
 for _kind, _words in CUES.items():
     for _w in _words:
         _CUE_OF.setdefault(_w, []).append(_kind)
 _GIVEN, _FAMILY, _PARTICLES = set(GIVEN), set(FAMILY), set(PARTICLES)
-_NAMES = _GIVEN | _FAMILY | {w for f in FAMILY for w in re.findall(r"\w+", f) if len(w) > 3}
-_ORG = set("inc ltd llc labs systems software group studio tools hosting works analytics gantry lane gmbh corp company cloud data".split())
+_NAMES = _GIVEN | _FAMILY
+_ORG = set("inc ltd llc labs systems software group studio tools hosting works analytics gmbh corp company cloud data server loader cache networks partners storage team support sales desk db sql".split())
+
+# Frequent words of four languages; none of them is part of a name.
+COMMON = set("""a about after again all also am an and any are as at back be because been before being but by can could day did do does down each even every few first
+for from get give go good has have he help her here him his how i if in into is it its just know last like look make many me more most much my need never new
+no not now of off on once one only or other our out over own please rather really see send she should since so some still such take than that the their them then there these
+they thing this those through time to too two under until up us use very was way we well were what when where which while who why will with would year you your
+auf aus bei bin bis das dass dem den der des die doch ein eine einem einen einer er es für hat ich im in ist ja kein mit nach nicht noch nur oder schon sich sie sind
+un une des les est et il elle nous vous qui que dans pour pas sur avec ce cette el los las una y con por para no se su como pero más muy ya call mail ring reach contact tell write thanks hello dear""".split()) - set(PARTICLES) | {"the"}
 
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _LEFT = re.compile(r"[\w'’]+")
 _EMAIL = re.compile(r"[\w.+%'-]*\w[+]?\s?(?:@|＠|[(\[{]\s?at\s?[)\]}])\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)[\w-]+)*|[\w.+%'-]*\w\sat\s[\w-]+(?:\sdot\s[\w-]+)+", re.I)
 _NUMBER = re.compile(r"(?<![\w.,@#/=-])(?:\+|\((?=[\d+]))?\(?\d[\d\s().\-/]{5,24}\d(?:\s?(?:ext\.?|x|app\.?)\s?\d{1,5})?(?![\w@-])", re.I)
@@ -86,14 +103,35 @@ _STREET_HINTS = {
     "de": ("straße ", "strasse ", "str. ", "str ", "weg ", "gasse ", "platz ", "allee ", "winkel ", "ring ", "damm ", "ufer ", "hang "),
     "box": ("box ", "postfach ", "apartado ", "bp "),
 }
-_PART = re.compile(r"[^\W\d_](?:[\w]|['’\-](?=[^\W\d_]))*\.?")
+_STREET_OF = {h: form for form, hints in _STREET_HINTS.items() for h in hints}
+_STREET_HINT = re.compile("|".join(sorted(map(re.escape, _STREET_OF), key=len, reverse=True)))
 _STREETS = set(STREETS)
-_CUE_WORDS = set("spoke ask kollege kollegin frau herr mme mlle señor señora mr mrs ms dr name manager out account contact record demandez grüßen regards question person user".split())
-_CUED = re.compile(r"(?:spoke with|ask for|Kolleg(?:e|in)|Frau|Herr|Mme|Mlle|señora?|Mr\.|Mrs\.|Ms\.|Dr\.|my name is|[Mm]y manager|made out to|account for|Contact:|record:|Demandez|Grüßen,|[Rr]egards,|question for|person,|user=)\s?")
+_UPPER = "".join(chr(c) for c in range(0x530) if chr(c).isupper())
+_CAPITAL = rf"[{_UPPER}][\w'’-]*\.?"
+# the first sign decides quickly; a particle before a run is added to it
+_RUN = re.compile(rf"[{_UPPER}](?<![\w'’@./-].)[\w'’-]*\.?(?:(?:,? |\n)(?:{_CAPITAL}|(?:{'|'.join(PARTICLES)})\b))*")
+_LEADING = re.compile(rf"(?<![\w'’@./-])(?:(?:{'|'.join(x for p in PARTICLES for x in (p, p.title()))}) )+$")
+_BETWEEN = re.compile(r",? |\n")
+# What stands right before a name, by kind.
+NAME_CUES = {
+    "title": "Mr Mrs Ms Dr Prof Herr Herrn Frau Mme Mlle Monsieur Madame Sr Sra señor señora doña signor signora".split(),
+    "closing": "regards cheers sincerely yours signed Grüßen Grüße Gruß cordialement salutations saludos saludo atentamente saluti".split(),
+    "record": "contact name record user customer owner attn client Kunde cliente".split(),
+    "asked": """ask for|asked for|spoke with|spoke to|speak with|speak to|talk to|talked to|met|demandez|pregunte por|pregunten por|preguntar por|fragen Sie nach|wenden Sie sich an|question for|
+account for|account of|made out to|in the name of|according to""".replace("\n", "").split("|"),
+    "called": "name is|named|ich heiße|me llamo|je m'appelle".split("|"),
+    "role": "manager colleague Kollege Kollegin person boss Chef collègue compañero compañera".split(),
+}
+_CUE_KIND = {x.lower(): k for k, v in NAME_CUES.items() for x in v}
+_CUED = re.compile(r"\b(" + "|".join(sorted((re.escape(y) for v in NAME_CUES.values() for x in v for y in {x[0].lower() + x[1:], x[0].upper() + x[1:], x.upper()}), key=len, reverse=True)) + r")(?!\w)(?:[.,]|( ?[:=]))?[ \n]?(?=[^\W\d_])")
+#: Cues behind which words in small letters may be a name, and what may stand right before an address or a number.
+_STRONG = ("title", "closing", "record", "asked", "called")
+_SMALL = re.compile(r"[^\W\d_][\w'’-]*\.?(?:,? [^\W\d_][\w'’-]*\.?){1,3}")
+_SMALL_BEFORE = re.compile(r"(?<![\w'’@./=-])[^\W\d_][\w'’-]+ (?:[^\W\d_]\. )?[^\W\d_][\w'’-]+(?=[,;]? ?[<(]?(?:tel\.? )?$)")
 
 
 def _cues(text: str, start: int, end: int) -> set[str]:
-    """Cue groups among the last words before the segment, and the next word after it."""
+    """Cue groups among the last words before the segment, and whether an organisation's word follows."""
     out = set()
     for w in _LEFT.findall(text[max(0, start - 42) : start].lower())[-6:]:
         out.update("cue=" + k for k in _CUE_OF.get(w, ()))
@@ -108,80 +146,113 @@ def _case(words: list[str]) -> str:
     return "upper" if letters.isupper() and len(letters) > 3 else "lower" if letters.islower() else "title" if all(w[:1].isupper() for w in words) else "mixed"
 
 
-def _names(text: str, words: list[re.Match]) -> Iterator[tuple[int, int, list[str]]]:
-    """Name candidates: runs of capitalised words, initials and particles, and of lexicon words in any case."""
-    starts = {m.start() for m in words if m[0].lower() in _NAMES}
-    cued = {m.end() for m in _CUED.finditer(text)}
-    parts = [m for m in _PART.finditer(text)]
-    place = {m.start(): i for i, m in enumerate(parts)}
+def _kind(word: str) -> str:
+    """What a word may be in a name: I(nitial), p(article), G(iven), F(amily), U(nlisted), x (none)."""
+    w = word.lower()
+    if word.endswith("."):
+        return "I" if len(word) == 2 and word[0].isupper() else "x"
+    if w in _PARTICLES:
+        return "p"
+    if w in COMMON or len(w) < 2:
+        return "x"
+    if w in _GIVEN:
+        return "G"
+    if w in _FAMILY or not _FAMILY.isdisjoint(re.split(r"[-'’]", w)):
+        return "F"
+    return "U"
+
+
+def _names(text: str, others: list[int]) -> Iterator[tuple[int, int, list[str]]]:
+    """Name candidates and their features; ``others``: where segments of other kinds begin."""
+    cues = {}
+    for m in _CUED.finditer(text):
+        kind = _CUE_KIND.get(m[1].lower()) or _CUE_KIND[m[1].lower().replace("ss", "ß")]
+        if kind != "record" or m[2]:
+            cues[m.end()] = kind
+    runs = []
+    for m in _RUN.finditer(text):
+        at = m.start()
+        if text[at - 1 : at] == " " and (before := _LEADING.search(text, max(0, at - 16), at)):
+            at = before.start()
+        if " " in m[0] or "\n" in m[0] or at < m.start():
+            runs.append((at, m.end(), True))
+    for at, kind in cues.items():
+        if kind in _STRONG and text[at].islower() and (m := _SMALL.match(text, at)):
+            runs.append((at, m.end(), False))
+    for at in others:
+        if m := _SMALL_BEFORE.search(text, max(0, at - 50), at):
+            runs.append((m.start(), m.end(), False))
     seen = set()
-    near = {j for s in starts | cued if s in place for j in range(place[s] - 3, place[s] + 1) if j >= 0}
-    near |= {i for i, m in enumerate(parts) for s in starts if m.start() < s < m.end()}
-    near |= {i for i, (m, n) in enumerate(zip(parts, parts[1:])) if m[0][0].isupper() and (n[0][0].isupper() or n[0] in _PARTICLES)}
-    for i in sorted(near):
-        for n in range(2, 6):
-            group = parts[i : i + n]
-            if len(group) < n:
-                break
-            gaps = [text[a.end() : b.start()] for a, b in zip(group, group[1:])]
-            if any(g not in (" ", ", ", "\n", "") or g == "" and not a[0].endswith(".") for g, a in zip(gaps, group)):
-                break
-            kinds = []
-            for m in group:
-                w = m[0].lower().rstrip(".")
-                flat = re.split(r"[-'’]", w)
-                if len(w) == 1 and m[0].endswith(".") and m[0][0].isupper():
-                    kinds.append("I")
-                elif m[0].endswith(".") and m is not group[-1]:
-                    kinds.append("x")
-                elif w in _PARTICLES:
-                    kinds.append("p")
-                elif w in _GIVEN:
-                    kinds.append("G")
-                elif w in _FAMILY or any(f in _FAMILY for f in flat):
-                    kinds.append("F")
-                elif m[0][0].isupper() and len(w) > 1:
-                    kinds.append("U")
-                else:
-                    kinds.append("x")
-            if "x" in kinds:
-                break  # and in every longer run
-            if kinds[-1] == "p" or kinds[0] == "p" and "U" in kinds:
-                continue
-            shape = re.sub(r"p+", "p", "".join(kinds))
-            commas = sum("," in g for g in gaps)
-            if commas > 1 or commas and not (", " in gaps[-1] or ", " in gaps[0]):
-                continue
-            key = (group[0].start(), group[-1].end())
-            if key in seen:
-                continue
-            seen.add(key)
-            end = group[-1].end() - (1 if group[-1][0].endswith(".") and kinds[-1] != "I" else 0)
-            tail = "," if commas else ""
-            features = ["NAME", f"name={shape}{tail}", f"case={_case([m[0] for m in group])}", f"given={min(kinds.count('G'), 2)}", f"family={min(kinds.count('F'), 2)}", f"unknown={min(kinds.count('U'), 3)}"]
-            if group[0].start() in cued:
-                features.append("behind cue")
-            if "G" not in kinds and "F" not in kinds:
-                features += [*_unlisted(text, group, end), f"unlisted {shape}", f"unlisted {_case([m[0] for m in group])}"]
-            yield group[0].start(), end, features
-
-
-def _unlisted(text: str, group: list[re.Match], end: int) -> list[str]:
-    """Features of a name without a word of the lexicon."""
-    words = [m[0].lower().rstrip(".") for m in group]
-    out = ["unlisted"]
-    if not _ORG.isdisjoint(words):
+    for start, end, anywhere in runs:
+        words, at = [], start
+        for gap in _BETWEEN.finditer(text, start, end):
+            words.append((at, gap.start(), gap[0]))
+            at = gap.end()
+        words.append((at, end, ""))
+        if len(words) < 2:
+            continue
+        kinds = [_kind(text[a:b]) for a, b, _ in words]
+        # a full stop behind the last word of a sentence isn't its own
+        for k, (a, b, gap) in enumerate(words):
+            if kinds[k] == "x" and text[b - 1] == "." and b - a > 2:
+                words[k], kinds[k] = (a, b - 1, "stop"), _kind(text[a : b - 1])
+        for i in range(len(words)) if anywhere else (0,):
+            for n in range(2, 6):
+                group = words[i : i + n]
+                shape = kinds[i : i + n]
+                if len(group) < n or shape[-1] == "x" or "x" in shape[:-1] or any(g == "stop" for _, _, g in group[:-1]):
+                    break  # and in every longer run
+                if shape[-1] == "p" or all(k in "pI" for k in shape) or shape[0] == "p" and "," not in "".join(g for _, _, g in group[:-1]) and (text[group[0][0]].islower() or not any(k in "GF" for k in shape) and group[0][0] not in cues):
+                    continue
+                gaps = [g for _, _, g in group[:-1]]
+                commas = sum("," in g for g in gaps)
+                if commas > 1 or commas and "," not in gaps[0] and "," not in gaps[-1]:
+                    continue
+                a, b = group[0][0], group[-1][1]
+                if (a, b) in seen:
+                    continue
+                seen.add((a, b))
+                yield a, b, _name_features(text, a, b, [text[x:y] for x, y, _ in group], "".join(shape), bool(commas), "\n" in gaps, cues.get(a))
+
+
+def _name_features(text: str, start: int, end: int, words: list[str], shape: str, comma: bool, broken: bool, cue: str | None) -> list[str]:
+    plain = re.sub(r"[GFU]", "N", re.sub(r"p+", "p", shape))
+    case, listed = _case(words), shape.count("G") + shape.count("F")
+    out = ["NAME", f"name={plain}{',' if comma else ''}", f"case={case}", f"given={min(shape.count('G'), 2)}", f"family={min(shape.count('F'), 2)}", f"listed={min(listed, 2)} unlisted={min(shape.count('U'), 3)}"]
+    cue = cue or "none"
+    out += [f"name cue={cue}", f"name cue={cue} case={case}", f"name cue={cue} listed={min(listed, 1)}"]
+    if not _ORG.isdisjoint(w.lower() for w in words):
         out.append("org inside")
-    before = text[: group[0].start()].rstrip(" ")
-    if not before or before[-1] in ".!?:\n":
+    if broken:
+        out.append("line break inside")
+    before = text[max(0, start - 3) : start]
+    if not before.strip(" ") or before.rstrip(" ")[-1:] in ".!?:\n":
         out.append("opens sentence")
-    if group[0].start() and _PART.search(text, max(0, group[0].start() - 2), group[0].start()) is None and text[group[0].start() - 1] == " " and re.search(r"[A-ZÀ-Þ][\w'’-]* $", text[max(0, group[0].start() - 30) : group[0].start()]):
-        out.append("capital before")
-    after = _WORD.match(text, end + 1) if text[end : end + 1] == " " else None
-    out.append("after=" + ("capital" if after and after[0][0].isupper() else after[0].lower() if after else "none"))
+    if before[-1:] == " " and (m := _PREVIOUS.search(text, max(0, start - 24), start)):
+        word = m[0].strip()
+        out.append("capital before" if word[:1].isupper() and word.lower() not in COMMON else f"before={word.lower()}" if word.lower() in _NEAR else "before=other")
+    after = text[end : end + 1]
+    if after == " ":
+        m = _WORD.match(text, end + 1)
+        word = m[0] if m else ""
+        if word.lower() in _ORG:
+            out.append("org follows")
+        out.append("after=capital" if word[:1].isupper() and word.lower() not in COMMON else f"after={word.lower()}" if word.lower() in _NEAR else "after=word" if word else "after=(" if text[end + 1 : end + 2] in "(<" else "after=none")
+    else:
+        out.append("after=" + (after if after in ".,;:?!&'’\n)" and after else "none"))
+    if "opens sentence" in out and out[-1].startswith("after="):
+        out.append(f"opens sentence {out[-1]}")
+    if re.search(r"(?i)(?:db|sql|base|store|stack|cache|load|ql|tools?|data|mesh|works)$", words[-1]):
+        out.append("product end")
     return out
 
 
+_PREVIOUS = re.compile(r"[\w'’]+ $")
+# Short words whose place before or behind a name tells something.
+_NEAR = set("""of from at in to the by for with and or is are was has on about than via using into says said signs signed wrote asked closed answered called told promised
+confirmed von bei aus der die das und hat ist sagt schrieb de del la le les chez et a est dit en y el con dice says kennt lleva répond""".split())
+
+
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     """Candidate segments: start, end (exclusive), kind, features."""
     out: list[tuple[int, int, str, list[str]]] = []
@@ -195,7 +266,8 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             start += len(local) - len(local.lstrip(".'%-+"))
             sign = "plain" if "@" in s else "wide" if "＠" in s else "spelled"
             out.append((start, m.end(), "EMAIL", ["EMAIL", f"sign={sign}", f"labels={min(len(tail), 4)}", "top=word" if tail[-1].isalpha() and len(tail[-1]) > 1 and len(tail) > 1 else "top=other", "local=word" if re.search(r"[^\W\d_]", local) else "local=other"]))
-    for m in [*_NUMBER.finditer(text), *_LOOSE.finditer(text)]:
+    digits_there = _DIGIT.search(text)
+    for m in [*_NUMBER.finditer(text), *_LOOSE.finditer(text)] if digits_there else ():
         at, s = m.start(), m[0]
         if s[0] == "(" and s.count("(") > s.count(")"):
             at, s = at + 1, s[1:]
@@ -206,14 +278,14 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             s = s[:cut].rstrip()
         for form, pattern in _PHONE_FORMS:
             hit = pattern.match(s)
-            if hit and hit.end() >= 7:
+            if hit and hit.end() >= 7:  # every form competes, with its own end
                 digits = sum(c.isdigit() for c in hit[0])
-                out.append((at, at + hit.end(), "PHONE", ["PHONE", f"form={form}", f"digits={min(digits, 16)}", "phone whole" if hit.end() == len(s) else "phone part"]))
-                break
-    for m in _ID.finditer(text):
-        form = next(f for f, p in _ID_FORMS if p.fullmatch(m[0]))
-        out.append((m.start(), m.end(), "ID_NUMBER", ["ID", f"id={form}", "id lower" if m[0].islower() else "id plain"]))
-    if any(c.isdigit() for c in text):
+                out.append((at, at + hit.end(), "PHONE", ["PHONE", f"form={form}", f"digits={min(digits, 16)}", f"form={form} digits={min(digits, 16)}", "phone whole" if hit.end() == len(s) else "phone part"]))
+    for m in _ID.finditer(text) if digits_there else ():
+        for form, pattern in _ID_FORMS:
+            if pattern.fullmatch(m[0]):
+                out.append((m.start(), m.end(), "ID_NUMBER", ["ID", f"id={form}", "id lower" if m[0].islower() else "id plain"]))
+    if digits_there:
         for m in _SUFFIX.finditer(text) if not _STREETS.isdisjoint(vocabulary) else ():
             head = _HOUSE.search(text, max(0, m.start() - 70), m.start())
             if head:
@@ -221,14 +293,14 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
                 tail = _AFTER_STREET.match(text, m.end())
                 lower = m[0].islower()
                 plain = any(w.lower() in _PLAIN for w in middle)
-                end = tail.end()
-                out.append((head.start(), end, "ADDRESS", ["ADDRESS", "street=house first", "street lower" if lower else "street capital", f"words {'plain' if plain else 'names'}", "middle " + _case(middle), "city" if end > m.end() else "no city", "short" if m[0].lower().rstrip(".") in ("st", "dr", "way", "close", "court", "drive", "square", "road") else "long"]))
-        for form, hints in _STREET_HINTS.items():
-            for m in _STREET_FORMS[form].finditer(text) if any(h in low for h in hints) else ():
+                for end in {m.end(), tail.end()}:  # with and without what may be its city
+                    out.append((head.start(), end, "ADDRESS", ["ADDRESS", "street=house first", "street lower" if lower else "street capital", f"words {'plain' if plain else 'names'}", "middle " + _case(middle), "city" if end > m.end() else "no city", "short" if m[0].lower().rstrip(".") in ("st", "dr", "way", "close", "court", "drive", "square", "road") else "long"]))
+        for form in {_STREET_OF[h] for h in _STREET_HINT.findall(low)}:
+            for m in _STREET_FORMS[form].finditer(text):
                 out.append((m.start(), m.end(), "ADDRESS", ["ADDRESS", f"street={form}", "street lower" if m[0].islower() else "street capital", "city" if "," in m[0] else "no city"]))
-    if low != text or not _NAMES.isdisjoint(vocabulary):
-        out += [(a, b, "NAME", f) for a, b, f in _names(text, [*_WORD.finditer(text)])]
-    return [(a, b, k, [*f, *(f"{k} {c}" for c in _cues(text, a, b))]) for a, b, k, f in out]
+    out = [(a, b, k, [*f, *(f"{k} {c}" for c in _cues(text, a, b))]) for a, b, k, f in out]
+    out += [(a, b, "NAME", f) for a, b, f in _names(text, sorted({x[0] for x in out}))]
+    return out
 
 
 _PLAIN = set("""the a an of and or to in on for with from by at is are was our their your my more less than days hours rows seats tries times minutes seconds
@@ -239,57 +311,94 @@ def weights(path: Path = WEIGHTS) -> dict[str, float]:
     return json.loads(path.read_text())
 
 
+#: Segments this close (characters between them) are neighbours.
+NEAR = 24
+
+
+def neighbours(a: tuple[int, int, str], b: tuple[int, int, str]) -> str | None:
+    """The feature of two segments (start, end, kind) that follow one another closely."""
+    gap = b[0] - a[1]
+    return f"{a[2]} then {b[2]} {'touching' if gap <= 3 else 'near'}" if 0 <= gap <= NEAR else None
+
+
 def decode(text: str, w: dict[str, float]) -> list[tuple[int, int, str]]:
     """The best set of disjoint segments: start, end, kind, by start."""
     found = [(b, a, k, sum(w.get(f, 0.0) for f in fs)) for a, b, k, fs in candidates(text)]
-    found = sorted(x for x in found if x[3] > 0)
+    found = sorted(x for x in found if x[3] > -REACH)
     if not found:
         return []
     ends = [x[0] for x in found]
-    best, choice = [0.0], [None]
-    for i, (b, a, _, s) in enumerate(found):
-        j = bisect_right(ends, a, 0, i)
-        take = best[j] + s
-        if take > best[i]:
-            best.append(take)
-            choice.append(j)
-        else:
-            best.append(best[i])
-            choice.append(None)
+    # best[i]: of all sets of the first i segments; last[i]: of those that end with the i-th
+    best, last, back = [0.0], [], []
+    for i, (b, a, k, s) in enumerate(found):
+        j = bisect_right(ends, a - NEAR - 1, 0, i)  # those before it are no neighbours
+        value, from_ = best[j], None
+        for h in range(j, bisect_right(ends, a, j, i)):
+            t = last[h] + w.get(neighbours((found[h][1], ends[h], found[h][2]), (a, b, k)) or "", 0.0)
+            if t > value:
+                value, from_ = t, h
+        last.append(value + s)
+        back.append((from_, j))
+        best.append(max(best[i], last[i]))
     out, i = [], len(found)
     while i:
-        if choice[i] is None:
+        if best[i] == best[i - 1]:
             i -= 1
-        else:
-            b, a, k, _ = found[i - 1]
+            continue
+        i -= 1
+        while True:
+            b, a, k, _ = found[i]
             out.append((a, b, k))
-            i = choice[i]
+            from_, j = back[i]
+            if from_ is None:
+                i = j
+                break
+            i = from_
     return out[::-1]
 
 
+#: The most that neighbours add to a segment; one below minus this is in no best set.
+REACH = 3.0
+
+
 def marginals(spans: list[tuple[int, int, float]]) -> tuple[float, list[float]]:
     """log Z over all sets of disjoint segments (start, end, potential), and each segment's probability."""
-    order = sorted(range(len(spans)), key=lambda i: (spans[i][1], spans[i][0]))
-    ends = [spans[i][1] for i in order]
+    return expectations(spans, [""] * len(spans), {})[:2]
+
+
+def expectations(spans: list[tuple[int, int, float]], kinds: list[str], w: dict[str, float]) -> tuple[float, list[float], dict[str, float]]:
+    """log Z over all sets of disjoint segments (start, end, potential), each segment's probability, and the expected number
+    of each feature of neighbours."""
+    n = len(spans)
+    order = sorted(range(n), key=lambda i: (spans[i][1], spans[i][0]))
     add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y)))
-    before = [0.0]
-    for n, i in enumerate(order):
-        j = bisect_right(ends, spans[i][0], 0, n)
-        before.append(add(before[n], before[j] + spans[i][2]))
-    z = before[-1]
-    by_start = sorted(range(len(spans)), key=lambda i: spans[i][0])
-    starts = [spans[i][0] for i in by_start]
-    after = [0.0] * (len(spans) + 1)  # after[n]: log sum over the segments from the n-th start on
-    for n in range(len(spans) - 1, -1, -1):
-        i = by_start[n]
-        j = next((m for m in range(n + 1, len(spans)) if starts[m] >= spans[i][1]), len(spans))
-        after[n] = add(after[n + 1], after[j] + spans[i][2])
-    p = []
-    for a, b, s in spans:
-        left = before[bisect_right(ends, a)]
-        right = after[next((m for m in range(len(spans)) if starts[m] >= b), len(spans))]
-        p.append(math.exp(left + s + right - z))
-    return z, p
+
+    def follow(i: int, j: int) -> float:
+        return w.get(neighbours((*spans[i][:2], kinds[i]), (*spans[j][:2], kinds[j])) or "", 0.0)
+
+    ahead, behind = [0.0] * n, [0.0] * n  # sets up to a segment (itself included), and from it on (itself left out)
+    for j in order:
+        total = 0.0
+        for i in order:
+            if spans[i][1] <= spans[j][0]:
+                total = add(total, ahead[i] + follow(i, j))
+        ahead[j] = total + spans[j][2]
+    for i in sorted(range(n), key=lambda i: (-spans[i][0], -spans[i][1])):
+        total = 0.0
+        for j in range(n):
+            if spans[j][0] >= spans[i][1]:
+                total = add(total, follow(i, j) + spans[j][2] + behind[j])
+        behind[i] = total
+    z = 0.0
+    for a in ahead:
+        z = add(z, a)
+    expected: dict[str, float] = {}
+    for i in range(n):
+        for j in range(n):
+            f = neighbours((*spans[i][:2], kinds[i]), (*spans[j][:2], kinds[j])) if spans[j][0] >= spans[i][1] else None
+            if f:
+                expected[f] = expected.get(f, 0.0) + math.exp(ahead[i] + follow(i, j) + spans[j][2] + behind[j] - z)
+    return z, [math.exp(ahead[i] + behind[i] - z) for i in range(n)], expected
 
 
 def mask(text: str | None, w: dict[str, float]) -> str | None:

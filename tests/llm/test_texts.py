@@ -212,6 +212,50 @@ def test_marginals_match_enumeration():
     assert all(abs(a - b / total) < 1e-9 for a, b in zip(p, each))
 
 
+def test_neighbours_in_decoding_and_expectation(monkeypatch):
+    """Best set and expected counts with features of neighbours, against enumeration of all sets."""
+    import itertools
+    import math
+
+    rng = random.Random(5)
+    for _ in range(40):
+        spans = sorted({(a, a + rng.randrange(2, 9), rng.choice(P.KINDS)) for a in (rng.randrange(60) for _ in range(7))})
+        w = {f"f{i}": rng.uniform(-2, 2) for i in range(len(spans))}
+        for a, b in itertools.product(P.KINDS, P.KINDS):
+            w.update({f"{a} then {b} {k}": rng.uniform(-2, 2) for k in ("touching", "near")})
+        best, total, counts = (0.0, []), 0.0, {}
+        for n in range(len(spans) + 1):
+            for chosen in itertools.combinations(range(len(spans)), n):
+                chosen = sorted(chosen, key=lambda i: spans[i])
+                if all(spans[a][1] <= spans[b][0] for a, b in zip(chosen, chosen[1:])):
+                    between = [P.neighbours(spans[a], spans[b]) for a, b in zip(chosen, chosen[1:])]
+                    score = sum(w[f"f{i}"] for i in chosen) + sum(w[f] for f in between if f)
+                    best = max(best, (score, [spans[i] for i in chosen]))
+                    total += math.exp(score)
+                    for f in between:
+                        if f:
+                            counts[f] = counts.get(f, 0.0) + math.exp(score)
+        monkeypatch.setattr(P, "candidates", lambda text, spans=spans: [(a, b, k, [f"f{i}"]) for i, (a, b, k) in enumerate(spans)])
+        assert P.decode("x" * 80, w) == best[1]
+        z, _, expected = P.expectations([(a, b, w[f"f{i}"]) for i, (a, b, _) in enumerate(spans)], [k for *_, k in spans], w)
+        assert abs(z - math.log(total)) < 1e-6
+        assert all(abs(expected[f] - v / total) < 1e-6 for f, v in counts.items())
+
+
+@pytest.mark.parametrize("frame", ["Kind regards, {}", "Who at Acme Labs is {}?", "Please ask for {}.", "I spoke with {} last week.", "Contact: {}, +49 30 23125 111", "Dr. {} said so."])
+def test_names_by_context_alone(frame):
+    w, at = P.weights(), frame.index("{")
+    assert sum((at, at + len(n), "NAME") in P.decode(frame.format(n), w) for n in HELD_OUT) >= 7
+
+
+def test_long_text_of_capitals():
+    import time
+
+    began = time.perf_counter()
+    P.decode("AB CD EF " * 20_000 + "van der " * 20_000 + "Dr. " * 20_000, P.weights())
+    assert time.perf_counter() - began < 30
+
+
 def test_trained_weights_hold_out():
     from postloom.llm import pii_training as T
 
