@@ -63,11 +63,11 @@ def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
-def keep_matching(df: DataFrame, ids: DataFrame, on: str, broadcast_rows: int = 2_000_000, rows: int | None = None) -> DataFrame:
-    """``df`` restricted to the values of ``on`` in ``ids`` (a materialized frame of one distinct bigint column; ``rows``
+def keep_matching(df: DataFrame, ids: DataFrame, on: str, broadcast_rows: int = 1_000_000, rows: int | None = None) -> DataFrame:
+    """``df`` restricted to the values of ``on`` in ``ids`` (a materialized frame of one distinct column of keys; ``rows``
     of them, counted here if that isn't given).
 
-    Up to ``broadcast_rows`` ids (16 bytes each) are broadcast, so the rest of ``df`` is dropped before any
+    Up to ``broadcast_rows`` keys (some 50 bytes each) are broadcast, so the rest of ``df`` is dropped before any
     shuffle; a larger set goes through an ordinary shuffled semi join. Nulls never match.
     """
     if (ids.count() if rows is None else rows) <= broadcast_rows:
