@@ -38,9 +38,10 @@ def normal_texts(batch: pa.RecordBatch, text_cols: tuple[str, ...], least: int =
     return np.array(rows, np.int64), norms
 
 
-def text_classes(norms: list[str]) -> np.ndarray:
-    """The class of rows with the same words. Classes only steer where rows meet; pairs are verified on the words."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in norms), np.uint64, len(norms)).view(np.int64)
+def text_classes(norms: list[str], seed: int = 0) -> np.ndarray:
+    """The class of rows with the same words (64 bits). Classes steer where rows meet; pairs of classes are verified on the
+    words, rows of one class by a second class with another seed."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in norms), np.uint64, len(norms)).view(np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -205,3 +205,37 @@ def test_small_corpus_at_the_former_bound(spark):
     rows = corpus()
     got = N.near_duplicate_pairs(spark.createDataFrame(rows, "id string, title string, content string"), "id", "title", "content").count()
     assert got >= 0.97 * len(brute_pairs(rows)), (got, len(brute_pairs(rows)))
+
+
+@pytest.mark.parametrize("batch", [3, 50, 10_000])
+def test_meeting_against_brute_force(batch):
+    """Runs across batches, repeated classes and variants of more classes than a block."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    entries = {(int(v), int(c)) for v, c in zip(rng.choice([1] * 150 + [2] * 80 + [3] * 20 + [*range(10, 300)], 900), rng.integers(0, 90, 900))}
+    sketch = {c: [int(x) for x in rng.integers(0, 3, N.SKETCH)] for c in range(90)}
+    rows = sorted(e for e in entries for _ in range(rng.integers(1, 4)))
+    cols = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), *(pa.array([sketch[r[1]][k] for r in rows]) for k in range(N.SKETCH))]
+    whole = pa.RecordBatch.from_arrays(cols, ["variant", "cid", *N.SKETCHES])
+    out = pa.Table.from_batches([b for b in N.Meeting(8).run(whole.slice(k, batch) for k in range(0, len(rows), batch)) if b.num_rows]).to_pylist()
+    by = {}
+    for v, c in entries:
+        by.setdefault(v, []).append(c)
+    near = lambda a, b: S.agreement(*([np.array([x]) for x in sketch[c]] for c in (a, b)))[0] >= N.MIN_AGREE
+    assert {(r["cid_a"], r["cid_b"]) for r in out if r["cid_b"] is not None} == {p for cs in by.values() if len(cs) <= 8 for p in itertools.combinations(sorted(cs), 2) if near(*p)}
+    rest = [(r["variant"], r["cid_a"]) for r in out if r["cid_b"] is None]
+    assert sorted(rest) == sorted((v, c) for v, cs in by.items() if len(cs) > 8 for c in cs)
+    blocks = [(r["variant"], r["block"]) for r in out if r["cid_b"] is None]
+    assert max(map(blocks.count, blocks)) <= 8
+
+
+def test_hot_variants_lose_no_pair(spark):
+    """Texts of one boilerplate: every variant is hot with blocks of two, and the pairs are the same."""
+    rng = random.Random(6)
+    base = rng.choices(WORDS, k=60)
+    rows = [(f"E{i:03d}", None, " ".join([*base, *rng.choices(WORDS, k=rng.choice([3, 20, 50]))])) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, title string, content string")
+    whole, blocks = ({tuple(r) for r in N.candidate_pairs(N.Rows(df, "id", "title", "content"), block).collect()} for block in (10_000, 2))
+    assert whole == blocks and len(whole) > 100
