@@ -16,7 +16,7 @@ import json
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -68,7 +68,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 _LEFT = re.compile(r"[\w'’]+")
 _EMAIL = re.compile(r"[\w.+%'-]*\w[+]?\s?(?:@|＠|[(\[{]\s?at\s?[)\]}])\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)[\w-]+)*|[\w.+%'-]*\w\sat\s[\w-]+(?:\sdot\s[\w-]+)+", re.I)
-_NUMBER = re.compile(r"(?<![\w.,@#/=-])(?:\+|\((?=[\d+]))?\(?\d[\d\s().\-/]{5,24}\d(?:\s?(?:ext\.?|x|app\.?)\s?\d{1,5})?(?![\w@-])", re.I)
+_NUMBER = re.compile(r"[+(\d](?<![\w.,@#/=-].)(?:(?<=[+(])\(?\d)?[\d\s().\-/]{5,24}\d(?:\s?(?:ext\.?|x|app\.?)\s?\d{1,5})?(?![\w@-])", re.I)
 _LOOSE = re.compile(r"(?<=[=;\"“])\+?\(?\d[\d ().\-/]{5,24}\d(?![\w@-])")
 _PHONE_FORMS = [
     ("intl", re.compile(r"(?:\+|00)\(?\d{1,3}\)?(?:[ .\-/()]*\d){7,12}(?:\s?(?:ext\.?|x|app\.?)\s?\d{1,5})?", re.I)),
@@ -77,7 +77,7 @@ _PHONE_FORMS = [
     ("area", re.compile(r"\(?0\d{1,4}\)?[ /-]\d{3,6}(?:[ -]\d{2,6})?")),
     ("bare", re.compile(r"0?\d{7,11}")),
 ]
-_ID = re.compile(r"(?<![\w.@#/-])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]|\d{3}[- ]\d\d[- ]\d{4}|[12] \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?|\d{8}[A-Za-z]|[A-Za-z]\d{7,8}[A-Za-z]?|\d{9,15})(?![\w@-])")
+_ID = re.compile(r"\b(?<![.@#/-])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]|\d{3}[- ]\d\d[- ]\d{4}|[12] \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?|\d{8}[A-Za-z]|[A-Za-z]\d{7,8}[A-Za-z]?|\d{9,15})(?![\w@-])")
 _ID_FORMS = [
     ("letters6", re.compile(r"[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]")),
     ("3-2-4", re.compile(r"\d{3}[- ]\d\d[- ]\d{4}")),
@@ -104,12 +104,12 @@ _STREET_HINTS = {
     "box": ("box ", "postfach ", "apartado ", "bp "),
 }
 _STREET_OF = {h: form for form, hints in _STREET_HINTS.items() for h in hints}
+_STREET = re.compile(r"\b(?:" + "|".join(STREETS) + r")\b")
 _STREET_HINT = re.compile("|".join(sorted(map(re.escape, _STREET_OF), key=len, reverse=True)))
-_STREETS = set(STREETS)
 _UPPER = "".join(chr(c) for c in range(0x530) if chr(c).isupper())
 _CAPITAL = rf"[{_UPPER}][\w'’-]*\.?"
 # the first sign decides quickly; a particle before a run is added to it
-_RUN = re.compile(rf"[{_UPPER}](?<![\w'’@./-].)[\w'’-]*\.?(?:(?:,? |\n)(?:{_CAPITAL}|(?:{'|'.join(PARTICLES)})\b))*")
+_RUN = re.compile(rf"[{_UPPER}](?<![\w'’@./-].)[\w'’-]*\.?(?:(?:,? |\n)(?:{_CAPITAL}|(?:{'|'.join(PARTICLES)})\b))+")
 _LEADING = re.compile(rf"(?<![\w'’@./-])(?:(?:{'|'.join(x for p in PARTICLES for x in (p, p.title()))}) )+$")
 _BETWEEN = re.compile(r",? |\n")
 # What stands right before a name, by kind.
@@ -123,7 +123,17 @@ account for|account of|made out to|in the name of|according to""".replace("\n",
     "role": "manager colleague Kollege Kollegin person boss Chef collègue compañero compañera".split(),
 }
 _CUE_KIND = {x.lower(): k for k, v in NAME_CUES.items() for x in v}
-_CUED = re.compile(r"\b(" + "|".join(sorted((re.escape(y) for v in NAME_CUES.values() for x in v for y in {x[0].lower() + x[1:], x[0].upper() + x[1:], x.upper()}), key=len, reverse=True)) + r")(?!\w)(?:[.,]|( ?[:=]))?[ \n]?(?=[^\W\d_])")
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of any of the words, the longest first, that is told apart by the first letter."""
+    by: dict[str, list[str]] = {}
+    for x in sorted(words, key=lambda x: (-len(x), x)):
+        by.setdefault(x[0], []).append(re.escape(x[1:]))
+    return "(?:" + "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in sorted(by.items())) + ")"
+
+
+_CUED = re.compile(r"\b(" + _any_of({y for v in NAME_CUES.values() for x in v for y in (x[0].lower() + x[1:], x[0].upper() + x[1:], x.upper())}) + r")(?!\w)(?:[.,]|( ?[:=]))?[ \n]?(?=[^\W\d_])")
 #: Cues behind which words in small letters may be a name, and what may stand right before an address or a number.
 _STRONG = ("title", "closing", "record", "asked", "called")
 _SMALL = re.compile(r"[^\W\d_][\w'’-]*\.?(?:,? [^\W\d_][\w'’-]*\.?){1,3}")
@@ -174,8 +184,7 @@ def _names(text: str, others: list[int]) -> Iterator[tuple[int, int, list[str]]]
         at = m.start()
         if text[at - 1 : at] == " " and (before := _LEADING.search(text, max(0, at - 16), at)):
             at = before.start()
-        if " " in m[0] or "\n" in m[0] or at < m.start():
-            runs.append((at, m.end(), True))
+        runs.append((at, m.end(), True))
     for at, kind in cues.items():
         if kind in _STRONG and text[at].islower() and (m := _SMALL.match(text, at)):
             runs.append((at, m.end(), False))
@@ -257,7 +266,6 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     """Candidate segments: start, end (exclusive), kind, features."""
     out: list[tuple[int, int, str, list[str]]] = []
     low = text.lower()
-    vocabulary = set(_WORD.findall(low))
     if "@" in text or "＠" in text or " at " in low and " dot " in low or re.search(r"[(\[{]\s?at\s?[)\]}]", low):
         for m in _EMAIL.finditer(text):
             start, s = m.start(), m[0]
@@ -286,7 +294,7 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             if pattern.fullmatch(m[0]):
                 out.append((m.start(), m.end(), "ID_NUMBER", ["ID", f"id={form}", "id lower" if m[0].islower() else "id plain"]))
     if digits_there:
-        for m in _SUFFIX.finditer(text) if not _STREETS.isdisjoint(vocabulary) else ():
+        for m in _SUFFIX.finditer(text) if _STREET.search(low) else ():
             head = _HOUSE.search(text, max(0, m.start() - 70), m.start())
             if head:
                 middle = [w for w in _WORD.findall(head[0])]
