@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import shingles as S
-from postloom.operators.durable import keep_matching, materialize, measured, scratch
+from postloom.operators.durable import kept, materialize, measured, remove, scratch
 from postloom.operators.quotient import identifier
 
 PASSES = 16
@@ -41,8 +41,9 @@ SKETCH, MIN_AGREE = 3, 13
 SKETCHES = [f"sketch{k}" for k in range(1, SKETCH + 1)]
 RUN = "range int, key bigint, cid bigint, " + ", ".join(f"{k} bigint" for k in SKETCHES)
 SETTLED = "gid bigint, row_id string, i1 bigint, i2 bigint, cid bigint, kept_gid bigint"
-#: Rows of a lookup table that may be broadcast (at most 40 bytes each); a larger one is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a lookup table that may be broadcast (at most 40 bytes each); a larger one is shuffled. All of them come from one delivery
+#: or its candidate pairs, whose rows are counted when they are written.
+BROADCAST_ROWS = 1_000_000
 
 
 def sort_key(first: np.ndarray, second: np.ndarray, number: int) -> np.ndarray:
@@ -125,11 +126,13 @@ class History:
 
     ``rows`` holds all rows that may be delivered (it is read by row id, never scanned for comparison); the columns
     are named by the arguments. ``state.json``-like bookkeeping is kept in ``self.manifest`` and can be saved and
-    loaded, so that the next batch may be handled by another session.
+    loaded, so that the next batch may be handled by another session. Runs and settled rows stay in the shared folder
+    (with ``lasting`` false only as long as the application); ``close`` drops the names of the runs.
     """
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, row_id: str = "evidence_id", key: str = "source_key", duplicate_of: str = "duplicate_of", content: str = "content", threshold: float = S.THRESHOLD, manifest: str | None = None):
-        self.spark, self.threshold = spark, threshold
+    def __init__(self, spark: SparkSession, rows: DataFrame, row_id: str = "evidence_id", key: str = "source_key", duplicate_of: str = "duplicate_of", content: str = "content", threshold: float = S.THRESHOLD, manifest: str | None = None, lasting: bool = True):
+        self.spark, self.threshold, self.place = spark, threshold, kept if lasting else scratch
+        self.small = False
         self.rows = rows.select(F.col(row_id).cast("string").alias("row_id"), F.col(key).cast("string").alias("key"), F.col(duplicate_of).cast("string").alias("dup"), F.col(content).cast("string").alias("content"), *[c for c in ("batch_no",) if c in rows.columns])
         self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         self.names: list[int] | None = None
@@ -153,7 +156,7 @@ class History:
         self.runs.append((name, path))
 
     def _write_run(self, entries: DataFrame) -> None:
-        name, path = f"run_{uuid.uuid4().hex}", scratch(self.spark, "p3-run")
+        name, path = f"run_{uuid.uuid4().hex}", self.place(self.spark, "p3-run")
         entries.repartition(self.buckets, "range").dropDuplicates(["range", "key", "cid"]).write.bucketBy(self.buckets, "range").sortBy("range", "key").option("path", path).saveAsTable(name)
         self.runs.append((name, path))
 
@@ -182,7 +185,13 @@ class History:
             merged = merged.union(self.spark.table(name))
         old, self.runs = self.runs, []
         self._write_run(merged.join(accepted, "cid", "left_semi").select("range", "key", "cid", *SKETCHES))
-        for name, _ in old:
+        for name, path in old:
+            self.spark.sql(f"drop table if exists {name}")
+            remove(self.spark, path)
+
+    def close(self) -> None:
+        """Drop the names of the runs from the catalog; their files stay."""
+        for name, _ in self.runs:
             self.spark.sql(f"drop table if exists {name}")
 
     def accept(self, delivery: DataFrame) -> DataFrame:
@@ -199,32 +208,26 @@ class History:
         wide = delivery.where("row_id is not null").select(
             "row_id", F.when(ident.isNotNull(), F.xxhash64(ident)).alias("i1"), F.when(ident.isNotNull(), F.xxhash64(F.lit("second"), ident)).alias("i2"), F.when(F.col("dup") < F.col("row_id"), F.col("dup")).alias("dup"), "content"
         )
-        wide = materialize(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCHES)), "p3-base")
+        wide, seen = measured(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCHES)), "p3-base")
+        self.small = seen["rows"] <= BROADCAST_ROWS
         # numbers in the order of row_id, above those of earlier deliveries
         ordered = wide.select("row_id", "i1", "i2", "dup", "cid").repartitionByRange(self.buckets, "row_id").sortWithinPartitions("row_id")
         rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), "p3-rows")
         self._write_run(wide.where("cid is not null").select(F.explode("keys").alias("key"), "cid", *SKETCHES).select(self._range(F.col("key")).alias("range"), "key", "cid", *SKETCHES))
         refused = self._resolve(rows, self._links(rows))
-        path = scratch(self.spark, "p3-settled")
-        self._lookup(rows, refused, ["gid"]).select("gid", "row_id", "i1", "i2", "cid", "kept_gid").write.parquet(path)
+        path = self.place(self.spark, "p3-settled")
+        rows.join(self._narrow(refused), "gid", "left").select("gid", "row_id", "i1", "i2", "cid", "kept_gid").write.parquet(path)
         self.settled.append(path)
         if len(self.runs) > MAX_RUNS:
             self.compact()
         found = self.spark.read.schema(SETTLED).parquet(path).where("kept_gid is not null").select("row_id", F.col("kept_gid").alias("gid"))
-        heads = self._matching(self._settled().select("gid", F.col("row_id").alias("kept_id")), found.select("gid"), "gid")
-        return found.join(heads, "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct()
-
-    def _lookup(self, df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-        """Left join with a table of one row per key; broadcast if it is small."""
-        table, seen = measured(table, "p3-lookup")
-        if seen["rows"] <= BROADCAST_ROWS:
-            table = F.broadcast(table)
-        return df.join(table, on, "left")
+        # of the history only the rows that are named
+        heads = self._settled().select("gid", F.col("row_id").alias("kept_id")).join(self._narrow(found.select("gid").distinct()), "gid", "left_semi")
+        return found.join(self._narrow(heads), "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct()
 
-    def _matching(self, df: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
-        """``df`` restricted to the values of its bigint column ``on`` in ``wanted`` (one column)."""
-        ids, seen = measured(wanted.select(F.col(wanted.columns[0]).alias(on)).distinct(), "p3-wanted")
-        return keep_matching(df, ids, on, BROADCAST_ROWS, seen["rows"])
+    def _narrow(self, df: DataFrame) -> DataFrame:
+        """``df``, a table of no more rows than the delivery and its candidate pairs: broadcast if these are few."""
+        return F.broadcast(df) if self.small else df
 
     def _links(self, rows: DataFrame) -> DataFrame:
         """Pairs of alike classes (both directions: cid, other), at least one of them new."""
@@ -236,14 +239,18 @@ class History:
             else:
                 met = new.groupBy("range").cogroup(self.spark.table(name).groupBy("range")).applyInArrow(lambda a, b: _compare(a, b), "cid_a bigint, cid_b bigint")
             pairs = met if pairs is None else pairs.union(met)
-        pairs = materialize(pairs.repartition("cid_a").dropDuplicates(["cid_a", "cid_b"]), "p3-candidates")
+        pairs, seen = measured(pairs.repartition("cid_a").dropDuplicates(["cid_a", "cid_b"]), "p3-candidates")
+        few = 2 * seen["rows"] <= BROADCAST_ROWS
+        self.small = self.small and few
+        narrow = F.broadcast if few else lambda df: df
         known = rows.select("row_id", "cid")
         if self.settled:
             known = known.union(self._settled().select("row_id", "cid"))
         # the content of one row of each class that a window names
-        ids = self._matching(known.where("cid is not null").select("cid", F.xxhash64("row_id").alias("rid")), pairs.select(F.explode(F.array("cid_a", "cid_b"))), "cid").groupBy("cid").agg(F.min("rid").alias("rid"))
-        contents = reduce(DataFrame.union, [x.select(F.xxhash64("row_id").alias("rid"), "content") for x in self.delivered])
-        texts = self._matching(contents, ids.select("rid"), "rid").select("content").mapInArrow(_texts, "cid bigint, norm string")
+        named = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
+        ids = known.where("cid is not null").join(narrow(named), "cid", "left_semi").groupBy("cid").agg(F.min("row_id").alias("row_id"))
+        contents = reduce(DataFrame.union, [x.select("row_id", "content") for x in self.delivered])
+        texts = contents.join(narrow(ids.select("row_id")), "row_id", "left_semi").select("content").mapInArrow(_texts, "cid bigint, norm string")
         texts = texts.groupBy("cid").agg(F.first("norm").alias("norm"))
         ta, tb = (texts.select(F.col("cid").alias(f"cid_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
         alike = pairs.join(ta, "cid_a").join(tb, "cid_b").where(S.jaccard(F.col("norm_a"), F.col("norm_b")) >= self.threshold)
@@ -257,18 +264,16 @@ class History:
         targets = rows.select("row_id", F.col("gid").alias("dup_gid"), F.lit(None).cast("bigint").alias("root"))
         if self.settled:
             targets = targets.union(self._settled().select("row_id", F.lit(None).cast("bigint"), F.coalesce("kept_gid", "gid")))
-        targets = self._matching(targets.withColumn("h", F.xxhash64("row_id")), duplicates.select(F.xxhash64("dup")), "h").select(F.col("row_id").alias("dup"), "dup_gid", "root")
-        by_dup = duplicates.join(targets, "dup").groupBy("gid").agg(F.min("dup_gid").alias("dup_gid"), F.min("root").alias("root"))
-        out = self._lookup(rows.select("gid", "i1", "i2", "cid"), by_dup, ["gid"])
+        by_dup = targets.withColumnRenamed("row_id", "dup").join(self._narrow(duplicates), "dup").groupBy("gid").agg(F.min("dup_gid").alias("dup_gid"), F.min("root").alias("root"))
+        out = rows.select("gid", "i1", "i2", "cid").join(self._narrow(by_dup), "gid", "left")
         if not self.settled:
             return out.select("gid", "i1", "i2", "cid", "dup_gid", F.lit(None).cast("bigint").alias("kept_gid"))
         accepted = self._settled().where("kept_gid is null").select("gid", "i1", "i2", "cid")
-        by_ident = self._matching(accepted, rows.where("i1 is not null").select("i1"), "i1").groupBy("i1", "i2").agg(F.min("gid").alias("by_ident"))
-        around, seen = measured(rows.where("cid is not null").select("cid").distinct(), "p3-around")
-        reach = keep_matching(links, around, "cid", BROADCAST_ROWS, seen["rows"]).union(around.select("cid", F.col("cid").alias("other")))
-        heads = self._matching(accepted.where("cid is not null"), reach.select("other"), "cid").groupBy(F.col("cid").alias("other")).agg(F.min("gid").alias("head"))
-        by_text = reach.join(heads, "other").groupBy("cid").agg(F.min("head").alias("by_text"))
-        out = self._lookup(self._lookup(out, by_ident, ["i1", "i2"]), by_text, ["cid"])
+        by_ident = accepted.join(self._narrow(rows.where("i1 is not null").select("i1").distinct()), "i1", "left_semi").groupBy("i1", "i2").agg(F.min("gid").alias("by_ident"))
+        around = rows.where("cid is not null").select("cid").distinct()
+        reach = links.join(self._narrow(around), "cid", "left_semi").union(around.select("cid", F.col("cid").alias("other")))
+        by_text = accepted.select(F.col("cid").alias("other"), "gid").join(self._narrow(reach), "other").groupBy("cid").agg(F.min("gid").alias("by_text"))
+        out = out.join(self._narrow(by_ident), ["i1", "i2"], "left").join(self._narrow(by_text), "cid", "left")
         return out.select("gid", "i1", "i2", "cid", "dup_gid", F.coalesce("by_ident", "root", "by_text").alias("kept_gid"))
 
     def _resolve(self, rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,10 +287,10 @@ class History:
             first, got = F.min(F.when(open_, F.col("gid"))), F.min(F.when(F.col("done") & F.col("kept_gid").isNull(), F.col("gid")))
             idents = turn.where("i1 is not null").groupBy("i1", "i2").agg(first.alias("first_ident"), got.alias("got_ident"))
             heads = turn.where("cid is not null").groupBy("cid").agg(first.alias("first"), got.alias("got"))
-            near = links.join(heads.withColumnRenamed("cid", "other"), "other").groupBy("cid").agg(F.min("first").alias("first_near"), F.min("got").alias("got_near"))
+            near = links.join(self._narrow(heads.withColumnRenamed("cid", "other")), "other").groupBy("cid").agg(F.min("first").alias("first_near"), F.min("got").alias("got_near"))
             named = turn.where(open_ & F.col("dup_gid").isNotNull()).select("dup_gid").distinct()
-            fates = turn.select(F.col("gid").alias("dup_gid"), open_.alias("dup_open"), F.when(F.col("done"), F.coalesce("kept_gid", "gid")).alias("got_dup")).join(named, "dup_gid")
-            state = turn.where(open_).drop("kept_gid", "done").join(idents, ["i1", "i2"], "left").join(heads.join(near, "cid", "left"), "cid", "left").join(fates, "dup_gid", "left")
+            fates = turn.select(F.col("gid").alias("dup_gid"), open_.alias("dup_open"), F.when(F.col("done"), F.coalesce("kept_gid", "gid")).alias("got_dup")).join(self._narrow(named), "dup_gid")
+            state = turn.where(open_).drop("kept_gid", "done").join(self._narrow(idents), ["i1", "i2"], "left").join(self._narrow(heads), "cid", "left").join(self._narrow(near), "cid", "left").join(self._narrow(fates), "dup_gid", "left")
             refuse = F.coalesce("got_ident", "got_dup", F.least("got", "got_near"))
             own = F.col("gid")
             clear = F.coalesce(F.col("first_ident") == own, F.lit(True)) & F.coalesce(F.col("first") == own, F.lit(True)) & F.coalesce(F.col("first_near") > own, F.lit(True)) & ~F.coalesce("dup_open", F.lit(False))
@@ -301,17 +306,18 @@ class History:
 def replay(spark: SparkSession, rows: DataFrame, bounds: tuple[int, ...], **names: str) -> DataFrame:
     """Hand all batches over in deliveries: batch_no below the first bound, below the second, and so on, then the rest
     (a null batch_no comes with the first). The result doesn't depend on how batches are grouped."""
-    history = History(spark, rows, **names)
+    history = History(spark, rows, lasting=False, **names)
     batch = F.coalesce("batch_no", F.lit(0))
     found = None
-    for lo, hi in zip((None, *bounds), (*bounds, None)):
-        part = history.rows
-        if lo is not None:
-            part = part.where(batch >= lo)
-        if hi is not None:
-            part = part.where(batch < hi)
-        out = history.accept(part)
-        found = out if found is None else found.union(out)
-    for name, _ in history.runs:
-        spark.sql(f"drop table if exists {name}")
+    try:
+        for lo, hi in zip((None, *bounds), (*bounds, None)):
+            part = history.rows
+            if lo is not None:
+                part = part.where(batch >= lo)
+            if hi is not None:
+                part = part.where(batch < hi)
+            out = history.accept(part)
+            found = out if found is None else found.union(out)
+    finally:
+        history.close()
     return found

@@ -239,3 +239,17 @@ def test_hot_variants_lose_no_pair(spark):
     df = spark.createDataFrame(rows, "id string, title string, content string")
     whole, blocks = ({tuple(r) for r in N.candidate_pairs(N.Rows(df, "id", "title", "content"), block).collect()} for block in (10_000, 2))
     assert whole == blocks and len(whole) > 100
+
+
+def test_batch_by_batch_with_compaction_and_shuffled_lookups(spark, monkeypatch):
+    """Each batch on its own, runs compacted on the way, small tables shuffled as large ones are: the same rows are kept."""
+    rows = history_rows(120, 5)
+    df = spark.createDataFrame(rows, "evidence_id string, source_key string, duplicate_of string, content string, batch_no int")
+    names = lambda: {t.name for t in spark.catalog.listTables()}
+    before, compacted = names(), []
+    compact = H.History.compact
+    monkeypatch.setattr(H.History, "compact", lambda self: compacted.append(len(self.runs)) or compact(self))
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    got = {r.row_id for r in H.replay(spark, df, (1, 2, 3, 4, 5)).collect()}
+    assert got == set(brute_history(rows)) and compacted == [5]
+    assert names() == before
