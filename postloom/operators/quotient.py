@@ -1,9 +1,10 @@
 """Exactly-once by exact quotient hash tables.
 
-An identifier is brought to a fixed width, permuted by an invertible mixing network, and split into a quotient
-(which shard, which home slot) and a remainder, which the table stores completely. Because the permutation is
-invertible, equal quotient and remainder mean equal identifiers: there are no false matches, whatever the number of
-identifiers. Identifiers longer than the fixed width keep their tail beside the remainder, so they are exact as well.
+An identifier is brought to a fixed width, permuted by an invertible mixing network, and split into a quotient (its first
+word: the upper bits choose the shard, the lower ones the home slot) and a remainder. A slot stores the remainder and how
+far it lies from its home; the quotient's bits that choose the home are not stored, the place gives them back. Because the
+permutation is invertible, equal quotient and remainder mean equal identifiers: there are no false matches, whatever the
+number of identifiers. Identifiers longer than the fixed width keep their tail beside the remainder, so they are exact as well.
 
 Spark partitions the work: every input batch first inserts its identifiers into a small table of its own, so that a
 hot identifier sends one row per batch to its shard; the shards then insert the survivors in order of row id.
@@ -73,23 +74,37 @@ def fixed_width(ids: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 
 class QuotientTable:
-    """Open addressing by quotient; slots hold complete remainders (all words of the permuted identifier, with the
-    quotient's bits in place, and the tail's number). It grows with what is inserted."""
+    """Open addressing by quotient. A slot holds the complete remainder (what the first word has above the home's bits, the other
+    words, and the tail's number) and its distance from the home. It grows with what is inserted."""
 
     def __init__(self, words: int = WORDS + 1, bits: int = 10):
-        self.words, self.bits, self.n = words, bits, 0
-        self.slots = np.zeros((1 << bits, words), np.uint64)
+        self.words, self.n = words, 0
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
+        self.bits, self.n = bits, 0
+        self.rest = np.zeros((1 << bits, self.words), np.uint64)
+        self.far = np.zeros(1 << bits, np.int64)
         self.used = np.zeros(1 << bits, bool)
 
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (keys[:, 0] & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+    def _split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Home slots and remainders."""
+        rest = keys.copy()
+        rest[:, 0] >>= np.uint64(self.bits)
+        return (keys[:, 0] & np.uint64((1 << self.bits) - 1)).astype(np.int64), rest
+
+    def keys(self) -> np.ndarray:
+        """All keys, put together from places and remainders."""
+        slot = np.flatnonzero(self.used)
+        out = self.rest[slot]
+        out[:, 0] = out[:, 0] << np.uint64(self.bits) | ((slot - self.far[slot]) & (len(self.used) - 1)).astype(np.uint64)
+        return out
 
     def _grow(self, more: int) -> None:
         if (self.n + more) * 5 <= len(self.used) * 3:
             return
-        old = self.slots[self.used]
-        self.bits = max(self.bits + 1, int(np.ceil(np.log2((self.n + more) * 2 + 1))))
-        self.slots, self.used, self.n = np.zeros((1 << self.bits, self.words), np.uint64), np.zeros(1 << self.bits, bool), 0
+        old, bits = self.keys(), max(self.bits + 1, int(np.ceil(np.log2((self.n + more) * 2 + 1))))
+        self._clear(bits)
         self._insert(old)
 
     def insert(self, keys: np.ndarray) -> np.ndarray:
@@ -98,20 +113,21 @@ class QuotientTable:
         return self._insert(keys)
 
     def _insert(self, keys: np.ndarray) -> np.ndarray:
-        fresh, at, mask = np.zeros(len(keys), bool), self._home(keys), len(self.used) - 1
+        home, rest = self._split(keys)
+        fresh, far, mask = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), len(self.used) - 1
         todo = np.arange(len(keys))
         while len(todo):
-            slot = at[todo]
+            slot = (home[todo] + far[todo]) & mask
             empty = ~self.used[slot]
             if empty.any():  # the first of those that meet in an empty slot takes it
                 claim, first = np.unique(slot[empty], return_index=True)
                 winners = todo[empty][first]
-                self.slots[claim], self.used[claim] = keys[winners], True
+                self.rest[claim], self.far[claim], self.used[claim] = rest[winners], far[winners], True
                 fresh[winners] = True
                 self.n += len(winners)
-            same = (self.slots[at[todo]] == keys[todo]).all(1)
+            same = (self.far[slot] == far[todo]) & (self.rest[slot] == rest[todo]).all(1)
             todo = todo[~same]
-            at[todo] = (at[todo] + 1) & mask
+            far[todo] += 1
         return fresh
 
 
@@ -130,7 +146,7 @@ def _local(shards: int):
             keys = _keys([ids[i] for i in order], {})
             surplus = ~QuotientTable().insert(keys)
             # what is surplus already goes anywhere: it needs no table
-            shard = np.where(surplus, np.arange(len(ids)) % shards, (keys[:, 1] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+            shard = np.where(surplus, np.arange(len(ids)) % shards, ((keys[:, 0] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0).take(pa.array(order)), rows.take(pa.array(order)), pa.array(surplus)], ["shard", "identifier", "row_id", "surplus"])
 
     return run
@@ -156,5 +172,6 @@ def exactly_once(df: DataFrame, identifier_col: Column | str, row_id: str, shard
     shards = shards or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ids = df.select(identifier(identifier_col).alias("identifier"), F.col(row_id).cast("string").alias("row_id")).where("identifier is not null")
     local = ids.mapInArrow(_local(shards), "shard int, identifier string, row_id string, surplus boolean")
-    ranked = local.repartition(shards, "shard").sortWithinPartitions(F.asc_nulls_last("row_id")).select("identifier", "row_id", "surplus")
+    # the shard's number is its partition
+    ranked = local.repartitionById(shards, "shard").sortWithinPartitions(F.asc_nulls_last("row_id")).select("identifier", "row_id", "surplus")
     return ranked.mapInArrow(_shard, "row_id string, surplus boolean")

@@ -51,3 +51,22 @@ def test_hot_identifier(spark):
     df = spark.range(30_000, numPartitions=3).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k", "lpad(cast(id as string), 8, '0') as id")
     out = Q.exactly_once(df, "k", "id").groupBy("surplus").count().collect()
     assert {r.surplus: r["count"] for r in out} == {False: 20_001, True: 9_999}
+
+
+def test_keys_come_back_from_places_and_remainders():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << 63, (3000, 5), dtype=np.uint64)
+    keys[:900, 0] = keys[0, 0]  # one quotient, many remainders: all lie far from their home
+    table = Q.QuotientTable(bits=4)
+    for part in np.array_split(keys, 9):
+        assert table.insert(part).all()
+    assert {tuple(k) for k in table.keys()} == {tuple(k) for k in keys}
+    assert not table.insert(keys).any()
+
+
+def test_shards_are_partitions(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).selectExpr("uuid() as k", "cast(id as string) as id")
+    sizes = [r["count"] for r in Q.exactly_once(df, "k", "id", shards=8).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
