@@ -144,16 +144,17 @@ def _answer(spans: tuple[int, ...], back: int):
     return run
 
 
-def rolling_totals(weekly: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
+def rolling_totals(weekly: DataFrame, spans: tuple[int, ...] = SPANS, trees: DataFrame | None = None) -> DataFrame:
     """Totals over trailing spans for every entity and every week from its first to the last week of all:
     entity, week, total_N (sum over the N weeks that end there), stated_N (weeks of them with a row).
 
     ``weekly`` is (entity, week, value) with each week once (see ``latest_statements``). Weeks without a row count as
     zero. The shards of one entity are joined with the at most ceil(max span / SHARD) shards before them, so no task
-    holds more of an entity than that. An empty input gives an empty result.
+    holds more of an entity than that. An empty input gives an empty result. ``trees``: those of ``weekly`` where they are
+    kept as a table (see ``correct``), so that they aren't built anew.
     """
     back = -(-(max(spans) - 1) // SHARD)
-    trees = build_trees(weekly)
+    trees = build_trees(weekly) if trees is None else trees
     bounds = weekly.groupBy("entity").agg(F.min("week").alias("first_week"))
     last = weekly.agg(F.max("week").alias("last_week"))
     grid = bounds.join(F.broadcast(last)).select("entity", "first_week", "last_week", F.explode(F.sequence(F.floor(F.col("first_week") / SHARD), F.floor(F.col("last_week") / SHARD))).alias("shard"))  # one row is broadcast
@@ -166,9 +167,22 @@ def rolling_totals(weekly: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFra
     return grid.join(near, ["entity", "shard"], "left").select("entity", "shard", "first_week", "last_week", *named).mapInArrow(_answer(tuple(spans), back), schema)
 
 
+def _named(rows: DataFrame, spans: tuple[int, ...]) -> DataFrame:
+    cols = reduce(lambda a, s: [*a, F.col(f"total_{s}").alias(f"total_{s}w"), F.round(F.col(f"total_{s}") / s, 6).alias(f"avg_{s}w"), F.col(f"stated_{s}").alias(f"stated_{s}w")], spans, [])
+    return rows.select(F.col("entity").alias("topic_id"), week_name(F.col("week")).alias("period"), *cols)
+
+
 def topic_rolling(mentions: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
     """``rolling_totals`` of topic mentions with names: topic_id, period, total_Nw, avg_Nw (rounded to 6 places; the
     average is over all N weeks of the span) and stated_Nw."""
-    rows = rolling_totals(latest_statements(mentions), spans)
-    cols = reduce(lambda a, s: [*a, F.col(f"total_{s}").alias(f"total_{s}w"), F.round(F.col(f"total_{s}") / s, 6).alias(f"avg_{s}w"), F.col(f"stated_{s}").alias(f"stated_{s}w")], spans, [])
-    return rows.select(F.col("entity").alias("topic_id"), week_name(F.col("week")).alias("period"), *cols)
+    return _named(rolling_totals(latest_statements(mentions), spans), spans)
+
+
+def topic_rolling_corrected(mentions: DataFrame, until: str, spans: tuple[int, ...] = SPANS) -> DataFrame:
+    """``topic_rolling`` by late corrections: trees of what had been stated before the instant ``until``, in which what was stated
+    later (or at no known time) changes its leaves and their ancestors only."""
+    at = F.to_timestamp("recorded_at")
+    early, latest = latest_statements(mentions.where(at < F.lit(until).cast("timestamp"))), latest_statements(mentions)
+    same = early.select("entity", "week", F.col("value").alias("was"))
+    changes = latest.join(same, ["entity", "week"], "left").where(~F.col("value").eqNullSafe(F.col("was"))).drop("was")
+    return _named(rolling_totals(latest, spans, correct(build_trees(early), changes)), spans)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.quotient import exactly_once
-from postloom.operators.rolling import topic_rolling
+from postloom.operators.rolling import topic_rolling, topic_rolling_corrected
 from postloom.sources.tables import read
 
 KEYS = {"evidence": ("source_key", "evidence_id"), "material_signal": ("signal_id", "delivery_id")}
@@ -35,7 +35,12 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     return topic_rolling(read(spark, d, "topic_weekly_mentions"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p6_rolling": p6_rolling}
+def p6_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The same totals, the statements from December 2026 on applied as late corrections."""
+    return topic_rolling_corrected(read(spark, d, "topic_weekly_mentions"), "2026-12-01T00:00:00Z")
+
+
+QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p6_rolling": p6_rolling, "p6_corrected": p6_corrected}
 
 _NORM = "nullif(lower(regexp_replace({c}, '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g')), '')"
 
@@ -76,3 +81,4 @@ window w4 as (partition by topic_id order by monday rows between 3 preceding and
        w13 as (partition by topic_id order by monday rows between 12 preceding and current row)
 """,
 }
+SQL["p6_corrected"] = SQL["p6_rolling"]
