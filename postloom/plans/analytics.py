@@ -69,6 +69,12 @@ def flt4(spark, d):
     return R.where_given(n.where("topics = 0"), attempts=("<", 3), newest=("<", None)).drop("topics")
 
 
+@query("flt6_calls", "select delivery_id, signal_type, confidence_label, week from material_signal where confidence_label = 'low' order by delivery_id desc limit 20")
+def flt6(spark, d):
+    """The newest twenty calls of a status, of any type (a top-k report with optional predicates)."""
+    return R.where_given(signals(spark, d), confidence_label=("=", "low"), signal_type=("=", None)).select("delivery_id", "signal_type", "confidence_label", "week").orderBy(F.desc("delivery_id")).limit(20)
+
+
 @query("flt7_topics_by_status", "select topic_id, slug, status from canonical_topic where status = 'merged'")
 def flt7(spark, d):
     """Topics of a status, any if none is given."""
@@ -120,6 +126,15 @@ def srt7(spark, d):
     return signals(spark, d).where((F.col("week") == WEEK) & F.col("topic_id").isNotNull()).select("delivery_id", "topic_id", "summary").orderBy("delivery_id").limit(30)
 
 
+@query("dat17_scenario", f"with r as (select topic_id, slug, name, description, aliases from canonical_topic where first_seen <= '{WEEK}' and coalesce(case when status = 'merged' then last_seen end, '9999-W99') > '{WEEK}'), s as (select delivery_id, topic_id, signal_type, summary from material_signal where week = '{WEEK}' and topic_id is not null order by delivery_id limit 30) select s.delivery_id, s.signal_type, s.summary, r.slug as expected_slug, r.name as expected_name, r.topic_id is null as unlisted from s left join r using (topic_id)")
+def dat17(spark, d):
+    """A matching scenario drawn from a week: its first thirty matched deliveries with the registry as it stood then."""
+    at = (F.col("first_seen") <= WEEK) & (F.coalesce(F.when(F.col("status") == "merged", F.col("last_seen")), F.lit("9999-W99")) > WEEK)
+    registry = topics(spark, d).where(at).select("topic_id", F.col("slug").alias("expected_slug"), F.col("name").alias("expected_name"), F.lit(True).alias("listed"))
+    s = signals(spark, d).where((F.col("week") == WEEK) & F.col("topic_id").isNotNull()).select("delivery_id", "topic_id", "signal_type", "summary").orderBy("delivery_id").limit(30)
+    return s.join(registry, "topic_id", "left").select("delivery_id", "signal_type", "summary", "expected_slug", "expected_name", F.col("listed").isNull().alias("unlisted"))
+
+
 # --- joins -------------------------------------------------------------------------------------------------------------
 
 

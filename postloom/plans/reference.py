@@ -67,15 +67,17 @@ _AT = "cast({c} as timestamptz)"
 
 
 @query("src1_new_posts", f"""
-with e as (select *, {_AT.format(c='published_at')} as at from evidence),
-s as (select source_name, max({_AT.format(c='published_at')}) as stop from evidence where batch_no < 25 group by 1)
-select e.source_name, count(*) as new_posts, max(e.evidence_id) as newest from e left join s on e.source_name = s.source_name
-where s.stop is null or e.at > s.stop group by 1""")
+with e as (select source_name, evidence_id, batch_no, {_AT.format(c='published_at')} as ts from evidence where source_name is not null),
+s as (select source_name, max((ts, evidence_id)) as stop from e where batch_no < 25 and ts is not null group by 1),
+r as (select e.source_name, e.evidence_id, row_number() over (partition by e.source_name order by e.ts desc, e.evidence_id desc) as rn from e left join s on e.source_name = s.source_name where e.ts is not null and (s.stop is null or (e.ts, e.evidence_id) > s.stop))
+select source_name, count(*) as new_posts, max(evidence_id) as newest from r where rn <= 100 group by 1""")
 def src1(spark, d):
-    """What a newest-first scan of each source takes until it meets the cursor left by the batches before the last."""
-    e = evidence(spark, d).withColumn("at", F.to_timestamp("published_at"))
-    stop = e.where("batch_no < 25").groupBy("source_name").agg(F.max("at").alias("stop_at"))
-    return R.take_until(e.select("source_name", "evidence_id", "at"), ["source_name"], "at", stop).groupBy("source_name").agg(F.count(F.lit(1)).alias("new_posts"), F.max("evidence_id").alias("newest"))
+    """What a newest-first scan of each source takes, a hundred posts at most, until it meets the cursor (instant and id) left
+    by the batches before the last."""
+    e = evidence(spark, d).where("source_name is not null").select("source_name", "evidence_id", "batch_no", F.to_timestamp("published_at").alias("at")).where("at is not null").withColumn("mark", F.struct("at", "evidence_id"))
+    stop = e.where("batch_no < 25").groupBy("source_name").agg(F.max("mark").alias("stop_at"))
+    taken = R.top_n(R.take_until(e, ["source_name"], "mark", stop), ["source_name"], 100, F.desc("at"), F.desc("evidence_id"))
+    return taken.groupBy("source_name").agg(F.count(F.lit(1)).alias("new_posts"), F.max("evidence_id").alias("newest"))
 
 
 @query("src3_readable_posts", "select source_type, count(*) as posts, count(title) as titled from evidence where coalesce(title,'') not in ('[deleted]','[removed]') and coalesce(content,'') not in ('[deleted]','[removed]') group by 1")
@@ -344,10 +346,11 @@ def win5(spark, d):
 
 @query("win5_burst_starts", f"with e as (select source_name, evidence_id, {_AT.format(c='published_at')} as ats from evidence where source_name is not null), k as (select source_name, evidence_id, cast(epoch(ats) as bigint) as t, strftime(ats at time zone 'UTC','%G-W%V') as week from e), n as (select *, count(*) over (partition by source_name, week order by t range between current row and 86400 following) as posts from k) select source_name, evidence_id, posts from n where posts >= 4")
 def win5_starts(spark, d):
-    w = Window.partitionBy("source_name", "week").orderBy("t").rangeBetween(0, 86_400)
-    e = evidence(spark, d).where("source_name is not null").select("source_name", "evidence_id", F.to_timestamp("published_at").alias("at"))
-    e = e.select("source_name", "evidence_id", F.unix_timestamp("at").alias("t"), X.iso_week(F.to_date("at")).alias("week"))
-    return e.withColumn("posts", F.count(F.lit(1)).over(w)).where("posts >= 4").select("source_name", "evidence_id", "posts")
+    """Posts from which on their source has four posts or more within a day of the same week."""
+    e = evidence(spark, d).where("source_name is not null").withColumn("at", F.to_timestamp("published_at"))
+    e = e.withColumn("grp", F.concat("source_name", F.lit("\n"), X.iso_week(F.to_date("at"))))
+    starts = B.burst_starts(e, "grp", "at", "evidence_id", span_s=86_400)
+    return starts.select(F.substring_index("grp", "\n", 1).alias("source_name"), F.col("row_id").alias("evidence_id"), "posts")
 
 
 @query("win6_error_runs", "with s as (select batch_no, delivery_id, confidence_label = 'low' as bad, row_number() over (partition by batch_no order by delivery_id) - row_number() over (partition by batch_no, confidence_label = 'low' order by delivery_id) as island from material_signal) select batch_no, min(delivery_id) as first_delivery, count(*) as length from s where bad group by batch_no, island having count(*) >= 2")

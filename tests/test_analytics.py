@@ -216,3 +216,19 @@ def test_late_posts_count_in_their_week(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r.week.start)[:10], r.posts) for r in spark.table("weeks").collect()) == [("2026-08-17", 2), ("2027-01-04", 1)]
+
+
+def test_burst_starts_against_brute_force(spark):
+    from postloom.operators import bursts as B
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.randrange(40_000), f"E{k:04d}") for k in range(600)] + [("a", 100, f"P{k}") for k in range(5)] + [(None, 5, "n"), ("a", None, "m")]
+    df = spark.createDataFrame(rows, "g string, s bigint, id string").withColumn("at", F.timestamp_seconds("s"))
+    for span, least in ((300, 3), (60_000, 4)):
+        want = set()
+        for g, s, i in rows:
+            n = sum(h == g and t is not None and s <= t <= s + span for h, t, _ in rows) if g and s is not None else 0
+            if n >= least:
+                want.add((g, i, n))
+        assert {tuple(r) for r in B.burst_starts(df, "g", "at", "id", span, least).collect()} == want
+    assert B.burst_starts(df.limit(0), "g", "at", "id").collect() == []
