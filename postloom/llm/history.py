@@ -35,7 +35,7 @@ PASSES = 16
 WINDOW, SECOND = 32, 28
 #: Pairs compared at once.
 CHUNK = 1 << 18
-MAX_RUNS = 4
+MAX_RUNS = 2
 #: Words of the sketch (16 nibbles each) and the nibbles that must agree: a pair at 0.5 agrees in 25 of 48 (deviation 3.5; 0.02 % are below 13), one at 0.15 in 10.
 SKETCH, MIN_AGREE = 3, 13
 SKETCHES = [f"sketch{k}" for k in range(1, SKETCH + 1)]
@@ -223,7 +223,7 @@ class History:
         found = self.spark.read.schema(SETTLED).parquet(path).where("kept_gid is not null").select("row_id", F.col("kept_gid").alias("gid"))
         # of the history only the rows that are named
         heads = self._settled().select("gid", F.col("row_id").alias("kept_id")).join(self._narrow(found.select("gid").distinct()), "gid", "left_semi")
-        return found.join(self._narrow(heads), "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct()
+        return materialize(found.join(self._narrow(heads), "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct(), "p3-found")
 
     def _narrow(self, df: DataFrame) -> DataFrame:
         """``df``, a table of no more rows than the delivery and its candidate pairs: broadcast if these are few."""
