@@ -63,6 +63,8 @@ HARM = "break smash punch slap kick hurt kill stab strangle choke crush burn sho
 BODY = "fingers bones legs arms neck face teeth jaw nose skull head throat knees ribs mouth".split()
 DIE = [("drop", "dead"), ("go", "die"), ("stop", "breathing"), ("kill", "yourself"), ("hang", "yourself"), ("jump", "off"), ("shut", "up"), ("your", "mother"), ("your", "mom"), ("ta", "gueule"), ("cállate", "la"), ("verpiss", "dich"), ("te", "taire")]
 TOO, STUPID = "too zu trop demasiado".split(), "stupid dumb dumm blöd bête bêtes stupides tonto tonta tontos tontas".split()
+#: Refusals of nearness, as scales of social distance ask for them.
+SHUN = [(x, "next") for x in ("work", "live", "sit", "stand", "eat", "sleep")]
 BED = [("into", "bed"), ("clothes", "off"), ("ins", "bett"), ("a", "poil"), ("moan", "louder"), ("strip", "naked"), ("naked", "pics"), ("naked", "photos"), ("get", "naked"), ("sex", "chat"), ("sex", "videos"), ("sex", "tape")]
 
 # Function words and verbs of everyday use; they support a passage and never make one.
@@ -149,7 +151,7 @@ def lexicon_entries() -> dict[str, list[tuple[str, ...]]]:
     """The lexicon's words and the pairs made of its parts, in canonical form; entries without a letter are left out."""
     words = {c: [(w,) for w in text.split()] for c, text in LEXICON.items()}
     words["abusive"] += [(h, x) for h in HARM for x in ("you", "your")] + [("your", x) for x in BODY] + DIE
-    words["hateful"] += [(t, x) for t in TOO for x in STUPID] + [(x, "country") for x in ("this", "our", "my")]
+    words["hateful"] += [(t, x) for t in TOO for x in STUPID] + [(x, "country") for x in ("this", "our", "my")] + SHUN
     words["sexual"] += BED
     plain = {c: [tuple(squeeze("".join(re.findall(r"[^\W\d_]", w))) for w in e) for e in entries] for c, entries in words.items()}
     return {c: [e for e in dict.fromkeys(entries) if all(e)] for c, entries in plain.items()}
