@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import shingles as S
-from postloom.operators.durable import kept, materialize, measured, remove, scratch
+from postloom.operators.durable import kept, materialize, measured, remove, scratch, shared_dir
 from postloom.operators.quotient import identifier
 
 PASSES = 16
@@ -35,7 +35,7 @@ PASSES = 16
 WINDOW, SECOND = 32, 28
 #: Pairs compared at once.
 CHUNK = 1 << 18
-MAX_RUNS = 2
+MAX_RUNS = 4
 #: Words of the sketch (16 nibbles each) and the nibbles that must agree: a pair at 0.5 agrees in 25 of 48 (deviation 3.5; 0.02 % are below 13), one at 0.15 in 10.
 SKETCH, MIN_AGREE = 3, 13
 SKETCHES = [f"sketch{k}" for k in range(1, SKETCH + 1)]
@@ -204,15 +204,16 @@ class History:
         blank or empty keys and contents match nothing; a duplicate_of that is unknown or not smaller leads nowhere.
         """
         self.delivered.append(delivery)
+        self.area = f"p3-{uuid.uuid4().hex}"  # a folder for what only this delivery needs
         ident = identifier("key")
         wide = delivery.where("row_id is not null").select(
             "row_id", F.when(ident.isNotNull(), F.xxhash64(ident)).alias("i1"), F.when(ident.isNotNull(), F.xxhash64(F.lit("second"), ident)).alias("i2"), F.when(F.col("dup") < F.col("row_id"), F.col("dup")).alias("dup"), "content"
         )
-        wide, seen = measured(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCHES)), "p3-base")
+        wide, seen = measured(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCHES)), f"{self.area}/base")
         self.small = seen["rows"] <= BROADCAST_ROWS
         # numbers in the order of row_id, above those of earlier deliveries
         ordered = wide.select("row_id", "i1", "i2", "dup", "cid").repartitionByRange(self.buckets, "row_id").sortWithinPartitions("row_id")
-        rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), "p3-rows")
+        rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), f"{self.area}/rows")
         self._write_run(wide.where("cid is not null").select(F.explode("keys").alias("key"), "cid", *SKETCHES).select(self._range(F.col("key")).alias("range"), "key", "cid", *SKETCHES))
         refused = self._resolve(rows, self._links(rows))
         path = self.place(self.spark, "p3-settled")
@@ -223,7 +224,9 @@ class History:
         found = self.spark.read.schema(SETTLED).parquet(path).where("kept_gid is not null").select("row_id", F.col("kept_gid").alias("gid"))
         # of the history only the rows that are named
         heads = self._settled().select("gid", F.col("row_id").alias("kept_id")).join(self._narrow(found.select("gid").distinct()), "gid", "left_semi")
-        return materialize(found.join(self._narrow(heads), "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct(), "p3-found")
+        out = materialize(found.join(self._narrow(heads), "gid").select("kept_id", "row_id").where("kept_id <> row_id").distinct(), "p3-found")
+        remove(self.spark, f"{shared_dir(self.spark)}/{self.area}")
+        return out
 
     def _narrow(self, df: DataFrame) -> DataFrame:
         """``df``, a table of no more rows than the delivery and its candidate pairs: broadcast if these are few."""
@@ -239,7 +242,7 @@ class History:
             else:
                 met = new.groupBy("range").cogroup(self.spark.table(name).groupBy("range")).applyInArrow(lambda a, b: _compare(a, b), "cid_a bigint, cid_b bigint")
             pairs = met if pairs is None else pairs.union(met)
-        pairs, seen = measured(pairs.repartition("cid_a").dropDuplicates(["cid_a", "cid_b"]), "p3-candidates")
+        pairs, seen = measured(pairs.repartition("cid_a").dropDuplicates(["cid_a", "cid_b"]), f"{self.area}/candidates")
         few = 2 * seen["rows"] <= BROADCAST_ROWS
         self.small = self.small and few
         narrow = F.broadcast if few else lambda df: df
@@ -255,7 +258,7 @@ class History:
         ta, tb = (texts.select(F.col("cid").alias(f"cid_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
         alike = pairs.join(ta, "cid_a").join(tb, "cid_b").where(S.jaccard(F.col("norm_a"), F.col("norm_b")) >= self.threshold)
         both = F.array(F.struct(F.col("cid_a").alias("cid"), F.col("cid_b").alias("other")), F.struct(F.col("cid_b").alias("cid"), F.col("cid_a").alias("other")))
-        return materialize(alike.select(F.explode(both).alias("l")).select("l.*"), "p3-links")
+        return materialize(alike.select(F.explode(both).alias("l")).select("l.*"), f"{self.area}/links")
 
     def _against_history(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """gid, i1, i2, cid, dup_gid (the row of this delivery that duplicate_of names), and kept_gid where an accepted row of
@@ -281,7 +284,7 @@ class History:
         accepted if nothing undecided before it could. Identifiers and classes are judged by their first row, so copies cost
         nothing. What a round accepts is judged upon in the next one, so each round needs the last one's outcome only."""
         open_ = ~F.col("done")
-        turn, seen = measured(self._against_history(rows, links).withColumn("done", F.col("kept_gid").isNotNull()), "p3-round", left=F.count_if(open_))
+        turn, seen = measured(self._against_history(rows, links).withColumn("done", F.col("kept_gid").isNotNull()), f"{self.area}/round", left=F.count_if(open_))
         turns, left = [turn], seen["left"]
         while left:
             first, got = F.min(F.when(open_, F.col("gid"))), F.min(F.when(F.col("done") & F.col("kept_gid").isNull(), F.col("gid")))
@@ -294,7 +297,7 @@ class History:
             refuse = F.coalesce("got_ident", "got_dup", F.least("got", "got_near"))
             own = F.col("gid")
             clear = F.coalesce(F.col("first_ident") == own, F.lit(True)) & F.coalesce(F.col("first") == own, F.lit(True)) & F.coalesce(F.col("first_near") > own, F.lit(True)) & ~F.coalesce("dup_open", F.lit(False))
-            turn, seen = measured(state.select("gid", "i1", "i2", "cid", "dup_gid", refuse.alias("kept_gid"), (refuse.isNotNull() | clear).alias("done")), "p3-round", left=F.count_if(open_))
+            turn, seen = measured(state.select("gid", "i1", "i2", "cid", "dup_gid", refuse.alias("kept_gid"), (refuse.isNotNull() | clear).alias("done")), f"{self.area}/round", left=F.count_if(open_))
             turns.append(turn)
             left = seen["left"]
         refused = turns[0]
