@@ -25,18 +25,21 @@ RATIO, SPAN_S, LEAST = 0.85, 7200, 4
 SHARED = 0.5
 
 
-def ratio(a: str, b: str, least: float = RATIO) -> float:
-    """Twice the matching characters by the characters of both; an upper bound where that is below ``least`` already."""
-    if not a or not b:
-        return 1.0 if a == b else 0.0
-    matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    bound = matcher.quick_ratio()
-    return matcher.ratio() if bound >= least else bound
+def _matcher(a: str, b: str) -> difflib.SequenceMatcher:
+    return difflib.SequenceMatcher(a=a, b=b, autojunk=False)
 
 
 @F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Twice the matching characters by the characters of both; of two empty texts 1, of one 0."""
+    return pd.Series([_matcher(x, y).ratio() if x and y else float(x == y) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf(T.BooleanType())
+def nearly_equal(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether the ratio is ``RATIO`` or more; the letters' counts, which bound it, refuse most pairs."""
+    pairs = ((x, y, _matcher(x, y)) for x, y in zip(a, b))
+    return pd.Series([x == y or bool(x and y) and m.quick_ratio() >= RATIO <= m.ratio() for x, y, m in pairs], dtype="bool")
 
 
 def clusters(posts: DataFrame, group: str, row_id: str, title: str, content: str) -> DataFrame:
@@ -58,7 +61,7 @@ def clusters(posts: DataFrame, group: str, row_id: str, title: str, content: str
     both = near.join(ta, ["grp", "head_a"]).join(tb, ["grp", "head_b"])
     length = lambda x: F.length(f"text_{x}")
     both = both.where(2 * F.least(length("a"), length("b")) >= RATIO * (length("a") + length("b")))
-    alike = both.where(text_ratio("text_a", "text_b") >= RATIO)
+    alike = both.where(nearly_equal("text_a", "text_b"))
     node = lambda x: F.concat("grp", F.lit("\0"), x)
     parts = connected_components(alike.select(node("head_a").alias("a"), node("head_b").alias("b")))
     named = texts.select("grp", "print", "head", node("head").alias("node")).join(parts, "node", "left").select("grp", "print", F.coalesce(F.substring_index("component", "\0", -1), F.col("head")).alias("cluster"))
@@ -72,6 +75,7 @@ def assess(posts: DataFrame, group: str, row_id: str, title: str, content: str,
     out = sizes.groupBy("grp").agg(F.sum("n").alias("raw_count"), F.count(F.lit(1)).alias("distinct_count"), F.count_if(F.col("n") > 1).alias("duplicate_clusters"))
     burst = bursts(posts, group, at, row_id, SPAN_S, LEAST).groupBy("grp").agg(F.count(F.lit(1)).alias("bursts"), F.array_sort(F.collect_list(F.struct("from_s", "first_row", "posts"))).alias("each"))
     out = out.join(burst, "grp", "left").withColumn("collapsed", F.col("raw_count") - F.col("distinct_count"))
+    # fixed values: the wording of the reasons
     told = F.when(F.col("collapsed") > 0, F.array(F.format_string("%d near-duplicate post(s) counted once (%d cluster(s))", "collapsed", "duplicate_clusters"))).otherwise(F.array().cast("array<string>"))
     reasons = F.concat(told, F.coalesce(F.transform("each", lambda x: F.format_string(f"burst: %d posts within {SPAN_S // 3600}h", x["posts"])), F.array().cast("array<string>")))
     return out.select("grp", "raw_count", "distinct_count", "collapsed", "duplicate_clusters", F.coalesce("bursts", F.lit(0)).alias("bursts"), reasons.alias("reasons"))
