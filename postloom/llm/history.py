@@ -157,7 +157,7 @@ class History:
 
     def _write_run(self, entries: DataFrame) -> None:
         name, path = f"run_{uuid.uuid4().hex}", self.place(self.spark, "p3-run")
-        entries.repartition(self.buckets, "range").dropDuplicates(["range", "key", "cid"]).write.bucketBy(self.buckets, "range").sortBy("range", "key").option("path", path).saveAsTable(name)
+        entries.repartition(self.buckets, "range").write.bucketBy(self.buckets, "range").sortBy("range", "key").option("path", path).saveAsTable(name)
         self.runs.append((name, path))
 
     def _range(self, key: Column) -> Column:
@@ -184,7 +184,7 @@ class History:
         for name, _ in self.runs[1:]:
             merged = merged.union(self.spark.table(name))
         old, self.runs = self.runs, []
-        self._write_run(merged.join(accepted, "cid", "left_semi").select("range", "key", "cid", *SKETCHES))
+        self._write_run(merged.join(accepted, "cid", "left_semi").select("range", "key", "cid", *SKETCHES).dropDuplicates(["range", "key", "cid"]))
         for name, path in old:
             self.spark.sql(f"drop table if exists {name}")
             remove(self.spark, path)
@@ -214,7 +214,8 @@ class History:
         # numbers in the order of row_id, above those of earlier deliveries
         ordered = wide.select("row_id", "i1", "i2", "dup", "cid").repartitionByRange(self.buckets, "row_id").sortWithinPartitions("row_id")
         rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), f"{self.area}/rows")
-        self._write_run(wide.where("cid is not null").select(F.explode("keys").alias("key"), "cid", *SKETCHES).select(self._range(F.col("key")).alias("range"), "key", "cid", *SKETCHES))
+        classes = wide.where("cid is not null").select("cid", "keys", *SKETCHES).dropDuplicates(["cid"])  # copies are one before their keys are laid out
+        self._write_run(classes.select(F.explode("keys").alias("key"), "cid", *SKETCHES).select(self._range(F.col("key")).alias("range"), "key", "cid", *SKETCHES))
         refused = self._resolve(rows, self._links(rows))
         path = self.place(self.spark, "p3-settled")
         rows.join(self._narrow(refused), "gid", "left").select("gid", "row_id", "i1", "i2", "cid", "kept_gid").write.parquet(path)
