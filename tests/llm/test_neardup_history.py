@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 
@@ -253,3 +254,31 @@ def test_batch_by_batch_with_compaction_and_shuffled_lookups(spark, monkeypatch)
     got = {r.row_id for r in H.replay(spark, df, (1, 2, 3, 4, 5)).collect()}
     assert got == set(brute_history(rows)) and compacted == [5]
     assert names() == before
+
+
+def test_words_of_any_script():
+    for text in ("".join(chr(i) for i in range(256)), "x".join(chr(i) for i in range(256)), "İ K µ ß ÀÉ’s 日本 é", "a\x1cb\x85c\xa0d e"):
+        assert S.words_of(text) == re.findall(r"\w+", text.lower())
+
+
+def test_similarities_against_sets(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcde", k=rng.choice([1, 2, 3, 9, 30]))) for _ in range(60)]
+    a, b = rng.choices(texts, k=300), rng.choices(texts, k=300)
+    exact = lambda x, y: len(x & y) / len(x | y) if x & y else 0.0
+    want = [exact(S.runs_of(x), S.runs_of(y)) for x, y in zip(a, b)]
+    assert S.similarities(a, b) == want
+    monkeypatch.setattr(S, "RUN_BITS", 2)  # more words than numbers
+    assert S.similarities(a, b) == want
+
+
+def test_index_in_turns(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=40)) for _ in range(25)]
+    texts += [f"{x} {k}" for k, x in enumerate(texts)] + texts[:5]
+    df = spark.createDataFrame([(f"r{k:02d}", None, x) for k, x in enumerate(texts)], "id string, title string, content string")
+    found = []
+    for turn in (1, 4, 10):
+        monkeypatch.setattr(N, "TURN", turn)
+        found.append({tuple(r) for r in N.candidate_pairs(N.Rows(df, "id", "title", "content")).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 25
