@@ -2,7 +2,7 @@
 
 Every text class gets ``PASSES`` sort keys, each a pair of min-hash values kept in their order (the first in the upper bits,
 the second in the lower ones), so that records alike stand next to each other in some order. A delivery's keys are written as a
-sorted run in key ranges (one bucket of a table each) and merged range by range with the persisted runs of earlier deliveries:
+sorted run in key ranges (one bucket of a table each; a row holds many entries) and merged range by range with the persisted runs of earlier deliveries:
 of each run only the windows around new records are compared, old records are never compared with each other again and
 their contents are read only where a window names them. Runs are compacted when there are more than ``MAX_RUNS``.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,13 +33,16 @@ from postloom.operators.quotient import identifier
 PASSES = 16
 #: Records on either side of the equal keys that are compared, and the bits of a key that hold the second value.
 WINDOW, SECOND = 32, 28
-#: Pairs compared at once.
-CHUNK = 1 << 18
+#: Pairs compared at once: few enough that their sketches stay near the processor.
+CHUNK = 1 << 14
 MAX_RUNS = 4
 #: Words of the sketch (16 nibbles each) and the nibbles that must agree: a pair at 0.5 agrees in 25 of 48 (deviation 3.5; 0.02 % are below 13), one at 0.15 in 10.
 SKETCH, MIN_AGREE = 3, 13
 SKETCHES = [f"sketch{k}" for k in range(1, SKETCH + 1)]
-RUN = "range int, key bigint, cid bigint, " + ", ".join(f"{k} bigint" for k in SKETCHES)
+#: A row of a run: entries (key, class, sketch) of a key range in the order of the keys, as one array of 64-bit numbers, and the first key.
+RUN = "range int, low bigint, entries binary"
+#: Rows whose entries are laid out at once, and the entries of one row of a run.
+LAID, BLOCK = 1 << 16, 1 << 14
 SETTLED = "gid bigint, row_id string, i1 bigint, i2 bigint, cid bigint, kept_gid bigint"
 #: Rows of a lookup table that may be broadcast (at most 40 bytes each); a larger one is shuffled. All of them come from one delivery
 #: or its candidate pairs, whose rows are counted when they are written.
@@ -58,9 +61,23 @@ def windows(new: np.ndarray, old: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     first, group = new >> SECOND, old >> SECOND
     lo = np.maximum(np.searchsorted(group, first, "left"), np.searchsorted(old, new, "left") - WINDOW)
     hi = np.minimum(np.searchsorted(group, first, "right"), np.searchsorted(old, new, "right") + WINDOW)
+    return _pieces(lo, hi)
+
+
+def windows_within(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of each two of ``keys`` (sorted) of which one stands in the window of the other, once each."""
+    group, at = keys >> SECOND, np.arange(len(keys))
+    equal = np.searchsorted(keys, keys, "right")
+    # as far as the own window goes, and on to the last whose window comes down to here
+    hi = np.maximum(equal + WINDOW, equal[np.minimum(at + WINDOW, len(keys) - 1)])
+    return _pieces(at + 1, np.minimum(np.searchsorted(group, group, "right"), hi))
+
+
+def _pieces(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each place k with those from lo[k] up to hi[k], in pieces."""
     size = np.maximum(hi - lo, 0)
     ends, at = np.cumsum(size), 0
-    while at < len(new):
+    while at < len(size):
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + CHUNK, "right")))
         n = size[at:stop]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -68,51 +85,107 @@ def windows(new: np.ndarray, old: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         at = stop
 
 
-def _compare(new: pa.Table, old: pa.Table) -> pa.Table:
-    """Pairs of classes of one key range in a window together whose sketches agree often enough."""
+def _entries(parts: list[bytes]) -> np.ndarray:
+    """Keys, classes and sketches of all parts in the order of keys and classes, each entry once."""
+    e = np.concatenate([np.frombuffer(x, np.int64).reshape(2 + SKETCH, -1) for x in parts], 1)
+    e = e[:, np.lexsort((e[1], e[0]))]
+    return e[:, np.append(True, (np.diff(e[0]) != 0) | (np.diff(e[1]) != 0))[: e.shape[1]]]
+
+
+def _by_range(entries: np.ndarray, names: list[int]) -> pa.RecordBatch:
+    """Entries as one row of each key range, which has the name of its number: ranges are cut by the upper 31 bits of the key, all
+    of them of the first value."""
+    number = ((entries[0] >> 33) + (1 << 30)) * len(names) >> 31
+    order = np.argsort(number, kind="stable")
+    number, entries = number[order], entries[:, order]
+    cuts = [*np.flatnonzero(np.diff(number, prepend=-1)), len(number)]
+    return pa.RecordBatch.from_arrays([pa.array([names[number[x]] for x in cuts[:-1]], pa.int32()), pa.array([entries[:, x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], ["range", "entries"])
+
+
+def _lay_out(names: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Classes (cid, marks) as entries by range."""
+
+    def laid(cids: list[np.ndarray], marks: list[bytes]) -> pa.RecordBatch:
+        cid, at = np.unique(np.concatenate([*cids, np.empty(0, np.int64)]), return_index=True)
+        own = np.frombuffer(b"".join(marks), np.int64).reshape(-1, PASSES + SKETCH)[at]  # copies are one before their keys are laid out
+        return _by_range(np.stack([own[:, :PASSES].ravel(), *(np.repeat(x, PASSES) for x in (cid, *own[:, PASSES:].T))]), names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, marks = [], []
+        for b in batches:
+            cids.append(b.column("cid").to_numpy())
+            marks += b.column("marks").to_pylist()
+            if len(marks) >= LAID:
+                yield laid(cids, marks)
+                cids, marks = [], []
+        yield laid(cids, marks)
+
+    return run
 
-    def columns(t: pa.Table) -> list[np.ndarray]:
-        cols = [t.column(c).to_numpy() for c in ("key", "cid", *SKETCHES)]
-        order = np.argsort(cols[0], kind="stable")
-        return [c[order] for c in cols]
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a run from the entries of whole ranges."""
+    parts: dict[int, list[bytes]] = {}
+    for b in batches:
+        for name, x in zip(b.column("range").to_pylist(), b.column("entries").to_pylist()):
+            parts.setdefault(name, []).append(x)
+    for name, own in parts.items():
+        e = _entries(own)
+        for at in range(0, e.shape[1], BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array(e[0, at : at + 1]), pa.array([e[:, at : at + BLOCK].tobytes()], pa.binary())], ["range", "low", "entries"])
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of a run, a row each."""
+    for b in batches:
+        for name, x in zip(b.column("range").to_pylist(), b.column("entries").to_pylist()):
+            e = np.frombuffer(x, np.int64).reshape(2 + SKETCH, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(e.shape[1], name, np.int32)), *map(pa.array, e)], ["range", "key", "cid", *SKETCHES])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_single`` undone: the entries of each range in a batch as one row."""
+    for b in batches:
+        names, e = b.column("range").to_numpy(), np.stack([b.column(c).to_numpy() for c in ("key", "cid", *SKETCHES)])
+        each = np.unique(names)
+        yield pa.RecordBatch.from_arrays([pa.array(each, pa.int32()), pa.array([e[:, names == x].tobytes() for x in each], pa.binary())], ["range", "entries"])
+
+
+def _compare(new: pa.Table, old: pa.Table | None = None) -> pa.Table:
+    """Pairs of classes of one key range (of ``new`` and ``old``, or within ``new``) in a window together whose sketches agree
+    often enough."""
 
     found = [np.empty((2, 0), np.int64)]
-    if new.num_rows and old.num_rows:
-        (key_a, cid_a, *sketch_a), (key_b, cid_b, *sketch_b) = columns(new), columns(old)
-        for i, j in windows(key_a, key_b):
-            apart = cid_a[i] != cid_b[j]
-            i, j = i[apart], j[apart]
+    if new.num_rows and (old is None or old.num_rows):
+        key_a, cid_a, *sketch_a = _entries(new.column("entries").to_pylist())
+        key_b, cid_b, *sketch_b = (key_a, cid_a, *sketch_a) if old is None else _entries(old.column("entries").to_pylist())
+        for i, j in windows_within(key_a) if old is None else windows(key_a, key_b):
             near = S.agreement([x[i] for x in sketch_a], [x[j] for x in sketch_b]) >= MIN_AGREE
             x, y = cid_a[i[near]], cid_b[j[near]]
+            x, y = x[x != y], y[x != y]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
     return pa.table(list(np.concatenate(found, 1)), ["cid_a", "cid_b"])
 
 
 def _compare_within(new: pa.Table) -> pa.Table:
-    return _compare(new, new)
+    return _compare(new)
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class, sort keys and sketch of each row; null for rows of few words."""
+    """Class and marks (sort keys and sketch, one after the other) of each row; null for rows of few words."""
     for b in batches:
         rows, norms = S.normal_texts(b, ("content",))
         n = b.num_rows
         few = np.ones(n, bool)
         few[rows] = False
-        cid, sketch = np.zeros(n, np.int64), np.zeros((SKETCH, n), np.int64)
-        keys, filled = np.empty((0, PASSES), np.int64), np.zeros(n, np.int64)
+        cid, marks = np.zeros(n, np.int64), np.full(n, None, object)
         if norms:
             hashes, counts = S.shingle_hashes(pa.array(norms))
             mins = S.min_hashes(hashes, counts, 2 * PASSES + 16 * SKETCH, seed=3)
-            keys = np.stack([sort_key(mins[:, 2 * p], mins[:, 2 * p + 1], p) for p in range(PASSES)], 1)
+            own = np.stack([*(sort_key(mins[:, 2 * p], mins[:, 2 * p + 1], p) for p in range(PASSES)), *S.nibble_sketch(mins[:, 2 * PASSES :])], 1)
             cid[rows] = S.text_classes(norms)
-            sketch[:, rows] = S.nibble_sketch(mins[:, 2 * PASSES :])
-            filled[rows] = PASSES
-        ends = np.concatenate([[0], np.cumsum(filled)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("row_id", "i1", "i2", "dup")] + [pa.array(cid, mask=few), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), *(pa.array(x, mask=few) for x in sketch)],
-            ["row_id", "i1", "i2", "dup", "cid", "keys", *SKETCHES],
-        )
+            marks[rows] = [x.tobytes() for x in own]
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("row_id", "i1", "i2", "dup")] + [pa.array(cid, mask=few), pa.array(marks, pa.binary())], ["row_id", "i1", "i2", "dup", "cid", "marks"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +225,16 @@ class History:
 
     def _register(self, path: str) -> None:
         name = f"run_{uuid.uuid4().hex}"
-        self.spark.sql(f"create table {name} ({RUN}) using parquet options (path '{path}') clustered by (range) sorted by (range, key) into {self.buckets} buckets")
+        self.spark.sql(f"create table {name} ({RUN}) using parquet options (path '{path}') clustered by (range) sorted by (range, low) into {self.buckets} buckets")
         self.runs.append((name, path))
 
     def _write_run(self, entries: DataFrame) -> None:
         name, path = f"run_{uuid.uuid4().hex}", self.place(self.spark, "p3-run")
-        entries.repartition(self.buckets, "range").write.bucketBy(self.buckets, "range").sortBy("range", "key").option("path", path).saveAsTable(name)
+        entries.repartition(self.buckets, "range").mapInArrow(_in_order, RUN).write.bucketBy(self.buckets, "range").sortBy("range", "low").option("path", path).saveAsTable(name)
         self.runs.append((name, path))
 
-    def _range(self, key: Column) -> Column:
-        """The key range of a key, named so that each range is one bucket."""
+    def _names(self) -> list[int]:
+        """The names of the key ranges, such that each range is one bucket."""
         if self.names is None:
             names, n = {}, 32 * self.buckets
             while len(names) < self.buckets:
@@ -170,9 +243,7 @@ class History:
                     names.setdefault(r.bucket, r.label)
                 n *= 2
             self.names = [names[k] for k in range(self.buckets)]
-        # by the upper 31 bits, all of them of the first value
-        upper = F.shiftright(key, 33) + F.lit(1 << 30)
-        return F.element_at(F.lit(self.names), (F.shiftright(upper * F.lit(self.buckets), 31) + 1).cast("int"))
+        return self.names
 
     def _settled(self) -> DataFrame:
         return self.spark.read.schema(SETTLED).parquet(*self.settled)
@@ -184,7 +255,8 @@ class History:
         for name, _ in self.runs[1:]:
             merged = merged.union(self.spark.table(name))
         old, self.runs = self.runs, []
-        self._write_run(merged.join(accepted, "cid", "left_semi").select("range", "key", "cid", *SKETCHES).dropDuplicates(["range", "key", "cid"]))
+        single = merged.select("range", "entries").mapInArrow(_single, "range int, key bigint, cid bigint, " + ", ".join(f"{k} bigint" for k in SKETCHES))
+        self._write_run(single.join(accepted, "cid", "left_semi").select("range", "key", "cid", *SKETCHES).mapInArrow(_gathered, "range int, entries binary"))
         for name, path in old:
             self.spark.sql(f"drop table if exists {name}")
             remove(self.spark, path)
@@ -209,13 +281,12 @@ class History:
         wide = delivery.where("row_id is not null").select(
             "row_id", F.when(ident.isNotNull(), F.xxhash64(ident)).alias("i1"), F.when(ident.isNotNull(), F.xxhash64(F.lit("second"), ident)).alias("i2"), F.when(F.col("dup") < F.col("row_id"), F.col("dup")).alias("dup"), "content"
         )
-        wide, seen = measured(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCHES)), f"{self.area}/base")
+        wide, seen = measured(wide.mapInArrow(_prepare, "row_id string, i1 bigint, i2 bigint, dup string, cid bigint, marks binary"), f"{self.area}/base")
         self.small = seen["rows"] <= BROADCAST_ROWS
         # numbers in the order of row_id, above those of earlier deliveries
         ordered = wide.select("row_id", "i1", "i2", "dup", "cid").repartitionByRange(self.buckets, "row_id").sortWithinPartitions("row_id")
         rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), f"{self.area}/rows")
-        classes = wide.where("cid is not null").select("cid", "keys", *SKETCHES).dropDuplicates(["cid"])  # copies are one before their keys are laid out
-        self._write_run(classes.select(F.explode("keys").alias("key"), "cid", *SKETCHES).select(self._range(F.col("key")).alias("range"), "key", "cid", *SKETCHES))
+        self._write_run(wide.where("cid is not null").select("cid", "marks").mapInArrow(_lay_out(self._names()), "range int, entries binary"))
         refused = self._resolve(rows, self._links(rows))
         path = self.place(self.spark, "p3-settled")
         rows.join(self._narrow(refused), "gid", "left").select("gid", "row_id", "i1", "i2", "cid", "kept_gid").write.parquet(path)

@@ -177,6 +177,35 @@ def test_windows_hold_neighbours_with_unequal_keys():
     assert got == want and any(new[i] != old[j] for i, j in got)
 
 
+def test_windows_within_hold_each_pair_once(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for firsts, chunk in ((2, 1 << 14), (9, 50), (400, 7)):
+        monkeypatch.setattr(H, "CHUNK", chunk)
+        first, second = rng.integers(0, firsts, 600).astype(np.uint64), rng.choice([0, 0, 0, *range(1, 90)], 600).astype(np.uint64)
+        keys = np.sort(H.sort_key(first, second, 0))
+        got = [(i, j) for x, y in H.windows_within(keys) for i, j in zip(x.tolist(), y.tolist())]
+        want = {(min(i, j), max(i, j)) for x, y in H.windows(keys, keys) for i, j in zip(x.tolist(), y.tolist()) if i != j}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_row_of_a_run_holds_many_entries(spark):
+    """Each class of a delivery has every key once, in order, however many rows are copies; a range is one row here."""
+    import numpy as np
+
+    texts = [" ".join(f"w{(k * 7 + j * j) % 501}" for j in range(25)) for k in range(40)]
+    df = spark.createDataFrame([(f"E{k:03d}", None, None, texts[k % 40], 0) for k in range(90)], "evidence_id string, source_key string, duplicate_of string, content string, batch_no int")
+    history = H.History(spark, df, lasting=False)
+    history.accept(history.rows)
+    table = spark.table(history.runs[0][0]).collect()
+    history.close()
+    parts = [np.frombuffer(r.entries, np.int64).reshape(2 + H.SKETCH, -1) for r in table]
+    assert len(table) <= history.buckets and all((np.diff(x[0]) >= 0).all() and x[0, 0] == r.low for r, x in zip(table, parts))
+    entries = [tuple(x) for p in parts for x in p[:2].T.tolist()]
+    assert len(entries) == len(set(entries)) == 40 * H.PASSES and len({c for _, c in entries}) == 40
+
+
 def test_history_near_the_threshold(spark):
     """Pairs a little above 0.5, of which equal pairs of min-hash values alone in 12 passes lose three in a hundred."""
     rng, rows = random.Random(4), []
