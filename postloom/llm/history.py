@@ -47,6 +47,10 @@ SETTLED = "gid bigint, row_id string, i1 bigint, i2 bigint, cid bigint, kept_gid
 #: Rows of a lookup table that may be broadcast (at most 40 bytes each); a larger one is shuffled. All of them come from one delivery
 #: or its candidate pairs, whose rows are counted when they are written.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a round and links between classes (at most 49 and 16 bytes each, counted when they are written) up to which the further
+#: rounds are one task's: each round of tables is a plan of some twenty stages, which costs the driver more than the rows cost a task.
+LAST_ROWS, LAST_LINKS = 1 << 19, 1 << 21
+NONE = np.iinfo(np.int64).max
 
 
 def sort_key(first: np.ndarray, second: np.ndarray, number: int) -> np.ndarray:
@@ -171,6 +175,60 @@ def _compare_within(new: pa.Table) -> pa.Table:
     return _compare(new)
 
 
+def _numbers(valid: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """A number from 0 on for each kind of row, -1 where not valid."""
+    at = np.flatnonzero(valid)
+    at = at[np.lexsort([c[at] for c in columns])]
+    other = np.zeros(len(at), bool)
+    for c in columns:
+        other[1:] |= np.diff(c[at]) != 0
+    out = np.full(len(valid), -1, np.int64)
+    out[at] = np.cumsum(other)
+    return out
+
+
+def _last_rounds(turn: pa.Table, links: pa.Table) -> pa.Table:
+    """The rounds of ``History._resolve`` that follow ``turn``, by arrays: gid, kept_gid of the rows that they refuse."""
+    turn = turn.sort_by("gid")
+    gid, done = turn.column("gid").to_numpy(), turn.column("done").to_numpy()
+    i1, i2, cid = (turn.column(c).fill_null(0).to_numpy() for c in ("i1", "i2", "cid"))
+    dup, kept = turn.column("dup_gid").fill_null(-1).to_numpy(), turn.column("kept_gid").fill_null(NONE).to_numpy()
+    ident, held = _numbers(turn.column("i1").is_valid().to_numpy(), i1, i2), turn.column("cid").is_valid().to_numpy()
+    classes, text = np.unique(cid[held]), np.full(len(gid), -1, np.int64)
+    text[held] = np.searchsorted(classes, cid[held])
+    # links between classes of the turn, as numbers of the classes
+    ends = np.stack([links.column(c).to_numpy() for c in ("cid", "other")]) if links.num_rows and len(classes) else np.empty((2, 0), np.int64)
+    place = np.searchsorted(classes, ends)
+    a, b = place[:, (classes[np.minimum(place, len(classes) - 1)] == ends).all(0)] if ends.size else ends
+    n_ident, n_text = ident.max(initial=-1) + 1, len(classes)
+
+    def least(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(n + 1, NONE)  # the last is that of number -1
+        np.minimum.at(out, number, values)
+        out[-1] = NONE
+        return out
+
+    refused = [np.empty((2, 0), np.int64)]
+    while not done.all():
+        open_, taken = ~done, done & (kept == NONE)
+        first_ident, got_ident = (least(ident[x], gid[x], n_ident) for x in (open_, taken))
+        first, got = (least(text[x], gid[x], n_text) for x in (open_, taken))
+        own = first[a] != NONE
+        a, b = a[own], b[own]
+        first_near, got_near = (least(a, x[b], n_text) for x in (first, got))
+        at = np.minimum(np.searchsorted(gid, dup), len(gid) - 1)
+        named = gid[at] == dup
+        got_dup = np.where(named & done[at], np.where(kept[at] == NONE, gid[at], kept[at]), NONE)
+        dup_open = named & open_[at]
+        by_ident, by_text = got_ident[ident], np.minimum(got[text], got_near[text])
+        refuse = np.where(by_ident != NONE, by_ident, np.where(got_dup != NONE, got_dup, by_text))
+        clear = ((ident < 0) | (first_ident[ident] == gid)) & ((text < 0) | (first[text] == gid)) & (first_near[text] > gid) & ~dup_open
+        gid, ident, text, dup, kept, clear = (x[open_] for x in (gid, ident, text, dup, refuse, clear))
+        done = clear | (kept != NONE)
+        refused.append(np.stack([gid, kept])[:, kept != NONE])
+    return pa.table(list(np.concatenate(refused, 1)), ["gid", "kept_gid"])
+
+
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Class and marks (sort keys and sketch, one after the other) of each row; null for rows of few words."""
     for b in batches:
@@ -287,7 +345,7 @@ class History:
         ordered = wide.select("row_id", "i1", "i2", "dup", "cid").repartitionByRange(self.buckets, "row_id").sortWithinPartitions("row_id")
         rows = materialize(ordered.withColumn("gid", F.monotonically_increasing_id() + F.lit(len(self.settled) << 50)), f"{self.area}/rows")
         self._write_run(wide.where("cid is not null").select("cid", "marks").mapInArrow(_lay_out(self._names()), "range int, entries binary"))
-        refused = self._resolve(rows, self._links(rows))
+        refused = self._resolve(rows, *self._links(rows))
         path = self.place(self.spark, "p3-settled")
         rows.join(self._narrow(refused), "gid", "left").select("gid", "row_id", "i1", "i2", "cid", "kept_gid").write.parquet(path)
         self.settled.append(path)
@@ -304,8 +362,8 @@ class History:
         """``df``, a table of no more rows than the delivery and its candidate pairs: broadcast if these are few."""
         return F.broadcast(df) if self.small else df
 
-    def _links(self, rows: DataFrame) -> DataFrame:
-        """Pairs of alike classes (both directions: cid, other), at least one of them new."""
+    def _links(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Pairs of alike classes (both directions: cid, other), at least one of them new, and their number."""
         new = self.spark.table(self.runs[-1][0])
         pairs = None
         for name, _ in self.runs:
@@ -330,7 +388,8 @@ class History:
         ta, tb = (texts.select(F.col("cid").alias(f"cid_{n}"), F.col("norm").alias(f"norm_{n}")) for n in "ab")
         alike = pairs.join(ta, "cid_a").join(tb, "cid_b").where(S.jaccard(F.col("norm_a"), F.col("norm_b")) >= self.threshold)
         both = F.array(F.struct(F.col("cid_a").alias("cid"), F.col("cid_b").alias("other")), F.struct(F.col("cid_b").alias("cid"), F.col("cid_a").alias("other")))
-        return materialize(alike.select(F.explode(both).alias("l")).select("l.*"), f"{self.area}/links")
+        links, seen = measured(alike.select(F.explode(both).alias("l")).select("l.*"), f"{self.area}/links")
+        return links, seen["rows"]
 
     def _against_history(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """gid, i1, i2, cid, dup_gid (the row of this delivery that duplicate_of names), and kept_gid where an accepted row of
@@ -351,14 +410,15 @@ class History:
         out = out.join(self._narrow(by_ident), ["i1", "i2"], "left").join(self._narrow(by_text), "cid", "left")
         return out.select("gid", "i1", "i2", "cid", "dup_gid", F.coalesce("by_ident", "root", "by_text").alias("kept_gid"))
 
-    def _resolve(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+    def _resolve(self, rows: DataFrame, links: DataFrame, linked: int) -> DataFrame:
         """gid, kept_gid of the refused rows, decided in rounds: a row is refused if something accepted repeats in it, and
         accepted if nothing undecided before it could. Identifiers and classes are judged by their first row, so copies cost
-        nothing. What a round accepts is judged upon in the next one, so each round needs the last one's outcome only."""
+        nothing. What a round accepts is judged upon in the next one, so each round needs the last one's outcome only. Once that
+        is small, one task decides the rest (``_last_rounds``)."""
         open_ = ~F.col("done")
         turn, seen = measured(self._against_history(rows, links).withColumn("done", F.col("kept_gid").isNotNull()), f"{self.area}/round", left=F.count_if(open_))
         turns, left = [turn], seen["left"]
-        while left:
+        while left and (seen["rows"] > LAST_ROWS or linked > LAST_LINKS):
             first, got = F.min(F.when(open_, F.col("gid"))), F.min(F.when(F.col("done") & F.col("kept_gid").isNull(), F.col("gid")))
             idents = turn.where("i1 is not null").groupBy("i1", "i2").agg(first.alias("first_ident"), got.alias("got_ident"))
             heads = turn.where("cid is not null").groupBy("cid").agg(first.alias("first"), got.alias("got"))
@@ -372,10 +432,11 @@ class History:
             turn, seen = measured(state.select("gid", "i1", "i2", "cid", "dup_gid", refuse.alias("kept_gid"), (refuse.isNotNull() | clear).alias("done")), f"{self.area}/round", left=F.count_if(open_))
             turns.append(turn)
             left = seen["left"]
-        refused = turns[0]
-        for t in turns[1:]:
-            refused = refused.union(t)
-        return refused.where("kept_gid is not null").select("gid", "kept_gid")
+        refused = reduce(DataFrame.union, turns).where("kept_gid is not null").select("gid", "kept_gid")
+        if left:
+            one, other = (x.withColumn("one", F.lit(0)).groupBy("one") for x in (turn, links))
+            refused = refused.union(one.cogroup(other).applyInArrow(_last_rounds, "gid bigint, kept_gid bigint"))
+        return refused
 
 
 def replay(spark: SparkSession, rows: DataFrame, bounds: tuple[int, ...], **names: str) -> DataFrame:

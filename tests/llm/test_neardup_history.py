@@ -311,3 +311,19 @@ def test_index_in_turns(spark, monkeypatch):
         monkeypatch.setattr(N, "TURN", turn)
         found.append({tuple(r) for r in N.candidate_pairs(N.Rows(df, "id", "title", "content")).collect()})
     assert found[0] == found[1] == found[2] and len(found[0]) >= 25
+
+
+def test_last_rounds_are_one_task(spark, monkeypatch):
+    """However many rounds it takes, a delivery writes one table of a round (the driver plans no more), and each row is settled
+    as by rounds of tables."""
+    rows = history_rows(150, 7)
+    rows += [(f"F{i:04d}", None, f"F{i - 1:04d}", None, 5) for i in range(5)]  # each is named by the next
+    df = spark.createDataFrame(rows, "evidence_id string, source_key string, duplicate_of string, content string, batch_no int")
+    written, found = [], []
+    monkeypatch.setattr(H, "measured", lambda df, name, measured=H.measured, **x: written.append(name.split("/")[-1]) or measured(df, name, **x))
+    found.append(sorted(map(tuple, H.replay(spark, df, (3,)).collect())))
+    assert written.count("round") == 2
+    for last in (30, 0):  # the first rounds are tables, and all are
+        monkeypatch.setattr(H, "LAST_ROWS", last)
+        found.append(sorted(map(tuple, H.replay(spark, df, (3,)).collect())))
+    assert written.count("round") > 8 and found[0] == found[1] == found[2] and len(found[0]) > 40
